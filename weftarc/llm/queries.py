@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from weftarc.llm import warc
+from weftarc.llm import packing, warc
 
-MODULES = {"op1_warc": warc}
+MODULES = {"op1_warc": warc, "op8_packing": packing}
 
 
 def queries() -> dict:
