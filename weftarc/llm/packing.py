@@ -8,7 +8,8 @@ histogram allows, so there are about as many steps as lengths however many docum
 rank within a length its window and offset; every piece finds its own by a binary search in that table.
 
 Tokenization caches the ids of chunks between ASCII white space, over which the tokenizer's own splitting never
-reaches, so equal chunks are encoded once a worker; a cache is emptied when it is full.
+reaches, so that equal chunks are seldom encoded twice in a worker; when the cache is full, what was not used since it was
+last full is forgotten.
 
 Defined cases: a null or empty text is the closing id alone; rows that repeat are packed as often as they come; a null
 id is kept; further columns are ignored; an empty table gives no pieces.
@@ -30,7 +31,7 @@ from weftarc.llm.common import arrow, slices, stored
 
 WINDOW = 4096
 END = 2
-CACHED = 300_000
+CACHED = 250_000
 #: Chunks of one Latin-1 word and ASCII punctuation without apostrophes: the tokenizer splits them there and lower-cases
 #: each letter by itself, so that the ids of the two parts, the word in lower case, are those of the chunk.
 SIMPLE = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-&(-/:-@\[-`{-~]*)")
@@ -44,6 +45,7 @@ class Encoder:
 
         self.model = Tokenizer.from_file(path)
         self.known: dict[bytes, bytes] = {}
+        self.old: dict[bytes, bytes] = {}
         self.parts: dict[str, bytes] = {}
         self.cached = cached
 
@@ -54,12 +56,17 @@ class Encoder:
                 into[w] = np.array(e.ids, "<u4").tobytes()
 
     def chunks(self, words: list[bytes]) -> list[bytes]:
-        known = self.known
+        known, old = self.known, self.old
         if new := [w for w in dict.fromkeys(words) if w not in known]:
             if len(known) + len(new) > self.cached:
-                known.clear()
-                new = list(dict.fromkeys(words))
-            parts = {w: (m[1].lower(), m[2]) if (m := SIMPLE.fullmatch(s := w.decode())) else (s,) for w in new}
+                self.old, self.known = known, {}
+                new, known, old = list(dict.fromkeys(words)), self.known, self.old
+            parts = {}
+            for w in new:
+                if (ids := old.get(w)) is not None:
+                    known[w] = ids
+                else:
+                    parts[w] = (m[1].lower(), m[2]) if (m := SIMPLE.fullmatch(s := w.decode())) else (s,)
             if len(self.parts) > self.cached:
                 self.parts.clear()
             self.encoded([p for p in dict.fromkeys(p for ps in parts.values() for p in ps) if p not in self.parts], self.parts)
