@@ -7,9 +7,9 @@ closest to its capacity; going back over the bitsets gives its counts, and the m
 histogram allows, so there are about as many steps as lengths however many documents there are. The steps give each
 rank within a length its window and offset; every piece finds its own by a binary search in that table.
 
-Tokenization caches the ids of chunks between ASCII white space, over which the tokenizer's own splitting never
-reaches, so that equal chunks are seldom encoded twice in a worker; when the cache is full, what was not used since it was
-last full is forgotten.
+Tokenization keeps the ids of the parts that the tokenizer itself splits a text into (in texts with other characters
+than PLAIN has, of the chunks between ASCII white space, over which its splitting never reaches), so that equal parts
+are seldom encoded twice in a worker; when the cache is full, what was not used since it was last full is forgotten.
 
 Defined cases: a null or empty text is the closing id alone; rows that repeat are packed as often as they come; a null
 id is kept; further columns are ignored; an empty table gives no pieces.
@@ -18,6 +18,7 @@ id is kept; further columns are ignored; an empty table gives no pieces.
 from __future__ import annotations
 
 import re
+import struct
 import zlib
 from collections.abc import Iterator
 
@@ -27,56 +28,62 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftarc.llm.common import arrow, slices, stored
+from weftarc.llm.common import SPACE, arrow, slices, stored
 
 WINDOW = 4096
 END = 2
-CACHED = 250_000
-#: Chunks of one Latin-1 word and ASCII punctuation without apostrophes: the tokenizer splits them there and lower-cases
-#: each letter by itself, so that the ids of the two parts, the word in lower case, are those of the chunk.
-SIMPLE = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-&(-/:-@\[-`{-~]*)")
+END_OF_WORD = "</w>"
+CACHED = 400_000
+#: Texts of white space, ASCII without apostrophes and Latin-1 letters. The tokenizer splits these into words, single
+#: digits and runs of punctuation, and lower-cases each letter by itself, so the ids of a text are those of its parts.
+PLAIN = re.compile(r"[\t-\r -&(-~À-ÖØ-öø-ÿ]*")
+SPLIT = re.compile(SPACE)
+PARTS = re.compile(r"[a-zß-öø-ÿ]+|[0-9]|[!-&(-/:-@\[-`{-~]+")
 
 
 class Encoder:
-    """Ids of whole texts by a tokenizer file, with the ids of chunks kept."""
+    """Ids of whole texts by a tokenizer file, with the ids of parts kept."""
 
     def __init__(self, path: str, cached: int = CACHED):
         from tokenizers import Tokenizer
 
         self.model = Tokenizer.from_file(path)
-        self.known: dict[bytes, bytes] = {}
-        self.old: dict[bytes, bytes] = {}
-        self.parts: dict[str, bytes] = {}
+        self.known: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
         self.cached = cached
+        vocabulary = self.model.get_vocab()
+        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends[[i for w, i in vocabulary.items() if w.endswith(END_OF_WORD)]] = True
 
-    def encoded(self, new: list[str], into: dict) -> None:
+    def learn(self, new: list[str]) -> None:
         for i in range(0, len(new), 1000):
             part = new[i : i + 1000]
             for w, e in zip(part, self.model.encode_batch_fast(part, add_special_tokens=False)):
-                into[w] = np.array(e.ids, "<u4").tobytes()
-
-    def chunks(self, words: list[bytes]) -> list[bytes]:
-        known, old = self.known, self.old
-        if new := [w for w in dict.fromkeys(words) if w not in known]:
-            if len(known) + len(new) > self.cached:
-                self.old, self.known = known, {}
-                new, known, old = list(dict.fromkeys(words)), self.known, self.old
-            parts = {}
-            for w in new:
-                if (ids := old.get(w)) is not None:
-                    known[w] = ids
-                else:
-                    parts[w] = (m[1].lower(), m[2]) if (m := SIMPLE.fullmatch(s := w.decode())) else (s,)
-            if len(self.parts) > self.cached:
-                self.parts.clear()
-            self.encoded([p for p in dict.fromkeys(p for ps in parts.values() for p in ps) if p not in self.parts], self.parts)
-            for w, ps in parts.items():
-                known[w] = b"".join([self.parts[p] for p in ps])
-        return [known[w] for w in words]
+                self.known[w] = struct.pack(f"<{len(e.ids)}I", *e.ids)
+
+    def learn_parts(self, new: list[str]) -> None:
+        """As learn(), of parts of plain texts: as one text, cut after each id that ends a word."""
+        ids = np.array(self.model.encode(" ".join(new), add_special_tokens=False).ids, "<u4")
+        stops = (4 * (np.flatnonzero(self.ends[ids]) + 1)).tolist()
+        if len(stops) != len(new):
+            return self.learn(new)
+        raw = ids.tobytes()
+        self.known.update(zip(new, [raw[a:z] for a, z in zip([0, *stops], stops)]))
 
     def __call__(self, text: str) -> bytes:
         """The ids as little-endian unsigned 32-bit numbers."""
-        return b"".join(self.chunks(text.encode().split()))
+        plain = PLAIN.fullmatch(text) and "<|" not in text
+        parts = PARTS.findall(text.lower()) if plain else SPLIT.split(text)
+        if new := set(parts).difference(self.known):
+            if len(self.known) > self.cached:
+                self.old, self.known = self.known, {}
+                new = set(parts)
+            if kept := {w for w in new if w in self.old}:
+                self.known.update((w, self.old[w]) for w in kept)
+                new -= kept
+            if new:
+                (self.learn_parts if plain else self.learn)(list(new))
+        return b"".join(map(self.known.__getitem__, parts))
 
 
 def _pieces(batches: Iterator[pa.RecordBatch], path: str, window: int) -> Iterator[pa.RecordBatch]:
