@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from weftarc.llm import packing, warc
+from weftarc.llm import extract, jaccard, media, packing, warc
 
-MODULES = {"op1_warc": warc, "op8_packing": packing}
+MODULES = {"op1_warc": warc, "op5_extract": extract, "op7_jaccard": jaccard, "op8_packing": packing, "op9_media": media}
 
 
 def queries() -> dict:
