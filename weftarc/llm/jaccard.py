@@ -4,14 +4,14 @@ A document's set holds the distinct n-word shingles of its words, lower-cased in
 sequence is one. Two documents link when the size of the intersection of their sets is at least ``num / den`` of that
 of their union. The stages:
 
-1. Every text is read once for the size and a 128-bit digest of its set and for counts of shingles in a table of fixed
-   width; each task passes on only the cells that stand out, so that common passages are known and not much is moved.
+1. Every text is read once for the size and a 128-bit digest of its set and for counts of shingles in a table of
+   ``CELLS`` cells, which each task passes on and which are summed; cells far above the mean hold common passages.
 2. Every text is read again for its prefix: sets that link share one of their first s - ceil(s * num / den) + 1
-   shingles in any common order, here common cells last, so that a passage in many documents makes no candidates unless
-   it is nearly all of them. Documents with a prefix shingle in common are in one candidate cluster; clusters are
-   connected components over (document, smallest document with the shingle) rows, and pairs are never made.
-3. Documents with equal sets are represented by the smallest id. The representatives of a cluster form blocks by size
-   and hash; a task multiplies the incidence matrices of two blocks over slices of the shingles that two rows share,
+   shingles in any common order. Here cells that stand out come last, and else long shingles, which are seldom common,
+   come first, so that prefixes seldom meet by chance. A shingle in several prefixes puts its documents in the group of
+   the smallest of them; groups are (document, smallest document) rows, and pairs are never made.
+3. Documents with equal sets are represented by the smallest id. The representatives in a group form blocks by size and
+   hash; a task multiplies the incidence matrices of two blocks over slices of the shingles that two rows share,
    accumulating overlaps and discarding pairs as soon as a bound from their sizes and what is left cannot be met. It
    returns the connected components of what links inside the two blocks.
 4. Components over these rows and equal sets are the result.
@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 
 from weftarc.llm.common import arrow, components, runs, slices, stored
 
-CELLS = 1 << 20  # of the table of counts
+CELLS, CHUNK = 1 << 22, 1 << 12  # of the table of counts, and what is summed at once
 BLOCK = 128  # representatives
 SLICE = 4096  # shingles of a product
 
@@ -52,10 +52,10 @@ class Hashes(dict):
         return h
 
 
-def shingles(text: str | None, n: int, words: Hashes) -> np.ndarray:
-    """The sorted distinct shingle hashes of a text."""
+def _mixed(text: str | None, n: int, words: Hashes) -> tuple[np.ndarray, list[bytes], int]:
+    """The shingle hashes of a text in order, its words, and how many of these are in a shingle."""
     if not text or not (split := text.encode().lower().split()):
-        return np.empty(0, np.uint64)
+        return np.empty(0, np.uint64), [], n
     h = np.fromiter(map(words.__getitem__, split), np.uint64, len(split))
     m = min(n, len(h))
     mixed = np.full(len(h) - m + 1, m, np.uint64)
@@ -65,45 +65,83 @@ def shingles(text: str | None, n: int, words: Hashes) -> np.ndarray:
     mixed ^= mixed >> np.uint64(32)
     mixed *= np.uint64(0xD6E8FEB86659FD93)
     mixed ^= mixed >> np.uint64(29)
-    return np.unique(mixed)
+    return mixed, split, m
+
+
+def shingles(text: str | None, n: int, words: Hashes) -> np.ndarray:
+    """The sorted distinct shingle hashes of a text."""
+    return np.unique(_mixed(text, n, words)[0])
+
+
+def cell(s: np.ndarray) -> np.ndarray:
+    return (s >> np.uint64(64 - CELLS.bit_length() + 1)).astype(np.int64)
 
 
 def _sizes(batches: Iterator[pa.RecordBatch], n: int) -> Iterator[pa.RecordBatch]:
-    """A row (doc_id, n_shingles, digest) for each document, then (cell, count) of the cells that stand out here."""
-    words, counts = Hashes(), np.zeros(CELLS, np.int64)
-    names = ["doc_id", "n_shingles", "digest", "cell", "count"]
+    """A row (doc_id, n_shingles, digest) for each document, then (chunk, cells) of the counts, 255 at most, of this task."""
+    words, counts = Hashes(), np.zeros(CELLS, np.int32)
+    names = ["doc_id", "n_shingles", "digest", "chunk", "cells"]
     for b in slices(batches, "text"):
-        sizes, digests = [], []
+        sizes, digests, seen = [], [], []
         for t in b.column("text").to_pylist():
             s = shingles(t, n, words)
             sizes.append(len(s))
             digests.append(xxhash.xxh3_128_digest(s.tobytes()))
-            counts += np.bincount(s >> np.uint64(44), minlength=CELLS) if len(s) > CELLS // 8 else 0
-            if len(s) <= CELLS // 8:
-                np.add.at(counts, (s >> np.uint64(44)).astype(np.int64), 1)
+            seen.append(cell(s))
+        counts += np.bincount(np.concatenate(seen), minlength=CELLS).astype(np.int32)
         k = b.num_rows
-        yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()), pa.nulls(k, pa.int32()), pa.nulls(k, pa.int64())], names)
+        yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()), pa.nulls(k, pa.int32()), pa.nulls(k, pa.binary())], names)
+    if counts.any():
+        cells = [c.tobytes() for c in np.minimum(counts, 255).astype(np.uint8).reshape(-1, CHUNK)]
+        k = len(cells)
+        yield pa.RecordBatch.from_arrays([pa.nulls(k, pa.int64()), pa.nulls(k, pa.int64()), pa.nulls(k, pa.binary()), pa.array(range(k), pa.int32()), pa.array(cells, pa.binary())], names)
+
+
+def _sum_cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The sums (chunk, cells), as unsigned 32-bit numbers, of rows sorted by chunk, holding one chunk at a time."""
+    last, total = None, np.zeros(CHUNK, np.uint32)
+
+    def row() -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([last], pa.int32()), pa.array([total.tobytes()], pa.binary())], ["chunk", "cells"])
+
+    for b in batches:
+        for chunk, cells in zip(b.column("chunk").to_pylist(), b.column("cells")):
+            if chunk != last:
+                if last is not None:
+                    yield row()
+                last = chunk
+                total[:] = 0
+            total += np.frombuffer(cells.as_buffer(), np.uint8)
+    if last is not None:
+        yield row()
+
+
+def levels(rows: list[dict]) -> np.ndarray:
+    """How far each cell stands out: 0 up to six deviations over the mean, then the bits of the excess."""
+    counts = np.zeros(CELLS, np.int64)
+    for r in rows:
+        counts[r["chunk"] * CHUNK : (r["chunk"] + 1) * CHUNK] = np.frombuffer(r["cells"], np.uint32)
     mean = counts.mean()
-    cells = np.flatnonzero(counts > mean + 6 * math.sqrt(mean) + 8)
-    k = len(cells)
-    yield pa.RecordBatch.from_arrays([pa.nulls(k, pa.int64()), pa.nulls(k, pa.int64()), pa.nulls(k, pa.binary()), pa.array(cells, pa.int32()), pa.array(counts[cells], pa.int64())], names)
+    excess = np.maximum(0, counts - mean - 6 * math.sqrt(mean) - 8)
+    return np.ceil(np.log2(excess + 1)).astype(np.uint8)
 
 
 def prefix_length(size: int, num: int, den: int) -> int:
     return size - -(-size * num // den) + 1
 
 
-def _prefixes(batches: Iterator[pa.RecordBatch], n: int, num: int, den: int, cells: np.ndarray, levels: np.ndarray) -> Iterator[pa.RecordBatch]:
-    words = Hashes()
-    level = np.zeros(CELLS, np.uint64)
-    level[cells] = levels
+def _prefixes(batches: Iterator[pa.RecordBatch], n: int, num: int, den: int, table) -> Iterator[pa.RecordBatch]:
+    words, level = Hashes(), table.value
     for b in slices(batches, "text"):
         nodes, keys = [], []
         for doc, t in zip(b.column("doc_id").to_pylist(), b.column("text").to_pylist()):
-            s = shingles(t, n, words)
-            if doc is None or not len(s):
+            mixed, split, m = _mixed(t, n, words)
+            if doc is None or not len(mixed):
                 continue
-            order = np.argsort(level[(s >> np.uint64(44)).astype(np.int64)], kind="stable")  # then by hash, as s is sorted
+            s, at = np.unique(mixed, return_index=True)
+            ends = np.concatenate([[0], np.cumsum(np.fromiter(map(len, split), np.int64, len(split)))])
+            long_ = np.minimum(ends[at + m] - ends[at], 65535)
+            order = np.argsort(level[cell(s)].astype(np.int64) << 16 | 65535 - long_, kind="stable")  # then by hash, as s is sorted
             keys.append(s[order[: prefix_length(len(s), num, den)]])
             nodes.append(np.full(len(keys[-1]), doc, np.int64))
         if nodes:
@@ -174,14 +212,14 @@ def _links(batches: Iterator[pa.RecordBatch], num: int, den: int) -> Iterator[pa
             yield pa.RecordBatch.from_arrays([pa.array(nodes[in_any]), pa.array(nodes[label[in_any]])], ["node", "hub"])
 
 
-def _blocked(clusters: DataFrame, num: int, den: int) -> DataFrame:
+def _blocked(groups: DataFrame, num: int, den: int) -> DataFrame:
     """(node, component, size) rows with the keys of the block pairs that each takes part in: (node, key).
 
-    A cluster of at most BLOCK rows is one block. In others, sizes form steps of the factor that linked sets differ by
+    A group of at most BLOCK rows is one block. In others, sizes form steps of the factor that linked sets differ by
     at most, each step has blocks of about BLOCK rows by hash, and a block meets those of its own and the next step.
     """
     step = F.floor(F.log(F.col("size")) / math.log(den / num) if num < den else F.col("size") * 1.0).cast("int")
-    rows = clusters.withColumn("step", step)
+    rows = groups.withColumn("step", step)
     steps = rows.groupBy("component", "step").agg(F.count("*").alias("n"))
     whole = steps.groupBy("component").agg(F.sum("n").alias("rows"), F.map_from_entries(F.collect_list(F.struct("step", F.ceil(F.col("n") / BLOCK).cast("int")))).alias("blocks"))
     of = lambda d: F.coalesce(F.try_element_at("blocks", F.col("step") + d), F.lit(0))
@@ -201,19 +239,19 @@ def _blocked(clusters: DataFrame, num: int, den: int) -> DataFrame:
 def join(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100) -> DataFrame:
     """docs (doc_id, text) as (doc_id, n_shingles, component_id): equal components for what links reach."""
     docs = docs.select(F.col("doc_id").cast("long"), "text")
-    first = stored(arrow(_sizes, docs, "doc_id long, n_shingles long, digest binary, cell int, count long", n), "sizes")
+    first = stored(arrow(_sizes, docs, "doc_id long, n_shingles long, digest binary, chunk int, cells binary", n), "sizes")
     sizes = first.filter("n_shingles is not null").select("doc_id", "n_shingles", "digest")
-    common = first.filter("cell is not null").groupBy("cell").agg(F.sum("count").alias("n")).toArrow()  # at most CELLS rows
-    cells, levels = np.asarray(common.column("cell")), np.asarray(common.column("n"), np.uint64)
+    chunks = first.filter("chunk is not null").select("chunk", "cells").repartition(F.col("chunk")).sortWithinPartitions("chunk")
+    table = docs.sparkSession.sparkContext.broadcast(levels(arrow(_sum_cells, chunks, "chunk int, cells binary").toArrow().to_pylist()))  # CELLS numbers at any size
 
-    postings = stored(arrow(_prefixes, docs, "shingle long, node long", n, num, den, cells, levels), "postings")
+    postings = stored(arrow(_prefixes, docs, "shingle long, node long", n, num, den, table), "postings")
     shared = postings.groupBy("shingle").agg(F.min("node").alias("hub"), F.max("node").alias("last")).filter("hub < last").select("shingle", "hub")
-    clusters = components(postings.join(shared, "shingle").select("node", "hub"))
+    groups = postings.join(shared, "shingle").select("node", F.col("hub").alias("component")).distinct()
 
     some = sizes.filter("doc_id is not null and n_shingles > 0")
     equal = some.groupBy("digest").agg(F.min("doc_id").alias("hub"), F.count("*").alias("n"))
     alone = equal.select(F.col("hub").alias("node"), "digest")
-    chosen = clusters.join(alone, "node").join(some.select(F.col("doc_id").alias("node"), "digest", F.col("n_shingles").alias("size")).distinct(), ["node", "digest"])
+    chosen = groups.join(alone, "node").join(some.select(F.col("doc_id").alias("node"), "digest", F.col("n_shingles").alias("size")).distinct(), ["node", "digest"])
     keyed = stored(_blocked(chosen.select("node", "component", "size"), num, den), "blocks")
     texts = docs.withColumnRenamed("doc_id", "node").join(keyed.select("node").distinct(), "node", "left_semi").withColumn("key", F.lit(""))
     sets = arrow(_sets, texts.select("key", "node", "text"), "key string, node long, set binary", n).drop("key").distinct()

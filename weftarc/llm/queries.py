@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from weftarc.llm import extract, jaccard, media, packing, warc
+from weftarc.llm import embeddings, extract, jaccard, lines, lm, media, packing, quality, warc
 
-MODULES = {"op1_warc": warc, "op5_extract": extract, "op7_jaccard": jaccard, "op8_packing": packing, "op9_media": media}
+MODULES = {"op1_warc": warc, "op3_lm": lm, "op4_quality": quality, "op5_extract": extract, "op6_embeddings": embeddings, "op7_jaccard": jaccard, "op8_packing": packing, "op9_media": media, "op10_lines": lines}
 
 
 def queries() -> dict:
