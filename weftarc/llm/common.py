@@ -81,7 +81,7 @@ def runs(batches: Iterator[pa.RecordBatch], key: list[str]) -> Iterator[pa.Table
         yield pa.Table.from_batches(held)
 
 
-def arrow(f: Callable[..., Iterator[pa.RecordBatch]], df: DataFrame, schema: str, *args) -> DataFrame:
+def arrow(f: Callable[..., Iterator[pa.RecordBatch]], df: DataFrame, schema, *args) -> DataFrame:
     """df.mapInArrow(f, schema) with further arguments for f."""
     return df.mapInArrow(lambda it: f(it, *args), schema)
 

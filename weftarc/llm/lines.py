@@ -99,7 +99,7 @@ def _keys(k: int, deltas: range, probes: bool) -> Column:
     return F.array(*keys)
 
 
-def _few(df: DataFrame) -> DataFrame:
+def few(df: DataFrame) -> DataFrame:
     """df, broadcast if it has at most BROADCAST rows."""
     return F.broadcast(df) if df.count() <= BROADCAST else df
 
@@ -121,7 +121,7 @@ def repeated(docs: DataFrame, k: int = EDITS, least: int = LEAST) -> DataFrame:
     found = pairs.join(first, "h").join(first.select(F.col("h").alias("other"), F.col("head").alias("other_head")), "other")
     found = stored(found.select(F.least("head", "other_head").alias("a"), F.greatest("head", "other_head").alias("b")).filter("a < b").distinct(), "candidates")
     needed = stored(found.select(F.explode(F.array("a", "b")).alias("at")).distinct(), "needed")
-    texts = stored(lines.select(_position().cast(POSITION).alias("at"), "line").join(_few(needed), "at").distinct(), "texts")
+    texts = stored(lines.select(_position().cast(POSITION).alias("at"), "line").join(few(needed), "at").distinct(), "texts")
     a, b = texts.select(F.col("at").alias("a"), F.col("line").alias("one")), texts.select(F.col("at").alias("b"), F.col("line").alias("two"))
     sizes = F.abs(F.char_length("one") - F.char_length("two")) <= k
     near = found.join(a, "a").join(b, "b").filter(sizes).filter(within(F.col("one"), F.col("two"), k)).select(F.col("b").alias("head")).distinct()
@@ -133,7 +133,7 @@ def repeated(docs: DataFrame, k: int = EDITS, least: int = LEAST) -> DataFrame:
 def remove_lines(docs: DataFrame, k: int = EDITS, least: int = LEAST) -> DataFrame:
     """docs with the text left, and removed: the numbers of the lines that went, in order."""
     gone = stored(repeated(docs, k, least).groupBy("doc_id").agg(F.array_sort(F.collect_set("no")).alias("removed")), "gone")
-    joined = docs.withColumn("removed", F.lit(None)).drop("removed").join(_few(gone), "doc_id", "left")
+    joined = docs.withColumn("removed", F.lit(None)).drop("removed").join(few(gone), "doc_id", "left")
     removed = F.coalesce("removed", F.array().cast("array<int>"))
     text = F.when(F.size(removed) == 0, F.col("text")).otherwise(F.array_join(F.filter(F.split("text", "\n"), lambda _, i: ~F.array_contains(removed, i)), "\n"))
     return joined.withColumn("text", text).withColumn("removed", removed)

@@ -25,8 +25,9 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from weftarc.llm.common import arrow, slices, stored
 
@@ -132,17 +133,19 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, most: int = FE
     return out
 
 
-def _evidence(batches: Iterator[pa.RecordBatch], model: dict) -> Iterator[pa.RecordBatch]:
+def _evidence(batches: Iterator[pa.RecordBatch], model: dict, text: str) -> Iterator[pa.RecordBatch]:
+    """Rows with the log odds of each flaw; text: the column of texts, which is left out, or `row`, a struct that has it."""
     weights = [{f: w for f, w in model[flaw].items() if f not in ("", "prior")} for flaw in FLAWS]
     wanted = frozenset().union(*weights)
-    for b in slices(batches, "text"):
+    for b in slices(batches, text):
         odds: list[list[float]] = [[], []]
-        for t in b.column("text").to_pylist():
+        texts = b.column(text) if text == "text" else b.column(text).field("text")
+        for t in texts.to_pylist():
             found = features(t) & wanted
             for o, w, flaw in zip(odds, weights, FLAWS):
                 o.append(model[flaw][""] + sum(w.get(f, 0.0) for f in sorted(found)))
-        rest = [i for i, n in enumerate(b.schema.names) if n != "text"]
-        yield pa.RecordBatch.from_arrays([b.column(i) for i in rest] + [pa.array(o, pa.float64()) for o in odds], [b.schema.names[i] for i in rest] + [f"{f}_odds" for f in FLAWS])
+        rest = [n for n in b.schema.names if n != "text"]
+        yield pa.RecordBatch.from_arrays([b.column(n) for n in rest] + [pa.array(o, pa.float64()) for o in odds], rest + [f"{f}_odds" for f in FLAWS])
 
 
 def _shrunk(sites: DataFrame, flaw: str, above: str) -> DataFrame:
@@ -160,13 +163,13 @@ def _shrunk(sites: DataFrame, flaw: str, above: str) -> DataFrame:
     return sites.withColumn(f"{flaw}_rate", (F.col(f"{flaw}_sum") + strength * m) / (n + strength))
 
 
-def judge(docs: DataFrame, labels: DataFrame, host: str = "source", path: str = "lang", model: dict | None = None) -> DataFrame:
-    """docs (doc_id, text, host, path) with p_low, p_toxic, and keep: whether both are at most one half."""
-    chosen = docs.select(F.col("doc_id").cast("long"), F.col(host).alias("host"), F.col(path).alias("path"), "text")
-    model = model or fit(docs, labels)
-    scored = stored(arrow(_evidence, chosen, "doc_id long, host string, path string, low_odds double, toxic_odds double", model), "evidence")
-    probability = lambda odds: 1 / (1 + F.exp(-odds))
-    paths = stored(scored.groupBy("host", "path").agg(F.count("*").alias("n"), *(F.sum(probability(F.col(f"{f}_odds"))).alias(f"{f}_sum") for f in FLAWS)), "paths")
+def _probability(odds: Column) -> Column:
+    return 1 / (1 + F.exp(-odds))
+
+
+def _sites(scored: DataFrame) -> DataFrame:
+    """(h, p, low_rate, toxic_rate) of all paths of scored documents (host, path, low_odds, toxic_odds)."""
+    paths = stored(scored.groupBy("host", "path").agg(F.count("*").alias("n"), *(F.sum(_probability(F.col(f"{f}_odds"))).alias(f"{f}_sum") for f in FLAWS)), "paths")
     sums = [F.sum(f"{f}_sum").alias(f"{f}_sum") for f in FLAWS]
     hosts = paths.groupBy("host").agg(F.sum("n").alias("n"), *sums)
     all_ = paths.agg(F.sum("n").alias("n"), *sums).first()
@@ -177,13 +180,39 @@ def judge(docs: DataFrame, labels: DataFrame, host: str = "source", path: str =
     sites = paths.join(above, F.col("host").eqNullSafe(F.col("h"))).drop("h")
     for f in FLAWS:
         sites = _shrunk(sites, f, f"{f}_above")
-    sites = stored(sites.select(F.col("host").alias("h"), F.col("path").alias("p"), *(f"{f}_rate" for f in FLAWS)), "sites")
+    return stored(sites.select(F.col("host").alias("h"), F.col("path").alias("p"), *(f"{f}_rate" for f in FLAWS)), "sites")
+
+
+def _posteriors(scored: DataFrame, sites: DataFrame, model: dict) -> DataFrame:
+    """scored with p_low, p_toxic and keep. Sites are broadcast up to BROADCAST; beyond, they are joined by a shuffle."""
     few = sites.count() <= BROADCAST
     joined = scored.join(F.broadcast(sites) if few else sites, F.col("host").eqNullSafe(F.col("h")) & F.col("path").eqNullSafe(F.col("p")))
     for f in FLAWS:
         rate = F.least(F.greatest(F.col(f"{f}_rate"), F.lit(1e-6)), F.lit(1 - 1e-6))
-        joined = joined.withColumn(f"p_{f}", F.round(probability(F.col(f"{f}_odds") - F.lit(model[f]["prior"]) + F.log(rate / (1 - rate))), 9))
-    return joined.select("doc_id", "host", "path", *(F.round(f"{f}_odds", 6).alias(f"{f}_odds") for f in FLAWS), *(f"p_{f}" for f in FLAWS), ((F.col("p_low") <= 0.5) & (F.col("p_toxic") <= 0.5)).alias("keep"))
+        joined = joined.withColumn(f"p_{f}", F.round(_probability(F.col(f"{f}_odds") - F.lit(model[f]["prior"]) + F.log(rate / (1 - rate))), 9))
+    return joined.withColumn("keep", (F.col("p_low") <= 0.5) & (F.col("p_toxic") <= 0.5))
+
+
+def _scored(docs: DataFrame, host: str, path: str, model: dict) -> DataFrame:
+    chosen = docs.select(F.col("doc_id").cast("long"), F.col(host).cast("string").alias("host"), F.col(path).cast("string").alias("path"), "text")
+    return stored(arrow(_evidence, chosen, "doc_id long, host string, path string, low_odds double, toxic_odds double", model, "text"), "evidence")
+
+
+def judge(docs: DataFrame, labels: DataFrame, host: str = "source", path: str = "lang", model: dict | None = None) -> DataFrame:
+    """docs (doc_id, text, host, path) with p_low, p_toxic, and keep: whether both are at most one half."""
+    model = model or fit(docs, labels)
+    scored = _scored(docs, host, path, model)
+    found = _posteriors(scored, _sites(scored), model)
+    return found.select("doc_id", "host", "path", *(F.round(f"{f}_odds", 6).alias(f"{f}_odds") for f in FLAWS), *(f"p_{f}" for f in FLAWS), "keep")
+
+
+def kept(docs: DataFrame, labels: DataFrame, host: str = "source", path: str = "lang", model: dict | None = None) -> DataFrame:
+    """The rows of docs that judge() keeps, with all their columns; texts are read twice rather than shuffled."""
+    model = model or fit(docs, labels)
+    sites = _sites(_scored(docs, host, path, model))
+    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), F.col(host).cast("string").alias("host"), F.col(path).cast("string").alias("path"))
+    schema = StructType([*rows.schema.fields, *(StructField(f"{f}_odds", DoubleType()) for f in FLAWS)])
+    return _posteriors(arrow(_evidence, rows, schema, model, "row"), sites, model).filter("keep").select("row.*")
 
 
 def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
