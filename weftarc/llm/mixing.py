@@ -59,13 +59,18 @@ def fit(docs: DataFrame, labelled: DataFrame, sample: int = SAMPLE) -> tuple[lis
     return domains, prior, weights - weights.mean(axis=0)
 
 
+def _total(weights: np.ndarray) -> Column:
+    """The sum over the buckets `at` of their weights, which are one constant array of the plan."""
+    table = F.split(F.lit(",".join(f"{x:.6g}" for x in weights)), ",").cast("array<double>")
+    return F.aggregate("at", F.lit(0.0), lambda total, i: total + F.get(table, i))
+
+
 def posteriors(docs: DataFrame, model: tuple[list[str], np.ndarray, np.ndarray]) -> DataFrame:
     """docs (doc_id, text) as (doc_id, n_tokens, p_0, p_1, ...)."""
     domains, prior, weights = model
     buckets = docs.select(F.col("doc_id").cast("long"), F.transform(_words(), _bucket).alias("at"))
     n = F.size("at")
-    add = [F.aggregate("at", F.lit(0.0), lambda a, i, w=w: a + F.get(F.split(F.lit(",".join(f"{x:.6g}" for x in w)), ",").cast("array<double>"), i)) for w in weights]
-    odds = buckets.select("doc_id", n.cast("long").alias("n_tokens"), *(a.alias(f"e_{k}") for k, a in enumerate(add)))
+    odds = buckets.select("doc_id", n.cast("long").alias("n_tokens"), *(_total(w).alias(f"e_{k}") for k, w in enumerate(weights)))
     flat = F.when(F.col("n_tokens") > SOFT, SOFT / F.col("n_tokens")).otherwise(F.lit(1.0))
     odds = odds.select("doc_id", "n_tokens", *((F.col(f"e_{k}") * flat + float(p)).alias(f"e_{k}") for k, p in enumerate(prior)))
     names = [f"e_{k}" for k in range(len(domains))]
