@@ -1,12 +1,24 @@
-"""Queries over the test tables and the SQL that DuckDB answers them with."""
+"""Queries over the test tables and the SQL that DuckDB answers them with.
+
+The tables have no archive records, so these are made from ``pages`` by fixed rules on the page id, the same in both
+languages: a response record for each page, or the JSON of its WAT record.
+"""
 
 from __future__ import annotations
 
+import os
+import tempfile
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from weftarc.functions import tld, url
+from weftarc.operators import counts, files, graph, index, links, sitemaps, wet
+from weftarc.plans import passthrough
+from weftarc.sources import archives, tables
+from weftarc.sources.warcfile import Writer
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
@@ -25,3 +37,258 @@ def query(name: str, sql: str | None = None):
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+# records of pages
+
+HEADERS = "array<struct<name:string,value:string>>"
+
+
+def responses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A response record for each page."""
+    pages = table(spark, sf_dir, "pages")
+    server = F.expr(
+        """CASE page_id % 4 WHEN 0 THEN array(named_struct('name', 'Date', 'value', 'now'))
+        WHEN 1 THEN array(named_struct('name', 'Server', 'value', concat('nginx/', page_id % 3)))
+        WHEN 2 THEN array(named_struct('name', 'server', 'value', 'Apache'), named_struct('name', 'Server', 'value', 'Apache'), named_struct('name', 'SERVER', 'value', 'proxy'))
+        ELSE array(named_struct('name', 'Server', 'value', '')) END"""
+    )
+    kind = F.expr(f"array(named_struct('name', 'Content-Type', 'value', IF(page_id % 10 = 9, 'application/pdf', 'text/html; charset=utf-8')))")
+    ip = F.expr("IF(page_id % 5 = 0, NULL, concat('10.0.', page_id % 7, '.', page_id % 3))")
+    named = F.map_filter(F.create_map(F.lit("warc-target-uri"), F.col("url"), F.lit("warc-ip-address"), ip, F.lit("warc-identified-payload-type"), F.expr("IF(page_id % 20 = 19, 'text/html', NULL)")), lambda _, v: v.isNotNull())
+    status = F.expr("CASE WHEN page_id % 11 = 10 THEN 'HTTP/1.1 302 Found' ELSE 'HTTP/1.1 200 OK' END")
+    return pages.select(
+        F.lit("file:/crawl/robotstxt/0.warc.gz").alias("warc_uri"), F.lit("response").alias("rec_type"), F.lit("application/http").alias("content_type"), named.alias("headers"),
+        status.alias("http_status_line"), F.concat(server, kind).cast(HEADERS).alias("http_headers"), F.encode("html", "UTF-8").alias("payload"),
+        F.lit(0).cast("long").alias("offset"), F.lit(0).cast("long").alias("length"), F.lit(None).cast("string").alias("error"),
+    )
+
+
+def wat_records(pages: DataFrame, envelope: str) -> DataFrame:
+    """WAT records whose JSON is the SQL expression's struct over the columns of pages."""
+    return pages.select(
+        F.lit("file:/crawl/wat/0.warc.wat.gz").alias("warc_uri"), F.lit("metadata").alias("rec_type"), F.lit("application/json").alias("content_type"), F.create_map(F.lit("warc-target-uri"), F.col("url")).alias("headers"),
+        F.lit(None).cast("string").alias("http_status_line"), F.lit(None).cast(HEADERS).alias("http_headers"), F.encode(F.expr(f"to_json({envelope})"), "UTF-8").alias("payload"),
+        F.lit(0).cast("long").alias("offset"), F.lit(0).cast("long").alias("length"), F.lit(None).cast("string").alias("error"),
+    )
+
+
+def _envelope(response: str) -> str:
+    return f"named_struct('Envelope', named_struct('WARC-Header-Metadata', named_struct('WARC-Type', 'response', 'WARC-Target-URI', url), 'Payload-Metadata', named_struct('HTTP-Response-Metadata', {response})))"
+
+
+def href_wats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """WAT records with the links that stand in the pages."""
+    made = _envelope(r"""named_struct('HTML-Metadata', named_struct('Links', transform(regexp_extract_all(html, '<a href="([^"]*)"', 1), x -> named_struct('path', 'A@/href', 'url', x))))""")
+    return wat_records(table(spark, sf_dir, "pages"), made)
+
+
+def cross_wats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """WAT records in which page k of n links to page (7k + 1) mod n."""
+    pages = table(spark, sf_dir, "pages")
+    n = pages.count()
+    other = pages.select((F.col("page_id")).alias("to"), F.col("url").alias("link"))
+    both = pages.withColumn("to", (F.col("page_id") * 7 + 1) % n).join(other, "to")
+    return wat_records(both, _envelope("named_struct('HTML-Metadata', named_struct('Links', array(named_struct('url', link))))"))
+
+
+HOST = "lower(regexp_extract(url, '^(?:https?)://([A-Za-z0-9][A-Za-z0-9.-]*[A-Za-z0-9])(?:[/?#]|$)', 1))"
+SURT = "array_to_string(list_reverse(case when len(string_split({0}, '.')) > 2 and string_split({0}, '.')[1] = 'www' then string_split({0}, '.')[2:] else string_split({0}, '.') end), '.')".format(HOST)
+CROSS = f"""hosts as (select page_id, {SURT} as h from pages), cross_ as (select distinct a.h as s, b.h as t from hosts a join hosts b on b.page_id = (a.page_id * 7 + 1) % (select count(*) from pages))"""
+NAMES = "names as (select s as name from cross_ union select t from cross_), ids as (select name, row_number() over (order by name) - 1 as id from names)"
+
+
+@query("word_count", r"select lower(w) as key, count(*) as tf, count(distinct doc_id) as df from (select doc_id, unnest(regexp_extract_all(text, '[\p{L}\p{N}_]+')) as w from documents) group by 1")
+def _(spark, sf_dir):
+    return counts.word_frequencies(table(spark, sf_dir, "documents"))
+
+
+@query("word_count_by_lang", r"select lang, lower(w) as key, count(*) as tf, count(distinct doc_id) as df from (select lang, doc_id, unnest(regexp_extract_all(text, '[\p{L}\p{N}_]+')) as w from documents join labels using (doc_id) where quality = 1) group by 1, 2")
+def _(spark, sf_dir):
+    good = table(spark, sf_dir, "labels").filter("quality = 1").select("doc_id")
+    return counts.word_frequencies(table(spark, sf_dir, "documents").join(good, "doc_id"), "text", "lang")
+
+
+@query("tag_count", "select t as key, count(*) as val from (select unnest(regexp_extract_all(html, '<([a-z0-9]+)', 1)) as t from pages where page_id % 10 <> 9 or page_id % 20 = 19) group by 1")
+def _(spark, sf_dir):
+    return counts.tag_count(responses(spark, sf_dir))
+
+
+@query("server_count", """select key, count(*) as val from (select unnest(case page_id % 4 when 1 then ['nginx/' || (page_id % 3)] when 2 then ['Apache', 'proxy'] else ['(no server in HTTP header)'] end) as key from pages) group by 1""")
+def _(spark, sf_dir):
+    return counts.server_count(responses(spark, sf_dir))
+
+
+@query("wat_server_count", """select key, count(*) as val from (select unnest(case page_id % 3 when 0 then ['a', 'a'] when 1 then ['b/' || (page_id % 5)] else ['(no server in HTTP header)'] end) as key from pages) group by 1""")
+def _(spark, sf_dir):
+    headers = "from_json(CASE page_id % 3 WHEN 0 THEN '{\"server\":[\" a\",\"a \"]}' WHEN 1 THEN concat('{\"Server\":\"b/', page_id % 5, '\"}') ELSE '{\"Date\":\"now\"}' END, 'map<string,string>')"
+    plain = wat_records(table(spark, sf_dir, "pages"), _envelope(f"named_struct('Headers', {headers})"))
+    # from_json gives lists as text; make them lists again
+    text = F.regexp_replace(F.regexp_replace(F.decode("payload", "UTF-8"), r'"\[(.*?)\]"', r"[$1]"), r'\\"', '"')
+    return counts.server_count(plain.withColumn("payload", F.encode(text, "UTF-8")))
+
+
+@query("server_ip_count", f"""select {HOST} as host, case when page_id % 5 = 0 then '(no IP address)' else '10.0.' || (page_id % 7) || '.' || (page_id % 3) end as ip, count(*) as cnt from pages group by 1, 2""")
+def _(spark, sf_dir):
+    return counts.server_ip_count(responses(spark, sf_dir))
+
+
+@query("host_count", f"select {HOST} as host, count(*) as n from pages group by 1")
+def _(spark, sf_dir):
+    return table(spark, sf_dir, "pages").groupBy(url.host_of(F.col("url")).alias("host")).agg(F.count("*").alias("n"))
+
+
+@query("surt_host", f"select page_id, {SURT} as host from pages")
+def _(spark, sf_dir):
+    return table(spark, sf_dir, "pages").select("page_id", url.surt_of(F.col("url")).alias("host"))
+
+
+@query("page_links", """with l as (select url, unnest(case when len(x) > 0 then x else [null] end) as href from (select url, regexp_extract_all(html, '<a href="([^"]*)"', 1) as x from pages))
+select distinct url as s, case when href is null then url else regexp_extract(url, '^(https?://[^/?#]*)', 1) || href end as t from l""")
+def _(spark, sf_dir):
+    return links.page_links(href_wats(spark, sf_dir))
+
+
+@query("host_links", f"with {CROSS} select s, t from cross_")
+def _(spark, sf_dir):
+    return links.host_links(cross_wats(spark, sf_dir))
+
+
+@query("redirect_links", """select distinct url as s, case when page_id % 11 = 10 then '/login?next=' || (page_id % 7) else url end as t from pages""")
+def _(spark, sf_dir):
+    moved = F.when(F.col("http_status_line").contains("302"), F.concat("http_headers", F.array(F.struct(F.lit("location").alias("name"), F.concat(F.lit(" /login?next="), (F.col("id") % 7).cast("string"), F.lit(" ")).alias("value"))))).otherwise(F.col("http_headers"))
+    pages = table(spark, sf_dir, "pages").select("page_id", F.col("url").alias("u"))
+    rows = responses(spark, sf_dir).withColumn("u", F.col("headers")["warc-target-uri"]).join(pages.withColumnRenamed("page_id", "id"), "u")
+    return links.page_links(rows.withColumn("http_headers", moved))
+
+
+@query("graph_vertices", f"with {CROSS}, {NAMES} select name, id from ids")
+def _(spark, sf_dir):
+    return graph.vertices(links.host_edges(links.captures(cross_wats(spark, sf_dir))), normalize=True, validate=True)
+
+
+@query("graph_edges", f"with {CROSS}, {NAMES} select a.id as s, b.id as t from cross_ join ids a on a.name = s join ids b on b.name = t where s <> t")
+def _(spark, sf_dir):
+    edges = links.host_edges(links.captures(cross_wats(spark, sf_dir)))
+    return graph.edges_of_ids(edges, graph.vertices(edges))
+
+
+@query("graph_text", f"with {CROSS}, {NAMES} select id || chr(9) || name as line from ids")
+def _(spark, sf_dir):
+    ids = graph.vertices(links.host_edges(links.captures(cross_wats(spark, sf_dir))))
+    return ids.select(F.concat_ws("\t", "id", "name").alias("line"))
+
+
+@query("tld_filter", f"with n as (select distinct {SURT} as name from pages), m as (select name from n union all select 'x9.' || name from n union all select 'de' from n union all select 'fr.' || name from n) select distinct name from m where contains(name, '.') and (regexp_full_match(string_split(name, '.')[1], '[a-z][a-z]') or string_split(name, '.')[1] in ({', '.join(repr(g) for g in tld.GENERIC)}))")
+def _(spark, sf_dir):
+    n = table(spark, sf_dir, "pages").select(url.surt_of(F.col("url"), simple_only=True).alias("name")).distinct()
+    more = n.select(F.explode(F.array("name", F.concat(F.lit("x9."), "name"), F.lit("de"), F.concat(F.lit("fr."), "name"))).alias("name")).distinct()
+    return graph.valid_hosts(more)
+
+
+@query("tld_join", f"with n as (select distinct {SURT} as name from pages) select name from n where string_split(name, '.')[1] in ('com', 'org')")
+def _(spark, sf_dir):
+    n = table(spark, sf_dir, "pages").select(url.surt_of(F.col("url"), simple_only=True).alias("name")).distinct()
+    return graph.valid_hosts(n, spark.range(2).select(F.when(F.col("id") == 0, "com").otherwise("org").alias("tld")))
+
+
+@query("link_map_import", f"with {CROSS} select distinct s, t from cross_")
+def _(spark, sf_dir):
+    edges = links.host_edges(links.captures(cross_wats(spark, sf_dir)))
+    folder = os.path.join(tempfile.mkdtemp(), "edges")
+    edges.select(F.concat_ws("\t", "s", "t")).write.text(folder)
+    return tables.tsv_edges(spark, folder).distinct()
+
+
+@query("sitemaps", f"""with r as (select 'http://' || {HOST} || '/robots.txt' as u, {HOST} as host, page_id from pages),
+m as (select 'http://maps.example.org/' || (page_id % 13) || '.xml' as sitemap_url, host from r union all select 'http://' || host || '/s' || (page_id % 5) || '.xml', host from r)
+select sitemap_url, string_agg(host, ' ' order by host) as hosts from m group by 1""")
+def _(spark, sf_dir):
+    return sitemaps.sitemaps(robots(spark, sf_dir)).select("sitemap_url", F.array_join("hosts", " ").alias("hosts"))
+
+
+def robots(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """robots.txt responses: one absolute and one relative sitemap, and one that is no UTF-8."""
+    pages = table(spark, sf_dir, "pages")
+    body = F.concat(
+        F.encode(F.concat(F.lit("User-agent: *\r\nDisallow:\r\n  SITEMAP: http://maps.example.org/"), (F.col("page_id") % 13).cast("string"), F.lit(".xml and more\nsitemap:/s"), (F.col("page_id") % 5).cast("string"), F.lit(".xml\nSitemap: /bad")), "UTF-8"),
+        F.unhex(F.lit("E90A")),
+    )
+    own = F.concat(F.lit("http://"), url.host_of(F.col("url"), simple_only=True), F.lit("/robots.txt"))
+    return pages.select(F.lit("response").alias("rec_type"), F.create_map(F.lit("warc-target-uri"), own).alias("headers"), body.alias("payload"))
+
+
+@query("sitemap_counters", "select count(*) as robots_txt_processed, cast(3 * count(*) as bigint) as sitemap_urls_found, count(*) as sitemap_url_invalid_encoding, count(*) as robots_txt_announcing_sitemap, cast(0 as bigint) as robots_txt_with_more_than_50_sitemaps from pages")
+def _(spark, sf_dir):
+    return sitemaps.counters(robots(spark, sf_dir))
+
+
+@query("job_counters", """select count(*) as records_processed, cast(0 as bigint) as warc_input_failed, count(*) as records_response, cast(0 as bigint) as records_response_wat,
+  count(*) filter (where page_id % 10 = 9 and page_id % 20 <> 19) as records_non_html, count(*) filter (where page_id % 11 = 10) as records_response_redirect from pages""")
+def _(spark, sf_dir):
+    return counts.job_counters(responses(spark, sf_dir))
+
+
+@query("text_md5", "select 'doc/' || doc_id as uri, md5(text) as md5 from documents")
+def _(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    return files.md5(docs.select(F.concat(F.lit("doc/"), F.col("doc_id").cast("string")).alias("path"), F.encode("text", "UTF-8").alias("content")))
+
+
+@query("json_props", "select json_extract_string(props, '$.k') as k, count(*) as n from events group by 1")
+def _(spark, sf_dir):
+    return table(spark, sf_dir, "events").groupBy(F.try_variant_get(F.try_parse_json("props"), "$.k", "string").alias("k")).agg(F.count("*").alias("n"))
+
+
+@query("index_export", "select url, page_id % 4 as shard from pages where page_id % 3 = 0")
+def _(spark, sf_dir):
+    return index.query(spark, f"{sf_dir}/pages.parquet", "SELECT url, page_id % 4 AS shard FROM ccindex WHERE page_id % 3 = 0")
+
+
+# archives: written from pages, and read again
+
+
+def _archive(spark: SparkSession, sf_dir: str) -> tuple[str, DataFrame]:
+    """A folder with one WARC file of the smallest test table's pages, for this process, and the places of its records."""
+    folder = tempfile.mkdtemp()
+    rows = table(spark, sf_dir, "pages").orderBy("page_id").toLocalIterator()
+    places = []
+    with open(os.path.join(folder, "0.warc.gz"), "wb") as f:
+        w = Writer(f)
+        w.write("warcinfo", b"operator: test\r\nrobots: classic\r\n", "application/warc-fields")
+        for r in rows:
+            body = b"HTTP/1.1 200 OK\r\nServer: nginx\r\nContent-Type: text/html; charset=utf-8\r\n\r\n" + (r["html"] or "").encode()
+            places.append((r["url"], "0.warc.gz", *w.write("response", body, "application/http; msgtype=response", r["url"], "2024-01-01T00:00:00Z")))
+    return folder, spark.createDataFrame(places or [("", "", 0, 0)], "url string, warc_filename string, warc_record_offset long, warc_record_length long").limit(len(places))
+
+
+@query("warc_scan", "select url, md5(html) as payload_md5, octet_length(encode(html)) as bytes from pages")
+def _(spark, sf_dir):
+    folder, _ = _archive(spark, sf_dir)
+    found = archives.read(spark, folder).filter(F.col("rec_type") == "response")
+    return found.select(F.col("headers")["warc-target-uri"].alias("url"), F.md5("payload").alias("payload_md5"), F.octet_length("payload").cast("long").alias("bytes"))
+
+
+@query("warc_range_fetch", "select url, md5(html) as payload_md5 from pages where page_id % 5 = 0")
+def _(spark, sf_dir):
+    folder, places = _archive(spark, sf_dir)
+    wanted = table(spark, sf_dir, "pages").filter("page_id % 5 = 0").select("url").distinct()
+    found = index.records(places.join(wanted, "url", "left_semi"), folder + "/", 8)
+    return found.select("url", F.md5("payload").alias("payload_md5"))
+
+
+@query("wet_extract")
+def _(spark, sf_dir):
+    folder, _ = _archive(spark, sf_dir)
+    out = os.path.join(folder, "wet")
+    rows = wet.extract(spark.range(1).select(F.lit("0.warc.gz").alias("uri")), out, folder + "/")
+    return rows.select("uri", "wet_record_location.filename", "wet_record_location.offset", "wet_record_location.length")
+
+
+@query("html_word_count")
+def _(spark, sf_dir):
+    return counts.html_word_count(responses(spark, sf_dir))
+
+
+for _name, _sql in passthrough.SQL.items():
+    QUERIES[_name], ORACLES[_name] = passthrough.run(_sql), _sql
