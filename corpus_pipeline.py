@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weftarc.llm import jaccard, lines, mixing, packing, quality
-from weftarc.llm.common import stored
+from weftarc.llm.common import few, stored
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
@@ -38,14 +38,14 @@ def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near copies (five-word shingles, similarity of 0.8 or more), the document with the smallest id."""
     found = jaccard.join(docs, 5, 80, 100)
     gone = found.filter("doc_id <> component_id").select("doc_id").distinct()
-    return docs.join(lines.few(stored(gone, "copies")), "doc_id", "left_anti").select(*COLUMNS)
+    return docs.join(few(stored(gone, "copies")), "doc_id", "left_anti").select(*COLUMNS)
 
 
 def mix_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents repeated to token weights by language, the natural shares to the power of 0.7; none is left out."""
     rates, _ = mixing.mix(docs, mixing.by_language(docs, _table(spark, sf_dir, "labels")), 0.7, floor=1.0, grow=True)
     more = stored(rates.filter("copies > 1").groupBy("doc_id").agg(F.max("copies").alias("copies")), "copies")
-    joined = docs.join(lines.few(more), "doc_id", "left")
+    joined = docs.join(few(more), "doc_id", "left")
     return joined.select(*COLUMNS, F.explode(F.sequence(F.lit(1), F.coalesce("copies", F.lit(1)).cast("int"))).alias("copy")).select(*COLUMNS)
 
 

@@ -109,7 +109,7 @@ def test_pack(spark, window):
     got = packing.pack(table(spark, rows), tokenizer_path(), window).collect()
     windows = check_pieces(got, rows, window)
     total = sum(p.length for p in got)
-    assert len(windows) <= -(-total // window) + (1 if window == 64 else 2)
+    assert len(windows) <= -(-total // window) + 3
     assert sorted(windows) == list(range(len(windows)))
 
 

@@ -153,7 +153,7 @@ def test_general_scans():
     for row in cut:
         run = 0
         if row[1:].any():
-            flush(b, empty)
+            flush(b, int(empty))
             empty = 0
         for v in row[1 : 1 + (np.flatnonzero(row[1:]).max(initial=-1) + 1)]:
             if v == 0:
@@ -178,9 +178,10 @@ def test_general_scans():
             elif row[k] == 0:
                 run += 1
                 if run == 16:
-                    pass
+                    b.code(codes, 0xF0)
+                    b.s += pending
+                    run, pending = 0, ""
             else:
-                assert run < 16
                 b.code(codes, run << 4 | 1)
                 b.s += ("1" if row[k] > 0 else "0") + pending
                 run, pending = 0, ""

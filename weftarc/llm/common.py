@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -14,6 +17,8 @@ from pyspark.sql import functions as F
 WORD = r"[^\x20\x09-\x0D]+"
 #: What separates words, for split().
 SPACE = r"[\x20\x09-\x0D]+"
+#: Rows, of a few numbers each, up to which the side of a join may be broadcast.
+BROADCAST = 200_000
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 _own_folder: list[str] = []
@@ -37,6 +42,16 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def release(spark: SparkSession) -> None:
+    """Let go of the shuffle files of steps whose results are stored.
+
+    Spark deletes them once the driver's objects for them are collected, which on a driver with memory to spare may be
+    long after; until then they are disk on every executor.
+    """
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def remove(df: DataFrame) -> None:
     """Delete the files of a table that stored() wrote, once nothing reads it any more."""
     jvm = df.sparkSession._jvm
@@ -45,12 +60,17 @@ def remove(df: DataFrame) -> None:
         path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def few(df: DataFrame) -> DataFrame:
+    """df, broadcast if it has at most BROADCAST rows, which it counts; beyond, joined as any other."""
+    return F.broadcast(df) if df.count() <= BROADCAST else df
+
+
 def ascii_lower(c):
     """Lower-case A-Z only."""
     return F.translate(c, UPPER, LOWER)
 
 
-def slices(batches: Iterator[pa.RecordBatch], column: str, most: int = 1 << 24) -> Iterator[pa.RecordBatch]:
+def slices(batches: Iterator[pa.RecordBatch], column: str, most: int = 1 << 22) -> Iterator[pa.RecordBatch]:
     """The batches, cut so that the column holds about ``most`` bytes in each; a longer single row stays whole."""
     for b in batches:
         if b.num_rows == 0:
@@ -82,8 +102,18 @@ def runs(batches: Iterator[pa.RecordBatch], key: list[str]) -> Iterator[pa.Table
 
 
 def arrow(f: Callable[..., Iterator[pa.RecordBatch]], df: DataFrame, schema, *args) -> DataFrame:
-    """df.mapInArrow(f, schema) with further arguments for f."""
-    return df.mapInArrow(lambda it: f(it, *args), schema)
+    """df.mapInArrow(f, schema) with further arguments for f. A worker, which is kept for later stages, gives back its memory."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from f(batches, *args)
+        finally:
+            gc.collect()
+            pa.default_memory_pool().release_unused()
+            with contextlib.suppress(OSError, AttributeError):
+                ctypes.CDLL(None).malloc_trim(0)
+
+    return df.mapInArrow(run, schema)
 
 
 def components(links: DataFrame, node: str = "node", hub: str = "hub") -> DataFrame:

@@ -33,7 +33,7 @@ from weftarc.llm.common import SPACE, arrow, slices, stored
 WINDOW = 4096
 END = 2
 END_OF_WORD = "</w>"
-CACHED = 400_000
+CACHED = 300_000
 #: Texts of white space, ASCII without apostrophes and Latin-1 letters. The tokenizer splits these into words, single
 #: digits and runs of punctuation, and lower-cases each letter by itself, so the ids of a text are those of its parts.
 PLAIN = re.compile(r"[\t-\r -&(-~À-ÖØ-öø-ÿ]*")

@@ -79,21 +79,28 @@ def _count_features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
     yield rows()
 
 
-def _present(batches: Iterator[pa.RecordBatch], chosen: frozenset) -> Iterator[pa.RecordBatch]:
+def _present(batches: Iterator[pa.RecordBatch], places: dict[str, int]) -> Iterator[pa.RecordBatch]:
+    """The places of the chosen features that each text has."""
+    wanted = frozenset(places)
     for b in slices(batches, "text"):
-        found = [sorted(features(t) & chosen) for t in b.column("text").to_pylist()]
-        yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(found, pa.list_(pa.string())), *(b.column(c) for c in FLAWS)], ["doc_id", "found", *FLAWS])
+        found = [sorted(places[f] for f in features(t) & wanted) for t in b.column("text").to_pylist()]
+        yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(found, pa.list_(pa.int32())), *(b.column(c) for c in FLAWS)], ["doc_id", "found", *FLAWS])
 
 
 def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, steps: int = 30) -> np.ndarray:
-    """Weights and, last, the bias, by Newton's method with a ridge on the weights."""
-    x = np.hstack([x, np.ones((len(x), 1))])
-    w, r = np.zeros(x.shape[1]), np.full(x.shape[1], ridge)
+    """Weights and, last, the bias, by Newton's method with a ridge on the weights. x: booleans, taken a few rows at a time."""
+    k = x.shape[1] + 1
+    w, r = np.zeros(k), np.full(k, ridge)
     r[-1] = 1e-6
     for _ in range(steps):
-        p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        grad = x.T @ (y - p) - r * w
-        change = np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + np.diag(r), grad)
+        grad, curve = -r * w, np.diag(r)
+        for i in range(0, len(x), 2048):
+            part = np.ones((len(x[i : i + 2048]), k))
+            part[:, :-1] = x[i : i + 2048]
+            p = 1 / (1 + np.exp(-np.clip(part @ w, -30, 30)))
+            grad += part.T @ (y[i : i + 2048] - p)
+            curve += (part * (p * (1 - p))[:, None]).T @ part
+        change = np.linalg.solve(curve, grad)
         w += change * min(1.0, 4 / max(1e-9, np.abs(change).max()))
         if np.abs(change).max() < 1e-8:
             break
@@ -115,21 +122,22 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, most: int = FE
         p = F.col("docs") / F.lit(max(1, n))
         z = F.abs(have / max(1, k) - miss / max(1, n - k)) / F.sqrt(p * (1 - p) * (1 / max(1, k) + 1 / max(1, n - k)))
         chosen[flaw] = [r[0] for r in counted.withColumn("z", z).filter(F.col("z") > SIGNIFICANT).orderBy(F.desc("z"), "feature").limit(most).collect()] if 0 < k < n else []
-    wanted = frozenset(f for fs in chosen.values() for f in fs)
-    got = arrow(_present, rows, "doc_id long, found array<string>, low double, toxic double", wanted).toArrow().to_pylist()  # as many rows as the sample
-    got.sort(key=lambda r: (r["doc_id"] is None, r["doc_id"], r["found"]))
+    places = {f: i for i, f in enumerate(sorted({f for fs in chosen.values() for f in fs}))}
+    got = arrow(_present, rows, "doc_id long, found array<int>, low double, toxic double", places).toArrow().combine_chunks()  # as many rows as the sample
+    found = got.column("found").combine_chunks()
+    have = np.zeros((got.num_rows, len(places)), bool)
+    have[np.repeat(np.arange(got.num_rows), np.asarray(found.value_lengths())), np.asarray(found.flatten())] = True
     out = {}
     for flaw, k in zip(FLAWS, flawed):
-        names = {f: i for i, f in enumerate(chosen[flaw])}
         prior = float(np.log((k + 0.5) / (n - k + 0.5)))
-        if not names:
+        if not chosen[flaw]:
             out[flaw] = {"": prior, "prior": prior}
             continue
-        x = np.zeros((len(got), len(names)))
-        for i, r in enumerate(got):
-            x[i, [names[f] for f in r["found"] if f in names]] = 1
-        w = _logistic(x, np.array([r[flaw] > 0.5 for r in got], float))
-        out[flaw] = {f: float(w[i]) for f, i in names.items()} | {"": float(w[-1]), "prior": prior}
+        y = np.asarray(got.column(flaw)) > 0.5
+        x = have[:, [places[f] for f in chosen[flaw]]]
+        order = np.lexsort((*x.T, y))  # sums in one order, however rows came
+        w = np.round(_logistic(x[order], y[order].astype(float)), 9)
+        out[flaw] = {f: float(v) for f, v in zip(chosen[flaw], w)} | {"": float(w[-1]), "prior": prior}
     return out
 
 
