@@ -4,7 +4,7 @@ Markup is stripped to lines, one for each block-level element. A line weighs its
 a container of menus, headers, footers, sidebars, notices, adverts, forms or reader comments (told by element, role,
 class or id), if most of it is link text, or if the page marks its article and the line stands outside. Weights are
 summed over windows of ``WINDOW`` lines; the text surges where a window becomes positive after empty ones and dives
-where a window is empty again. What stands between a surge and its dive is kept: in a marked article always, else if
+where a window is empty again; a container beside the article is an empty line. What stands between a surge and its dive is kept: in a marked article always, else if
 some window there has at least ``SURGE`` characters, or if it has the most of all.
 
 Defined cases: a null or empty html gives an empty text; an element that is never closed ends with what contains it or
@@ -42,6 +42,7 @@ BESIDE = frozenset(
     "widgets related recommended share sharing social cookie cookies consent gdpr notice alert popup modal overlay newsletter subscribe subscription signup login search "
     "comment comments discussion disqus reply replies respond footer masthead copyright disclaimer toolbar pagination pager taboola outbrain paywall".split()
 )
+AROUND = frozenset("has have with without no is".split())  # `has-sidebar` is said of what is around one
 NEVER = frozenset("html body article main".split())  # have no such meaning by their class, comments aside
 COMMENTS = frozenset("comment comments reply replies".split())
 WORDS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
@@ -62,7 +63,8 @@ def _beside(name: str, attributes: str, inside: bool) -> bool:
     if not attributes.strip():
         return False
     found = {m[1].lower(): next((g for g in m.groups()[1:] if g is not None), "") for m in ATTRIBUTE.finditer(attributes)}
-    words = {w.lower() for k in ("class", "id") for w in WORDS.findall(found.get(k, ""))}
+    names = [[w.lower() for w in WORDS.findall(n)] for k in ("class", "id") for n in found.get(k, "").split()]
+    words = {w for n in names if n and n[0] not in AROUND for w in n}
     if name in NEVER:
         return name != "body" and bool(words & COMMENTS)
     if "hidden" in found or found.get("aria-hidden") == "true" or re.search(r"display\s*:\s*none", found.get("style", "")):
@@ -180,17 +182,14 @@ def main_text(page: str | None) -> str:
 
 def _kept(found: list[Line | None]) -> str:
     marked = next((k for k in ("article", "main") if any(x and getattr(x, k) for x in found)), None)
-    flat: list[Line | None] = []
-    for x in found:
-        flat += [x] if x else [None] * WINDOW
     if marked:
-        weights = [len(x.text) if x and getattr(x, marked) else 0 for x in flat]
+        weights = [len(x.text) if x and getattr(x, marked) else 0 for x in found]
     else:
-        weights = [len(x.text) if x and x.links <= LINKS * len(x.text) else 0 for x in flat]
+        weights = [len(x.text) if x and x.links <= LINKS * len(x.text) else 0 for x in found]
     stretches = spans(weights)
     most = max((p for *_, p in stretches), default=0)
     kept = [(a, b) for a, b, p in stretches if marked or p >= SURGE or p == most]
-    return "\n\n".join(flat[i].text for a, b in kept for i in range(a, b) if weights[i])
+    return "\n\n".join(found[i].text for a, b in kept for i in range(a, b) if weights[i])
 
 
 def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
