@@ -51,8 +51,11 @@ def test_jaccard(spark, n, num, den):
     assert sorted((r.doc_id if r.doc_id is not None else -1, r.n_shingles, r.component_id if r.component_id is not None else -1) for r in got) == sorted((i if i is not None else -1, len(s), want[i] if i is not None else -1) for i, s in sets)
 
 
-def test_jaccard_large_group(spark):
-    """A group of near copies of more than a block, and a passage in all of many texts."""
+@pytest.mark.parametrize("rows_,total", [(64, 10**9), (512, 4000), (512, 250_000)])
+def test_jaccard_large_group(spark, monkeypatch, rows_, total):
+    """A group of near copies of more than a block, by rows or by shingles, and a passage in all of many texts."""
+    monkeypatch.setattr(jaccard, "ROWS", rows_)
+    monkeypatch.setattr(jaccard, "SHINGLES", total)
     base = words(150, seed=1).split()
     rng = random.Random(0)
     rows = []

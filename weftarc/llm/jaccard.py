@@ -11,7 +11,8 @@ of their union. The stages:
    come first, so that prefixes seldom meet by chance. A shingle in several prefixes puts its documents in the group of
    the smallest of them; groups are (document, smallest document) rows, and pairs are never made.
 3. Documents with equal sets are represented by the smallest id. The representatives in a group form blocks by size and
-   hash; a task multiplies the incidence matrices of two blocks over slices of the shingles that two rows share,
+   hash. First their prefixes, longer by a tenth of the set, are multiplied: sets that link share as many more shingles in
+   them. What has no partner in a block pair then, goes. Of the others, a task multiplies the incidence matrices of two blocks over slices of the shingles that two rows share,
    accumulating overlaps and discarding pairs as soon as a bound from their sizes and what is left cannot be met. It
    returns the connected components of what links inside the two blocks.
 4. Components over these rows and equal sets are the result.
@@ -35,18 +36,18 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftarc.llm.common import arrow, components, runs, slices, stored
+from weftarc.llm.common import arrow, components, few, release, runs, slices, stored
 
 CELLS, CHUNK = 1 << 22, 1 << 12  # of the table of counts, and what is summed at once
-BLOCK = 128  # representatives
+ROWS, SHINGLES = 512, 250_000  # of a block, at most about so many
 SLICE = 4096  # shingles of a product
 
 
 class Hashes(dict):
-    """64-bit hashes of words, the last half million kept."""
+    """64-bit hashes of words; they are kept until there are too many."""
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) > 500_000:
+        if len(self) > 200_000:
             self.clear()
         h = self[word] = xxhash.xxh3_64_intdigest(word)
         return h
@@ -82,13 +83,12 @@ def _sizes(batches: Iterator[pa.RecordBatch], n: int) -> Iterator[pa.RecordBatch
     words, counts = Hashes(), np.zeros(CELLS, np.int32)
     names = ["doc_id", "n_shingles", "digest", "chunk", "cells"]
     for b in slices(batches, "text"):
-        sizes, digests, seen = [], [], []
+        sizes, digests = [], []
         for t in b.column("text").to_pylist():
             s = shingles(t, n, words)
             sizes.append(len(s))
             digests.append(xxhash.xxh3_128_digest(s.tobytes()))
-            seen.append(cell(s))
-        counts += np.bincount(np.concatenate(seen), minlength=CELLS).astype(np.int32)
+            np.add.at(counts, cell(s), 1)
         k = b.num_rows
         yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()), pa.nulls(k, pa.int32()), pa.nulls(k, pa.binary())], names)
     if counts.any():
@@ -116,24 +116,33 @@ def _sum_cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield row()
 
 
-def levels(rows: list[dict]) -> np.ndarray:
-    """How far each cell stands out: 0 up to six deviations over the mean, then the bits of the excess."""
-    counts = np.zeros(CELLS, np.int64)
-    for r in rows:
-        counts[r["chunk"] * CHUNK : (r["chunk"] + 1) * CHUNK] = np.frombuffer(r["cells"], np.uint32)
-    mean = counts.mean()
-    excess = np.maximum(0, counts - mean - 6 * math.sqrt(mean) - 8)
-    return np.ceil(np.log2(excess + 1)).astype(np.uint8)
+def levels(chunks: pa.Table) -> np.ndarray:
+    """How far each cell stands out: 0 up to two deviations over the mean, then the bits of the excess.
+
+    By chance one in forty is over that; as levels only order shingles, that does no harm.
+    """
+    rows = [(c.as_py(), np.frombuffer(x.as_buffer(), np.uint32)) for c, x in zip(chunks.column("chunk"), chunks.column("cells"))]
+    mean = sum(int(x.sum(dtype=np.int64)) for _, x in rows) / CELLS
+    out = np.zeros(CELLS, np.uint8)
+    for c, x in rows:
+        out[c * CHUNK : (c + 1) * CHUNK] = np.ceil(np.log2(np.maximum(0, x - mean - 2 * math.sqrt(mean)) + 1))
+    return out
 
 
 def prefix_length(size: int, num: int, den: int) -> int:
     return size - -(-size * num // den) + 1
 
 
+def further(size):
+    """How many shingles the longer prefix has beyond those before the one that must be shared."""
+    return np.maximum(1, size // 10)
+
+
 def _prefixes(batches: Iterator[pa.RecordBatch], n: int, num: int, den: int, table) -> Iterator[pa.RecordBatch]:
+    """(node, size, first, shingles): the longer prefix in the common order, and how much of it makes candidates."""
     words, level = Hashes(), table.value
     for b in slices(batches, "text"):
-        nodes, keys = [], []
+        nodes, sizes, firsts, keys = [], [], [], []
         for doc, t in zip(b.column("doc_id").to_pylist(), b.column("text").to_pylist()):
             mixed, split, m = _mixed(t, n, words)
             if doc is None or not len(mixed):
@@ -142,38 +151,37 @@ def _prefixes(batches: Iterator[pa.RecordBatch], n: int, num: int, den: int, tab
             ends = np.concatenate([[0], np.cumsum(np.fromiter(map(len, split), np.int64, len(split)))])
             long_ = np.minimum(ends[at + m] - ends[at], 65535)
             order = np.argsort(level[cell(s)].astype(np.int64) << 16 | 65535 - long_, kind="stable")  # then by hash, as s is sorted
-            keys.append(s[order[: prefix_length(len(s), num, den)]])
-            nodes.append(np.full(len(keys[-1]), doc, np.int64))
+            first = prefix_length(len(s), num, den)
+            keys.append(s[order[: first - 1 + int(further(len(s)))]])
+            nodes.append(doc)
+            sizes.append(len(s))
+            firsts.append(first)
         if nodes:
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).view(np.int64)), pa.array(np.concatenate(nodes))], ["shingle", "node"])
+            ends = np.concatenate([[0], np.cumsum([len(k) for k in keys])]).astype(np.int32)
+            lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(keys).view(np.int64)))
+            yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(sizes, pa.int64()), pa.array(firsts, pa.int32()), lists], ["node", "size", "first", "shingles"])
 
 
 def _sets(batches: Iterator[pa.RecordBatch], n: int) -> Iterator[pa.RecordBatch]:
     words = Hashes()
     for b in slices(batches, "text", 1 << 22):
         sets = [shingles(t, n, words).tobytes() for t in b.column("text").to_pylist()]
-        yield pa.RecordBatch.from_arrays([b.column("key"), b.column("node"), pa.array(sets, pa.binary())], ["key", "node", "set"])
+        yield pa.RecordBatch.from_arrays([b.column("node"), b.column("keys"), pa.array(sets, pa.binary())], ["node", "keys", "set"])
 
 
-def linked(sets: list[np.ndarray], num: int, den: int) -> np.ndarray:
-    """Which pairs of sets link, as a matrix; by products of incidence matrices over slices of the shared shingles."""
-    sizes = np.array([len(s) for s in sets], np.int64)
-    low, high = np.minimum.outer(sizes, sizes), np.maximum.outer(sizes, sizes)
-    # intersection x of sizes a, b links if den * x >= num * (a + b - x)
-    need = -(-num * (sizes[:, None] + sizes[None, :]) // (num + den))
-    open_ = (low >= need) & (high > 0)
-    np.fill_diagonal(open_, False)
-    row = np.repeat(np.arange(len(sets)), sizes)
-    _, column, count = np.unique(np.concatenate(sets) if len(sets) else np.empty(0, np.uint64), return_inverse=True, return_counts=True)
+def overlapping(sets: list[np.ndarray], need: np.ndarray, open_: np.ndarray) -> np.ndarray:
+    """Which of the open pairs of sets share at least what they need; by products of incidence matrices over slices of the shared shingles."""
+    row = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+    _, column, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
     shared = count[column] > 1
     row, column = row[shared], column[shared]
     left = np.bincount(row, minlength=len(sets))
     order = np.argsort(column, kind="stable")
     row, column = row[order], np.unique(column[order], return_inverse=True)[1]
-    overlap = np.zeros(open_.shape, np.int64)
+    overlap = np.zeros(need.shape, np.int64)
     starts = np.searchsorted(column, np.arange(0, (column[-1] if len(column) else -1) + 1, SLICE))
     for a, z in zip(starts, [*starts[1:], len(column)]):
-        open_ &= overlap + np.minimum.outer(left, left) >= need
+        open_ = open_ & (overlap + np.minimum.outer(left, left) >= need)
         if not open_.any():
             return open_
         part = np.zeros((len(sets), SLICE), np.float32)
@@ -183,6 +191,20 @@ def linked(sets: list[np.ndarray], num: int, den: int) -> np.ndarray:
     return open_ & (overlap >= need)
 
 
+def sizes_allow(sizes: np.ndarray, num: int, den: int) -> tuple[np.ndarray, np.ndarray]:
+    """For pairs of sets of these sizes: the intersection that a link needs, and whether it can be."""
+    # intersection x of sizes a, b links if den * x >= num * (a + b - x)
+    need = -(-num * (sizes[:, None] + sizes[None, :]) // (num + den))
+    open_ = np.minimum.outer(sizes, sizes) >= np.maximum(need, 1)
+    np.fill_diagonal(open_, False)
+    return need, open_
+
+
+def linked(sets: list[np.ndarray], num: int, den: int) -> np.ndarray:
+    """Which pairs of sets link, as a matrix."""
+    return overlapping(sets, *sizes_allow(np.array([len(s) for s in sets], np.int64), num, den))
+
+
 def local_components(matrix: np.ndarray) -> np.ndarray:
     """For each row of a symmetric boolean matrix the smallest index of its component."""
     label = np.arange(len(matrix))
@@ -198,6 +220,21 @@ def local_components(matrix: np.ndarray) -> np.ndarray:
     return label
 
 
+def _partners(batches: Iterator[pa.RecordBatch], num: int, den: int) -> Iterator[pa.RecordBatch]:
+    """The rows (key, node) that may link with another row of their key, as far as the longer prefixes tell."""
+    for t in runs(batches, ["key"]):
+        if t.num_rows < 2:
+            continue
+        sizes = np.asarray(t.column("size"))
+        flat = t.column("shingles").combine_chunks()
+        sets = np.split(np.asarray(flat.flatten()), np.cumsum(np.asarray(flat.value_lengths()))[:-1])
+        _, open_ = sizes_allow(sizes, num, den)
+        may = overlapping(sets, np.minimum.outer(further(sizes), further(sizes)), open_).any(axis=1)
+        if may.any():
+            t = t.select(["key", "node"]).filter(pa.array(may)).combine_chunks()
+            yield from t.to_batches()
+
+
 def _links(batches: Iterator[pa.RecordBatch], num: int, den: int) -> Iterator[pa.RecordBatch]:
     for t in runs(batches, ["key"]):
         if t.num_rows < 2:
@@ -215,25 +252,29 @@ def _links(batches: Iterator[pa.RecordBatch], num: int, den: int) -> Iterator[pa
 def _blocked(groups: DataFrame, num: int, den: int) -> DataFrame:
     """(node, component, size) rows with the keys of the block pairs that each takes part in: (node, key).
 
-    A group of at most BLOCK rows is one block. In others, sizes form steps of the factor that linked sets differ by
-    at most, each step has blocks of about BLOCK rows by hash, and a block meets those of its own and the next step.
+    A group that fits into a block is one. In others, sizes form steps of the factor that linked sets differ by at most,
+    each step has blocks by hash, and a block meets those of its own and the next step. Blocks are bounded by rows and
+    by shingles, so that a run of two needs some tens of MB whatever the texts; larger ones would be fewer copies.
     """
     step = F.floor(F.log(F.col("size")) / math.log(den / num) if num < den else F.col("size") * 1.0).cast("int")
     rows = groups.withColumn("step", step)
-    steps = rows.groupBy("component", "step").agg(F.count("*").alias("n"))
-    whole = steps.groupBy("component").agg(F.sum("n").alias("rows"), F.map_from_entries(F.collect_list(F.struct("step", F.ceil(F.col("n") / BLOCK).cast("int")))).alias("blocks"))
+    needed = F.greatest(F.ceil(F.col("n") / ROWS), F.ceil(F.col("total") / SHINGLES)).cast("int")
+    steps = rows.groupBy("component", "step").agg(F.count("*").alias("n"), F.sum("size").alias("total"))
+    maps = [F.map_from_entries(F.collect_list(F.struct("step", x))).alias(name) for name, x in (("blocks", needed), ("sizes", F.col("n")))]
+    whole = steps.groupBy("component").agg(F.sum("n").alias("rows"), F.sum("total").alias("all"), *maps)
     of = lambda d: F.coalesce(F.try_element_at("blocks", F.col("step") + d), F.lit(0))
     own = F.pmod(F.xxhash64("node"), of(0)).cast("int")
     seq = lambda n: F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>"))
     key = lambda s, i, t, j: F.concat_ws("/", F.col("component"), s, i, t, j)
-    keys = F.when(F.col("rows") <= BLOCK, F.array(F.col("component").cast("string"))).otherwise(
+    keys = F.when((F.col("rows") <= ROWS) & (F.col("all") <= SHINGLES), F.array(F.col("component").cast("string"))).otherwise(
         F.concat(
             F.transform(seq(of(0)), lambda j: key(F.col("step"), F.least(j, F.col("own")), F.col("step"), F.greatest(j, F.col("own")))),
             F.transform(seq(of(1)), lambda j: key(F.col("step"), F.col("own"), F.col("step") + 1, j)),
             F.transform(seq(of(-1)), lambda j: key(F.col("step") - 1, j, F.col("step"), F.col("own"))),
         )
     )
-    return rows.join(whole.filter("rows > 1"), "component").withColumn("own", own).select("node", F.explode(keys).alias("key"))
+    joined = rows.join(whole.filter("rows > 1"), "component").filter((F.coalesce(F.try_element_at("sizes", "step"), F.lit(0)) > 1) | (of(1) > 0) | (of(-1) > 0))
+    return joined.withColumn("own", own).select("node", F.explode(keys).alias("key"))
 
 
 def join(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100) -> DataFrame:
@@ -242,21 +283,27 @@ def join(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100) -> DataFram
     first = stored(arrow(_sizes, docs, "doc_id long, n_shingles long, digest binary, chunk int, cells binary", n), "sizes")
     sizes = first.filter("n_shingles is not null").select("doc_id", "n_shingles", "digest")
     chunks = first.filter("chunk is not null").select("chunk", "cells").repartition(F.col("chunk")).sortWithinPartitions("chunk")
-    table = docs.sparkSession.sparkContext.broadcast(levels(arrow(_sum_cells, chunks, "chunk int, cells binary").toArrow().to_pylist()))  # CELLS numbers at any size
+    table = docs.sparkSession.sparkContext.broadcast(levels(arrow(_sum_cells, chunks, "chunk int, cells binary").toArrow()))  # CELLS numbers at any size
 
-    postings = stored(arrow(_prefixes, docs, "shingle long, node long", n, num, den, table), "postings")
+    prefixes = stored(arrow(_prefixes, docs, "node long, size long, first int, shingles array<long>", n, num, den, table), "prefixes")
+    postings = prefixes.select("node", "size", F.explode(F.slice("shingles", F.lit(1), F.col("first"))).alias("shingle"))
     shared = postings.groupBy("shingle").agg(F.min("node").alias("hub"), F.max("node").alias("last")).filter("hub < last").select("shingle", "hub")
-    groups = postings.join(shared, "shingle").select("node", F.col("hub").alias("component")).distinct()
+    groups = postings.join(shared, "shingle").select("node", "size", F.col("hub").alias("component")).distinct()
 
     some = sizes.filter("doc_id is not null and n_shingles > 0")
     equal = some.groupBy("digest").agg(F.min("doc_id").alias("hub"), F.count("*").alias("n"))
-    alone = equal.select(F.col("hub").alias("node"), "digest")
-    chosen = groups.join(alone, "node").join(some.select(F.col("doc_id").alias("node"), "digest", F.col("n_shingles").alias("size")).distinct(), ["node", "digest"])
-    keyed = stored(_blocked(chosen.select("node", "component", "size"), num, den), "blocks")
-    texts = docs.withColumnRenamed("doc_id", "node").join(keyed.select("node").distinct(), "node", "left_semi").withColumn("key", F.lit(""))
-    sets = arrow(_sets, texts.select("key", "node", "text"), "key string, node long, set binary", n).drop("key").distinct()
-    dealt = keyed.join(sets, "node").repartition(F.col("key")).sortWithinPartitions("key")
-    found = arrow(_links, dealt.select("key", "node", "set"), "node long, hub long", num, den)
+    chosen = groups.join(equal.select(F.col("hub").alias("node")).distinct(), "node", "left_semi")
+    keyed = stored(_blocked(chosen, num, den), "blocks")
+    release(docs.sparkSession)
+    dealt = lambda rows: rows.repartition(F.col("key")).sortWithinPartitions("key")
+    likely = keyed.join(prefixes.select("node", "size", "shingles"), "node").select("key", "node", "size", "shingles")
+    partners = stored(arrow(_partners, dealt(likely), "key string, node long", num, den).distinct(), "partners")
+    nodes = stored(partners.groupBy("node").agg(F.collect_list("key").alias("keys")), "nodes")
+    release(docs.sparkSession)
+    texts = docs.withColumnRenamed("doc_id", "node").join(few(nodes), "node").select("node", "keys", "text")
+    sets = arrow(_sets, texts, "node long, keys array<string>, set binary", n).select("node", F.explode("keys").alias("key"), "set")
+    found = stored(arrow(_links, dealt(sets.select("key", "node", "set")), "node long, hub long", num, den), "links")
+    release(docs.sparkSession)
 
     copies = some.join(equal.filter("n > 1").select("digest", "hub"), "digest").select(F.col("doc_id").alias("node"), "hub")
     result = components(found.unionByName(copies))
