@@ -4,14 +4,15 @@ Lines are what line feeds separate, trimmed of white space; those of at least ``
 when an equal line, or one within ``k`` edits (insertions, deletions, replacements of a character), stands earlier, by
 document id and line number, whether or not that one goes too.
 
-Equal lines are found by an aggregation over 128-bit hashes. For the others, a line of length n is cut into k + 1
-segments, of which k edits leave one whole: its hash with n and the segment's number is an index key. A line probes the
-keys of lengths n - k to n with its substrings at those places where a segment can lie if the edits left and right of it
-are to fit in k. Lines with a key in common are candidates; their texts are fetched and verified by Hyyrö's banded
-bit-parallel edit distance: the 2k + 1 cells of a column that can matter are bits of a number, and a column follows from
-the one before by additions and bit operations.
-
-Nothing here runs outside of the JVM. Small sides whose size is counted first are broadcast up to ``BROADCAST`` rows;
+Equal lines are found by an aggregation over 128-bit hashes; only the first of them is compared with others. A line of
+length n is cut into k + 1 segments, of which k edits leave one whole: its hash with n and the segment's number is an
+index key. A line probes the keys of lengths n - k to n with its substrings at those places where a segment can lie if
+the edits left and right of it are to fit in k. With one edit, the other half is cut again and has a whole quarter, so
+keys are longer by it: halves alone are common among the many variants of a line. Lines with a key in common are
+candidates; their texts are fetched and verified by Hyyrö's banded bit-parallel edit distance: the 2k + 1 cells of a
+column that can matter are bits of a number, and a column follows from the one before by additions and bit operations.
+
+Nothing here runs outside of the JVM. Small sides whose size is counted first are broadcast up to a number of rows;
 beyond, they are joined by a shuffle.
 
 Defined cases: a null text has no lines and stays null; a document all of whose lines went has an empty text; a null id
@@ -24,10 +25,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftarc.llm.common import stored
+from weftarc.llm.common import few, stored
 
 LEAST, EDITS = 25, 1
-BROADCAST = 200_000
 BLANK = " \t\r\x0b\x0c"
 POSITION = "decimal(38,0)"
 
@@ -78,9 +78,12 @@ def within(a: Column, b: Column, k: int) -> Column:
 
 
 def _lines(docs: DataFrame, least: int) -> DataFrame:
-    """(doc_id, no, line) of all lines that count."""
-    split = docs.filter("doc_id is not null").select("doc_id", F.posexplode(F.split("text", "\n")).alias("no", "raw"))
-    return split.select("doc_id", "no", F.btrim("raw", F.lit(BLANK)).alias("line")).filter(F.char_length("line") >= least)
+    """(doc_id, no, line, n) of all lines that count, of n characters; counted once, as each use would walk the line."""
+    # one pass in nested lists: a filter over columns would be pushed down and trim and count each line again
+    trimmed = F.transform(F.split("text", "\n"), lambda raw: F.btrim(raw, F.lit(BLANK)))
+    placed = F.transform(trimmed, lambda line, i: F.struct(i.alias("no"), line.alias("line"), F.char_length(line).alias("n")))
+    rows = docs.filter("doc_id is not null").select("doc_id", F.explode(F.filter(placed, lambda x: x["n"] >= least)).alias("x"))
+    return rows.select("doc_id", "x.no", "x.line", "x.n")
 
 
 def _position() -> Column:
@@ -89,7 +92,7 @@ def _position() -> Column:
 
 def _keys(k: int, deltas: range, probes: bool) -> Column:
     """Hashes of the segments of a line (index), or of where segments of lines shorter by each delta can lie in it (probes)."""
-    n, keys = F.char_length("line"), []
+    n, keys = F.col("n"), []
     for delta in deltas:
         size = n - delta
         for i in range(k + 1):
@@ -99,33 +102,44 @@ def _keys(k: int, deltas: range, probes: bool) -> Column:
     return F.array(*keys)
 
 
-def few(df: DataFrame) -> DataFrame:
-    """df, broadcast if it has at most BROADCAST rows."""
-    return F.broadcast(df) if df.count() <= BROADCAST else df
+def _halves(delta: int) -> Column:
+    """As _keys(), for one edit: a half and a quarter, taken from the ends, as the edit lies in either of the four quarters."""
+    n = F.col("n")
+    size = n - delta
+    half, quarter, rest = (F.floor(size * i / 4).cast("int") for i in (2, 1, 3))
+    first = lambda k: F.substring(F.col("line"), F.lit(1), k)
+    last = lambda k: F.substring(F.col("line"), n - k + 1, k)
+    parts = ((first(half), last(quarter)), (first(rest),), (first(quarter), last(half)), (last(rest),))
+    return F.array(*(F.xxhash64(size, F.lit(i), *p) for i, p in enumerate(parts)))
 
 
 def repeated(docs: DataFrame, k: int = EDITS, least: int = LEAST) -> DataFrame:
     """(doc_id, no): the lines of docs (doc_id, text) that go."""
     lines = _lines(docs.select(F.col("doc_id").cast("long"), "text"), least)
     digests = [F.xxhash64("line").alias("h"), F.xxhash64(F.lit(1), "line", F.lit(2)).alias("g")]
-    placed = lines.select(*digests, _position().cast(POSITION).alias("at"), "doc_id", "no")
-    heads = stored(placed.groupBy("h", "g").agg(F.min("at").alias("head")), "heads")
-    equal = placed.join(heads, ["h", "g"]).filter("at > head").select("doc_id", "no")
+    placed = lines.select("doc_id", "no", "line", "n", *digests, _position().cast(POSITION).alias("at"))
+    many = stored(placed.groupBy("h", "g").agg(F.min("at").alias("head"), F.count("*").alias("many")).filter("many > 1").drop("many"), "heads")
+    equal = placed.select("doc_id", "no", "h", "g", "at").join(few(many), ["h", "g"]).filter("at > head").select("doc_id", "no")
     if not k:
         return equal
 
-    index = lines.select(F.explode(_keys(k, range(1), False)).alias("key"), digests[0]).distinct()
-    probes = lines.select(F.explode(_keys(k, range(k + 1), True)).alias("key"), digests[0]).distinct()
-    pairs = probes.join(index.withColumnRenamed("h", "other"), "key").filter("h <> other").select("h", "other").distinct()
-    first = heads.select("h", F.col("head"))
-    found = pairs.join(first, "h").join(first.select(F.col("h").alias("other"), F.col("head").alias("other_head")), "other")
-    found = stored(found.select(F.least("head", "other_head").alias("a"), F.greatest("head", "other_head").alias("b")).filter("a < b").distinct(), "candidates")
-    needed = stored(found.select(F.explode(F.array("a", "b")).alias("at")).distinct(), "needed")
-    texts = stored(lines.select(_position().cast(POSITION).alias("at"), "line").join(few(needed), "at").distinct(), "texts")
-    a, b = texts.select(F.col("at").alias("a"), F.col("line").alias("one")), texts.select(F.col("at").alias("b"), F.col("line").alias("two"))
-    sizes = F.abs(F.char_length("one") - F.char_length("two")) <= k
-    near = found.join(a, "a").join(b, "b").filter(sizes).filter(within(F.col("one"), F.col("two"), k)).select(F.col("b").alias("head")).distinct()
-    # a line that goes takes its equals along; those go already
+    # candidates are pairs of 64-bit hashes, which are short rows; that two lines share one only makes more candidates
+    single = placed.join(few(many), ["h", "g"], "left").filter("head IS NULL OR at = head").select("h", "at", "line", "n")
+    keyed = lambda keys: single.select(F.explode(keys).alias("key"), "h")
+    # both sides alike up to the name, so that Spark makes and shuffles the index once
+    side = lambda keys, name: keyed(keys).select("key", F.col("h").alias(name))
+    index = _halves(0) if k == 1 else _keys(k, range(1), False)
+    probes = _halves(1) if k == 1 else _keys(k, range(k + 1), True)
+    pairs = side(probes, "h").join(side(index, "other"), "key").filter("h <> other")
+    if k == 1:  # with one edit, what a line probes for its own length are its index keys
+        pairs = pairs.unionByName(side(index, "h").join(side(index, "other"), "key").filter("h < other"))
+    found = stored(pairs.select(F.least("h", "other").alias("a"), F.greatest("h", "other").alias("b")).distinct(), "candidates")
+    needed = stored(found.select(F.explode(F.array("a", "b")).alias("h")).distinct(), "needed")
+    texts = stored(single.select("h", "at", "line").join(few(needed), "h"), "texts")
+    a, b = (texts.select(F.col("h").alias(h), F.col("at").alias(f"at_{h}"), F.col("line").alias(f"line_{h}")) for h in "ab")
+    joined = found.join(a, "a").join(b, "b").filter(F.abs(F.char_length("line_a") - F.char_length("line_b")) <= k)
+    near = joined.filter(within(F.col("line_a"), F.col("line_b"), k)).select(F.greatest("at_a", "at_b").alias("head")).distinct()
+    # equals of a line that goes stand later than it and go already
     gone = near.select(F.expr("cast(floor(head / 4294967296BD) as bigint)").alias("doc_id"), F.expr("cast(pmod(head, 4294967296BD) as int)").alias("no"))
     return equal.unionByName(gone).distinct()
 
@@ -141,7 +155,7 @@ def remove_lines(docs: DataFrame, k: int = EDITS, least: int = LEAST) -> DataFra
 
 def op10_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    n = F.when(F.col("text").isNull(), 0).otherwise(F.size(F.split("text", "\n"))).cast("long")
+    n = F.coalesce(F.octet_length("text") - F.octet_length(F.replace("text", F.lit("\n"), F.lit(""))) + 1, F.lit(0)).cast("long")
     return remove_lines(docs.withColumn("n_lines", n)).select("doc_id", "n_lines", F.size("removed").cast("long").alias("n_removed"), F.md5("text").alias("text_md5"))
 
 
