@@ -122,6 +122,30 @@ def test_list_decoding_is_complete():
     assert set(zip(row.tolist(), found.tolist())) == set(zip(*(a.tolist() for a in np.nonzero(total >= code.bound))))
 
 
+@pytest.mark.parametrize("size", [10_000, 100_000, 1_000_000])
+def test_every_vector_has_filters_and_close_ones_share_some(size):
+    """Pairs just over the threshold, with the codes of labels of any size."""
+    rng = np.random.default_rng(3)
+    x, g = (v / np.linalg.norm(v, axis=1, keepdims=True) for v in rng.normal(size=(2, 600, 64)))
+    g -= (g * x).sum(1, keepdims=True) * x
+    y = 0.981 * x + np.sqrt(1 - 0.981**2) * g / np.linalg.norm(g, axis=1, keepdims=True)
+    codes = {}
+    a, b = (set(zip(*(v.tolist() for v in embeddings.passes(u, size, embeddings.HITS, codes)))) for u in (x, y))
+    assert min(sum(r == i for r, _ in a) for i in range(600)) >= embeddings.HITS
+    assert len({i for i, _ in a & b}) >= 0.995 * 600
+
+
+def test_small_labels_are_compared_exactly(spark):
+    """Beside a large label, which must not thin out the filters of a small one."""
+    rng = np.random.default_rng(4)
+    x, g = (v / np.linalg.norm(v, axis=1, keepdims=True) for v in rng.normal(size=(2, 500, 64)))
+    g -= (g * x).sum(1, keepdims=True) * x
+    y = 0.9802 * x + np.sqrt(1 - 0.9802**2) * g / np.linalg.norm(g, axis=1, keepdims=True)
+    rows = [(i, v.tolist(), 0) for i, v in enumerate(np.concatenate([x, y]))] + [(5000 + i, v.tolist(), 1) for i, v in enumerate(rng.normal(size=(4000, 64)))]
+    found = embeddings.join(spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int")).filter("n_links > 0").collect()
+    assert {(r.vec_id, r.n_links) for r in found} == {(i, 1) for i in range(1000)}
+
+
 def levenshtein(a, b):
     row = list(range(len(b) + 1))
     for i, x in enumerate(a, 1):

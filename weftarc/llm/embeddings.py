@@ -4,13 +4,15 @@ Vectors of one label and dimension are compared by cosine in double precision. A
 product code: after a random rotation, the dimensions fall into ``m`` blocks, each with ``b`` random unit vectors, and
 each choice of one vector for each block is a direction. A vector passes the filters on whose caps it lies, those with
 an inner product of at least a bound; they are found by list decoding, which extends partial choices block by block
-while the best rest could still reach the bound. Vectors that pass the same filter are verified against one another.
+while the best rest could still reach the bound. Each vector has its own bound, the inner product of the last of its
+best filters, so that none is left without. Vectors that pass the same filter are verified against one another.
 
-The number of filters follows the size of the largest label, so that a vector passes about ``hits`` of them and a
-filter has about ``CROWD`` vectors at any size. A pair is counted at the smallest filter that both pass. Filters that
-many vectors pass are cut into blocks by hash and each two blocks are a task's run, so that no run has more than about
-2 * ``BLOCK`` vectors; a run returns a row for each of its vectors at most, never pairs. Equal vectors are verified as
-one and counted as many.
+A vector passes ``hits`` filters, as many in each of ``CODES`` independent codes, and their number follows the size of
+its label, so that a filter has about ``CROWD`` vectors at any size. Labels of at most ``hits`` * ``BLOCK`` vectors, for
+which comparing all is no dearer, have one filter that all pass: there no link is missed. A pair is counted at the
+smallest filter that both pass. Filters that many vectors pass are cut into blocks by hash and each two blocks are a
+task's run, so that no run has more than about 2 * ``BLOCK`` vectors; a run returns a row for each of its vectors at
+most, never pairs. Equal vectors are verified as one and counted as many.
 
 Defined cases: null ids, null labels, null, empty or zero vectors and vectors with null or non-finite components have
 no links; rows that repeat an id are vectors of their own that are one vertex; vectors of different dimension have no
@@ -28,10 +30,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftarc.llm.common import arrow, components, runs, stored
+from weftarc.llm.common import arrow, components, few, runs, stored
 from weftarc.llm.jaccard import local_components
 
-HITS, CROWD, BLOCK = 16, 64, 128
+HITS, CODES, CROWD, BLOCK = 16, 2, 64, 128
 
 
 class Code:
@@ -50,33 +52,62 @@ class Code:
         share = min(0.5, hits / self.b**self.m)
         self.bound = NormalDist().inv_cdf(1 - share) / math.sqrt(dimension)
 
-    def decode(self, unit: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Rows and filters of all caps on which the unit vectors lie."""
+    def scores(self, unit: np.ndarray) -> list[np.ndarray]:
         turned = unit @ self.rotation
-        scores = [turned[:, block] @ w.T for block, w in zip(self.blocks, self.words)]
+        return [turned[:, block] @ w.T for block, w in zip(self.blocks, self.words)]
+
+    def bounds(self, unit: np.ndarray, hits: int) -> np.ndarray:
+        """For each unit vector, the bound that its best ``hits`` filters reach."""
+        top = np.zeros((len(unit), 1))
+        for s in self.scores(unit):
+            s = -np.partition(-s, hits - 1, axis=1)[:, :hits] if s.shape[1] > hits else s
+            # a sum among the best has a part among the best, whatever follows
+            top = (top[:, :, None] + s[:, None, :]).reshape(len(unit), -1)
+            top = -np.partition(-top, hits - 1, axis=1)[:, :hits] if top.shape[1] > hits else top
+        return top.min(axis=1)
+
+    def decode(self, unit: np.ndarray, bounds: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """Rows and filters of all caps on which the unit vectors lie; bounds: their own, if not one for all."""
+        scores = self.scores(unit)
+        bound = np.full(len(unit), self.bound) if bounds is None else bounds - 1e-12
         best = np.cumsum([s.max(axis=1) for s in scores[::-1]], axis=0)[::-1]  # of the blocks from here on
         row, code, sum_ = np.arange(len(unit)), np.zeros(len(unit), np.int64), np.zeros(len(unit))
         for k, s in enumerate(scores):
             rest = best[k + 1][row] if k + 1 < self.m else 0.0
             total = sum_[:, None] + s[row]
-            at, word = np.nonzero(total >= (self.bound - rest)[:, None] if k + 1 < self.m else total >= self.bound)
+            at, word = np.nonzero(total >= (bound[row] - rest)[:, None])
             row, code, sum_ = row[at], code[at] * self.b + word, total[at, word]
         return row, code
 
 
-def _hits(batches: Iterator[pa.RecordBatch], filters: int, hits: int) -> Iterator[pa.RecordBatch]:
-    codes: dict[int, Code] = {}
+def passes(unit: np.ndarray, vectors: int, hits: int, codes: dict) -> tuple[np.ndarray, np.ndarray]:
+    """Rows and filters of unit vectors of a label of so many vectors. codes: keeps those made before."""
+    if vectors <= hits * BLOCK:
+        return np.arange(len(unit)), np.zeros(len(unit), np.int64)
+    d, each = unit.shape[1], max(1, hits // CODES)
+    filters = 1 << max(2, math.ceil(math.log2(vectors * each / CROWD)))  # few sizes, so that few codes are made
+    rows, found = [], []
+    for k in range(CODES):
+        if (d, filters, k) not in codes:
+            codes[d, filters, k] = Code(d, filters, each, 7 + 1_000_003 * k)
+        code = codes[d, filters, k]
+        row, at = code.decode(unit, code.bounds(unit, each))
+        rows.append(row)
+        found.append(at * CODES + k)
+    return np.concatenate(rows), np.concatenate(found)
+
+
+def _hits(batches: Iterator[pa.RecordBatch], hits: int) -> Iterator[pa.RecordBatch]:
+    codes: dict = {}
     for b in batches:
         for start in range(0, b.num_rows, 2048):
             part = b.slice(start, 2048)
-            dims = np.asarray(part.column("dim"))
-            for d in np.unique(dims).tolist():
-                if d not in codes:
-                    codes[d] = Code(d, filters, hits)
-                at = np.flatnonzero(dims == d)
+            dims, sizes = np.asarray(part.column("dim")), np.asarray(part.column("vectors"))
+            for d, size in np.unique(np.stack([dims, sizes]), axis=1).T.tolist():
+                at = np.flatnonzero((dims == d) & (sizes == size))
                 own = part.take(pa.array(at))
                 x = np.asarray(own.column("embedding").flatten()).reshape(-1, d).astype(np.float64)
-                row, code = codes[d].decode(x / np.linalg.norm(x, axis=1, keepdims=True))
+                row, code = passes(x / np.linalg.norm(x, axis=1, keepdims=True), size, hits, codes)
                 order = np.lexsort((code, row))
                 row, code = row[order], code[order]
                 ends = np.searchsorted(row, np.arange(len(at) + 1)).astype(np.int32)
@@ -121,10 +152,10 @@ def join(vectors: DataFrame, least: float = 0.98, hits: int = HITS) -> DataFrame
     grouped = usable.groupBy("label", "embedding").agg(F.min("vec_id").alias("node"), F.count("*").alias("times"))
     # one id may stand with several vectors, so a vertex of the verification is a vector, numbered by its hash
     distinct = stored(grouped.withColumn("key", F.xxhash64("label", "embedding")).withColumn("dim", F.size("embedding")), "vectors")
-    most = distinct.groupBy("label", "dim").agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0
-    filters = max(4, most * hits // CROWD)
+    sizes = distinct.groupBy("label", "dim").agg(F.count("*").alias("vectors"))
+    sized = distinct.join(few(sizes), ["label", "dim"]).select(F.col("key").alias("node"), "label", "dim", "vectors", "embedding")
 
-    passed = stored(arrow(_hits, distinct.select(F.col("key").alias("node"), "label", "dim", "embedding"), f"node long, label {dict(vectors.dtypes)['label']}, dim int, filters array<long>", filters, hits), "filters")
+    passed = stored(arrow(_hits, sized, f"node long, label {dict(vectors.dtypes)['label']}, dim int, filters array<long>", hits), "filters")
     rows = passed.select("node", "label", "dim", F.explode("filters").alias("filter"))
     crowds = rows.groupBy("label", "dim", "filter").agg(F.count("*").alias("n")).filter("n > 1").withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int"))
     dealt = rows.join(crowds.drop("n"), ["label", "dim", "filter"]).withColumn("block", F.pmod(F.xxhash64(F.col("node"), F.lit(1)), F.col("blocks")).cast("int"))
