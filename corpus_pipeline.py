@@ -29,8 +29,8 @@ def judge_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without the lines that stand earlier; those of which nothing is left go, if they had anything."""
-    left = lines.remove_lines(docs.select(*COLUMNS))
+    """Documents without the lines that stand earlier, equal ones of any length; those of which nothing is left go, if they had anything."""
+    left = lines.remove_lines(docs.select(*COLUMNS), exact=1)
     return _with_size(left.filter((F.size("removed") == 0) | (F.trim("text") != "")))
 
 

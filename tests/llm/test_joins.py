@@ -202,3 +202,17 @@ def test_lines_repeated_rows_and_nothing(spark):
     got = lines.remove_lines(table(spark, [(1, line), (1, line), (2, line)])).collect()
     assert sorted((r.doc_id, r.text) for r in got) == [(1, line), (1, line), (2, "")]
     assert lines.remove_lines(table(spark, [])).count() == 0
+
+
+def test_short_lines_go_when_equal(spark):
+    line = words(10)
+    docs = table(spark, [(1, f"Les.\n\n{line}\nA"), (2, f" Les.\n\nLes,\nA\n{line}x"), (3, "Les.")])
+    got = {r.doc_id: r.text for r in lines.remove_lines(docs, exact=1).collect()}
+    assert got == {1: f"Les.\n\n{line}\nA", 2: "\n\nLes,".replace("\n\n", "\n", 1), 3: ""}
+
+
+def test_pipeline_drops_equal_lines_of_any_length(spark):
+    import corpus_pipeline
+
+    docs = table(spark, [(1, "Les.\none"), (2, "Les.\ntwo"), (3, "Les.")], extra=False)
+    assert {r.doc_id: r.text for r in corpus_pipeline.drop_lines(spark, docs, "").collect()} == {1: "Les.\none", 2: "two"}

@@ -1,8 +1,9 @@
 """Removal of repeated lines, also such as differ in a few characters: a segment-partition edit join in SQL functions.
 
-Lines are what line feeds separate, trimmed of white space; those of at least ``LEAST`` characters count. A line goes
-when an equal line, or one within ``k`` edits (insertions, deletions, replacements of a character), stands earlier, by
-document id and line number, whether or not that one goes too.
+Lines are what line feeds separate, trimmed of white space. A line of at least ``exact`` characters goes when an equal
+line stands earlier, by document id and line number, whether or not that one goes too; one of at least ``least``, also
+when a line within ``k`` edits (insertions, deletions, replacements of a character) does. Short lines have no segments
+to tell them by, but equal ones can be found at any length: ``exact`` is ``least`` unless given.
 
 Equal lines are found by an aggregation over 128-bit hashes; only the first of them is compared with others. A line of
 length n is cut into k + 1 segments, of which k edits leave one whole: its hash with n and the segment's number is an
@@ -113,9 +114,9 @@ def _halves(delta: int) -> Column:
     return F.array(*(F.xxhash64(size, F.lit(i), *p) for i, p in enumerate(parts)))
 
 
-def repeated(docs: DataFrame, k: int = EDITS, least: int = LEAST) -> DataFrame:
+def repeated(docs: DataFrame, k: int = EDITS, least: int = LEAST, exact: int | None = None) -> DataFrame:
     """(doc_id, no): the lines of docs (doc_id, text) that go."""
-    lines = _lines(docs.select(F.col("doc_id").cast("long"), "text"), least)
+    lines = _lines(docs.select(F.col("doc_id").cast("long"), "text"), least if exact is None else min(exact, least))
     digests = [F.xxhash64("line").alias("h"), F.xxhash64(F.lit(1), "line", F.lit(2)).alias("g")]
     placed = lines.select("doc_id", "no", "line", "n", *digests, _position().cast(POSITION).alias("at"))
     many = stored(placed.groupBy("h", "g").agg(F.min("at").alias("head"), F.count("*").alias("many")).filter("many > 1").drop("many"), "heads")
@@ -124,7 +125,7 @@ def repeated(docs: DataFrame, k: int = EDITS, least: int = LEAST) -> DataFrame:
         return equal
 
     # candidates are pairs of 64-bit hashes, which are short rows; that two lines share one only makes more candidates
-    single = placed.join(few(many), ["h", "g"], "left").filter("head IS NULL OR at = head").select("h", "at", "line", "n")
+    single = placed.join(few(many), ["h", "g"], "left").filter("head IS NULL OR at = head").filter(F.col("n") >= least).select("h", "at", "line", "n")
     keyed = lambda keys: single.select(F.explode(keys).alias("key"), "h")
     # both sides alike up to the name, so that Spark makes and shuffles the index once
     side = lambda keys, name: keyed(keys).select("key", F.col("h").alias(name))
@@ -144,9 +145,9 @@ def repeated(docs: DataFrame, k: int = EDITS, least: int = LEAST) -> DataFrame:
     return equal.unionByName(gone).distinct()
 
 
-def remove_lines(docs: DataFrame, k: int = EDITS, least: int = LEAST) -> DataFrame:
+def remove_lines(docs: DataFrame, k: int = EDITS, least: int = LEAST, exact: int | None = None) -> DataFrame:
     """docs with the text left, and removed: the numbers of the lines that went, in order."""
-    gone = stored(repeated(docs, k, least).groupBy("doc_id").agg(F.array_sort(F.collect_set("no")).alias("removed")), "gone")
+    gone = stored(repeated(docs, k, least, exact).groupBy("doc_id").agg(F.array_sort(F.collect_set("no")).alias("removed")), "gone")
     joined = docs.withColumn("removed", F.lit(None)).drop("removed").join(few(gone), "doc_id", "left")
     removed = F.coalesce("removed", F.array().cast("array<int>"))
     text = F.when(F.size(removed) == 0, F.col("text")).otherwise(F.array_join(F.filter(F.split("text", "\n"), lambda _, i: ~F.array_contains(removed, i)), "\n"))
