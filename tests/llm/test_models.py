@@ -47,6 +47,19 @@ def test_lm_is_normalised():
     assert np.isclose(v.shares().sum(), 1)
 
 
+def test_lm_epoch_takes_in_every_trigram():
+    """More distinct trigrams than the steps have room for, each of a class and context of its own beside a hot one."""
+    k = 1000
+    shares = np.full(k, 1 / k)
+    u = np.arange(300_000) % (k + 1)
+    codes = np.unique((u * (k + 1) + np.arange(300_000) % k) * k + np.arange(300_000) // 300)
+    counts = np.ones(len(codes), np.int64)
+    counts[0] = 10**6
+    start, m = lm.Model(shares), lm.Model(shares).train(codes, counts, shares, 1, 1)
+    seen = np.unique(codes // k // (k + 1))
+    assert len(seen) == k + 1 and (m.r[seen] != start.r[seen]).any(axis=1).all()
+
+
 def test_lm_without_training(spark):
     assert lm.score(table(spark, [])).count() == 0
     import itertools

@@ -8,9 +8,11 @@ smoothed by 0.1 and with one such share for all unseen words, so probabilities o
 sum to one.
 
 All training texts are counted: words by a distributed aggregation, and class trigrams, which are what the neural part
-depends on, by another; there are at most (classes + 3)^3 of these. Training splits them by hash into ``SHARDS``, draws
-batches by count, and averages the shards' parameters, weighted by tokens, after each epoch. Biases start as logarithms
-of class shares, so the model starts as the smoothed unigram model.
+depends on, by another; there are at most (classes + 3)^3 of these. Training splits them by hash into shards of about
+``SHARD`` tokens, ``SHARDS`` at least; a trigram of more than ``PIECE`` tokens is split over several. An epoch passes over
+all of a shard in batches, each trigram weighted by its count and dealt over batches by ``WEIGHT`` tokens, and over a
+small shard again until ``STEPS`` batches are done. After each epoch the shards' parameters are averaged, weighted by
+tokens. Biases start as logarithms of class shares, so the model starts as the smoothed unigram model.
 
 In scoring, the ``KNOWN`` most frequent words are looked up in a table that each worker holds; the others, rare words
 without hot keys, are joined with the counts.
@@ -37,6 +39,7 @@ from weftarc.llm.common import arrow, slices, stored
 
 CLASSES, KNOWN = 256, 200_000
 DIMENSION, SHARDS, EPOCHS, STEPS, BATCH, NOISE, RATE = 24, 8, 3, 120, 2048, 64, 0.1
+SHARD, PIECE, WEIGHT = 16_000_000, 4096, 16  # tokens
 SMOOTH = 0.1
 ENDS = "\n"  # no word
 FLUSH = 250_000  # distinct words that a task counts before it passes them on
@@ -164,22 +167,28 @@ class Model:
         return top + np.log(np.exp(scores - top[:, None]).sum(axis=1, dtype=np.float64))
 
     def train(self, codes: np.ndarray, counts: np.ndarray, shares: np.ndarray, seed: int, steps: int = STEPS) -> Model:
-        """Noise-contrastive estimation with Adagrad: batches drawn by count, noise by class share and shared in a batch."""
+        """Noise-contrastive estimation with Adagrad, over all counts once or more, until there were so many steps; noise is by class share and shared in a batch."""
         k, rng = len(shares), np.random.default_rng(seed)
+        times = -(-counts // WEIGHT)
+        codes, weights = np.repeat(codes, times), np.repeat((counts / times).astype(np.float32), times)
+        weights /= weights.mean()
         before, w_all = np.divmod(codes, k)
         u_all, v_all = np.divmod(before, k + 1)
-        upto = np.cumsum(counts)
         log_noise = np.log(NOISE * shares).astype(np.float32)
         sums = [np.full_like(p, 1e-3) for p in self.parts()]
-        for _ in range(steps):
-            at = np.searchsorted(upto, rng.integers(0, upto[-1], BATCH), side="right")
+        batches = -(-len(codes) // BATCH)
+        for i in range(batches * max(1, -(-steps // batches))):
+            if i % batches == 0:
+                order = rng.permutation(len(codes))
+            at = order[i % batches :: batches]
+            weight = weights[at] / len(at)
             u, v, w = u_all[at], v_all[at], w_all[at]
             z = rng.choice(k, NOISE, p=shares / shares.sum())
             ru, rv = self.r[u], self.r[v]
             p = ru @ self.c[0] + rv @ self.c[1]
             up = 1 / (1 + np.exp(np.clip((p * self.q[w]).sum(1) + self.b[w] - log_noise[w], -30, 30)))  # 1 - sigmoid
             down = -1 / (1 + np.exp(-np.clip(p @ self.q[z].T + self.b[z] - log_noise[z], -30, 30)))
-            up, down = up / BATCH, down / BATCH
+            up, down = up * weight, down * weight[:, None]
             gp = up[:, None] * self.q[w] + down @ self.q[z]
             gq, gb, gr = np.zeros_like(self.q), np.zeros_like(self.b), np.zeros_like(self.r)
             np.add.at(gq, w, up[:, None] * p)
@@ -204,12 +213,15 @@ def _trainer(flat: np.ndarray, shares: np.ndarray, epoch: int):
 
 
 def fit(trigrams: DataFrame, v: Vocabulary) -> Model:
-    """Train on (code, n) rows in SHARDS tasks; only parameters come to the driver."""
+    """Train on all (code, n) rows, in as many tasks as there are shards; only parameters come to the driver."""
     shares = v.shares()
     model = Model(shares)
-    rows = trigrams.withColumn("shard", F.pmod(F.xxhash64("code"), F.lit(SHARDS)).cast("int"))
+    shards = max(SHARDS, -(-v.tokens // SHARD))
+    part = F.explode(F.sequence(F.lit(0).cast("long"), F.expr(f"(n - 1) div {PIECE}")))
+    pieces = trigrams.select("code", "n", part.alias("part")).withColumn("n", F.least(F.lit(PIECE).cast("long"), F.col("n") - F.col("part") * PIECE))
+    rows = pieces.select("code", "n", F.pmod(F.xxhash64("code", "part"), F.lit(shards)).cast("int").alias("shard"))
     for epoch in range(EPOCHS):
-        got = sorted(rows.groupBy("shard").applyInPandas(_trainer(model.flat(), shares, epoch), "shard int, n long, flat array<float>").collect())  # at most SHARDS rows
+        got = sorted(rows.groupBy("shard").applyInPandas(_trainer(model.flat(), shares, epoch), "shard int, n long, flat array<float>").collect())  # a row for each shard
         if not got:
             return model
         model.load(np.average([np.array(g["flat"], np.float32) for g in got], axis=0, weights=[g["n"] for g in got]).astype(np.float32))
