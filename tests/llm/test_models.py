@@ -212,6 +212,15 @@ def test_mixing_meets_targets(spark):
     assert names == ["all"] and {r.copies for r in one.collect()} == {1}
 
 
+def test_mixing_keeps_every_domain(spark):
+    docs = table(spark, [(i, f"word{i % 20} of{i % 20}") for i in range(60)])
+    seen = spark.createDataFrame([(i, f"d{i % 20:02}") for i in range(60)], "doc_id long, domain string")
+    domains, prior, _ = mixing.fit(docs, seen)
+    assert domains == [f"d{i:02}" for i in range(20)] and np.isclose(np.exp(prior).sum(), 1)
+    with pytest.raises(ValueError, match="nowhere"):
+        mixing.mix(docs, seen, {"d00": 0.5, "nowhere": 0.5})
+
+
 def test_pipeline(spark, tmp_path):
     import corpus_pipeline
 

@@ -11,8 +11,8 @@ aggregation over all documents, and only sums of a row for each domain pair come
 Copies are whole numbers: the rate's floor, and one more for those whose hash falls under its fraction, so that the
 expected number is the rate.
 
-The classifier is fitted on a sample by hash of about ``SAMPLE`` labelled documents at most; at most ``DOMAINS`` domains,
-the most frequent labels. Posteriors are flattened: evidence of more than ``SOFT`` words counts as that of so many.
+The classifier is fitted on a sample by hash of about ``SAMPLE`` labelled documents at most; every label
+is a domain. Weights of domains that no document is labelled with are an error, if there are labels. Posteriors are flattened: evidence of more than ``SOFT`` words counts as that of so many.
 
 Defined cases: a null or empty text has no tokens, the prior as posterior, and the floor or 1 as rate, whichever is
 higher; null labels are left out; without labels there is one domain, "all"; rows that repeat get equal rows; a null id
@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from weftarc.llm.common import SPACE, ascii_lower, stored
 
-SAMPLE, DOMAINS, BUCKETS, SOFT, SMOOTH = 20_000, 16, 4096, 40, 0.5
+SAMPLE, BUCKETS, SOFT, SMOOTH = 20_000, 4096, 40, 0.5
 STEPS, CLOSE = 40, 1e-10
 
 
@@ -43,16 +43,16 @@ def _bucket(word: Column) -> Column:
 def fit(docs: DataFrame, labelled: DataFrame, sample: int = SAMPLE) -> tuple[list[str], np.ndarray, np.ndarray]:
     """Domains, their prior log odds, and log weights of hashed words (domain, bucket), from labelled (doc_id, domain)."""
     known = labelled.select(F.col("doc_id").cast("long").alias("doc_id"), "domain").dropna().groupBy("doc_id").agg(F.min("domain").alias("domain"))
-    shares = known.groupBy("domain").count().orderBy(F.desc("count"), "domain").limit(DOMAINS).collect()
+    shares = known.groupBy("domain").count().collect()  # a row for each domain
     if not shares:
         return ["all"], np.zeros(1), np.zeros((1, BUCKETS))
     domains = sorted(r["domain"] for r in shares)
     total = sum(r["count"] for r in shares)
     part = F.pmod(F.xxhash64("doc_id", F.lit("domain")), F.lit(1_000_000)) < int(1_000_000 * min(1.0, sample / total))
-    chosen = known.filter(F.col("domain").isin(domains)).filter(part)  # about `sample` rows
+    chosen = known.filter(part)  # about `sample` rows
     words = docs.select(F.col("doc_id").cast("long"), "text").join(F.broadcast(chosen), "doc_id").select("domain", F.explode(_words()).alias("word"))
     counts = np.zeros((len(domains), BUCKETS))
-    for r in words.groupBy("domain", _bucket(F.col("word")).alias("bucket")).count().collect():  # at most DOMAINS * BUCKETS rows
+    for r in words.groupBy("domain", _bucket(F.col("word")).alias("bucket")).count().collect():  # at most BUCKETS rows for each domain
         counts[domains.index(r["domain"]), r["bucket"]] = r["count"]
     weights = np.log(counts + SMOOTH) - np.log(counts.sum(axis=1, keepdims=True) + SMOOTH * BUCKETS)
     prior = np.log([next(r["count"] for r in shares if r["domain"] == d) / total for d in domains])
@@ -136,6 +136,8 @@ def mix(docs: DataFrame, labelled: DataFrame, weights: dict[str, float] | float
     model = fit(docs, labelled)
     domains = model[0]
     k = len(domains)
+    if isinstance(weights, dict) and domains != ["all"] and (unknown := sorted(set(weights) - set(domains))):
+        raise ValueError(f"weights of domains that no document is labelled with: {unknown}")
     table = stored(posteriors(docs, model), "posteriors")
     first = table.agg(*(F.coalesce(F.sum(F.col("n_tokens") * F.col(f"p_{i}")), F.lit(0.0)) for i in range(k))).first()
     sums = np.array([float(x) for x in first])
