@@ -11,11 +11,16 @@ of their union. The stages:
    come first, so that prefixes seldom meet by chance. A shingle in several prefixes puts its documents in the group of
    the smallest of them; groups are (document, smallest document) rows, and pairs are never made.
 3. Documents with equal sets are represented by the smallest id. The representatives in a group form blocks by size and
-   hash. First their prefixes, longer by a tenth of the set, are multiplied: sets that link share as many more shingles in
-   them. What has no partner in a block pair then, goes. Of the others, a task multiplies the incidence matrices of two blocks over slices of the shingles that two rows share,
-   accumulating overlaps and discarding pairs as soon as a bound from their sizes and what is left cannot be met. It
-   returns the connected components of what links inside the two blocks.
-4. Components over these rows and equal sets are the result.
+   hash. Each has a sketch: one bit for about each shingle, the parity of how many shingles hash there. Two sketches
+   differ in no more bits than the sets do in shingles, so pairs that differ in more bits than their sizes allow a link
+   go, and no other does. What is left of a block pair goes on as its connected components.
+4. Those components, joined over all groups, are small sets of near copies. Only for these are texts read a third time,
+   and their sets sent to blocks. A task multiplies the incidence matrices of its rows over slices of the shingles that
+   two rows share, accumulating overlaps and discarding pairs as soon as a bound from their sizes and what is left cannot
+   be met. A component of one block is done then. In a larger one, each block has its own rows and the smallest document
+   of all; only rows that this leaves outside of the largest cluster meet all other blocks in a second round. So the sets
+   that move grow with the rows of a component of near copies of one document, not with their square.
+5. Components over these links and equal sets are the result.
 
 Shingles are compared by 64-bit hashes, which differ between different shingles of two documents but for about 1 in
 10^13 of pairs of documents of 1,000 words.
@@ -33,13 +38,14 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftarc.llm.common import arrow, components, few, release, runs, slices, stored
+from weftarc.llm.common import arrow, components, few, release, remove, runs, slices, stored
 
 CELLS, CHUNK = 1 << 22, 1 << 12  # of the table of counts, and what is summed at once
-ROWS, SHINGLES = 512, 250_000  # of a block, at most about so many
+ROWS, SHINGLES = 512, 250_000  # of a block of sets, at most about so many
+SKETCHES, BITS = 2048, 1 << 26  # of a block of sketches
 SLICE = 4096  # shingles of a product
 
 
@@ -133,16 +139,23 @@ def prefix_length(size: int, num: int, den: int) -> int:
     return size - -(-size * num // den) + 1
 
 
-def further(size):
-    """How many shingles the longer prefix has beyond those before the one that must be shared."""
-    return np.maximum(1, size // 10)
+def width(size: int) -> int:
+    """Bits of the sketch of a set: a power of two, at least 64 and the size."""
+    return max(64, 1 << (size - 1).bit_length())
+
+
+def sketch(s: np.ndarray) -> bytes:
+    """For each bit, whether an odd number of shingles hashes there."""
+    bits = width(len(s))
+    odd = np.bincount((s & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").tobytes()
 
 
 def _prefixes(batches: Iterator[pa.RecordBatch], n: int, num: int, den: int, table) -> Iterator[pa.RecordBatch]:
-    """(node, size, first, shingles): the longer prefix in the common order, and how much of it makes candidates."""
+    """(node, size, shingles, sketch): the prefix in the common order, and the sketch of the whole set."""
     words, level = Hashes(), table.value
     for b in slices(batches, "text"):
-        nodes, sizes, firsts, keys = [], [], [], []
+        nodes, sizes, sketches, keys = [], [], [], []
         for doc, t in zip(b.column("doc_id").to_pylist(), b.column("text").to_pylist()):
             mixed, split, m = _mixed(t, n, words)
             if doc is None or not len(mixed):
@@ -151,26 +164,61 @@ def _prefixes(batches: Iterator[pa.RecordBatch], n: int, num: int, den: int, tab
             ends = np.concatenate([[0], np.cumsum(np.fromiter(map(len, split), np.int64, len(split)))])
             long_ = np.minimum(ends[at + m] - ends[at], 65535)
             order = np.argsort(level[cell(s)].astype(np.int64) << 16 | 65535 - long_, kind="stable")  # then by hash, as s is sorted
-            first = prefix_length(len(s), num, den)
-            keys.append(s[order[: first - 1 + int(further(len(s)))]])
+            keys.append(s[order[: prefix_length(len(s), num, den)]])
             nodes.append(doc)
             sizes.append(len(s))
-            firsts.append(first)
+            sketches.append(sketch(s))
         if nodes:
             ends = np.concatenate([[0], np.cumsum([len(k) for k in keys])]).astype(np.int32)
             lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(keys).view(np.int64)))
-            yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(sizes, pa.int64()), pa.array(firsts, pa.int32()), lists], ["node", "size", "first", "shingles"])
+            yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(sizes, pa.int64()), lists, pa.array(sketches, pa.binary())], ["node", "size", "shingles", "sketch"])
 
 
 def _sets(batches: Iterator[pa.RecordBatch], n: int) -> Iterator[pa.RecordBatch]:
     words = Hashes()
     for b in slices(batches, "text", 1 << 22):
         sets = [shingles(t, n, words).tobytes() for t in b.column("text").to_pylist()]
-        yield pa.RecordBatch.from_arrays([b.column("node"), b.column("keys"), pa.array(sets, pa.binary())], ["node", "keys", "set"])
+        rest = [c for c in b.schema.names if c != "text"]
+        yield pa.RecordBatch.from_arrays([*(b.column(c) for c in rest), pa.array(sets, pa.binary())], [*rest, "set"])
+
+
+def sizes_allow(sizes: np.ndarray, others: np.ndarray, num: int, den: int) -> tuple[np.ndarray, np.ndarray]:
+    """For pairs of sets of these sizes: the intersection that a link needs, and whether it can be."""
+    # intersection x of sizes a, b links if den * x >= num * (a + b - x)
+    need = -(-num * (sizes[:, None] + others[None, :]) // (num + den))
+    return need, np.minimum.outer(sizes, others) >= np.maximum(need, 1)
+
+
+def possible(sizes: np.ndarray, sketches: list[np.ndarray], num: int, den: int) -> np.ndarray:
+    """Which pairs may link, as a matrix: those whose sketches differ in no more bits than their sets may in shingles."""
+    out = np.zeros((len(sizes), len(sizes)), bool)
+    words = np.array([len(x) for x in sketches])
+    for w in np.unique(words):
+        at = np.flatnonzero(words == w)
+        own = np.stack([sketches[i] for i in at])
+        for wider in np.unique(words[words >= w]):
+            to = np.flatnonzero(words == wider)
+            folded = np.stack([sketches[i] for i in to])
+            while folded.shape[1] > w:  # the parity of two halves is that of both
+                folded = folded[:, : folded.shape[1] // 2] ^ folded[:, folded.shape[1] // 2 :]
+            step = max(1, (1 << 20) // (len(to) * int(w)))
+            for i in range(0, len(at), step):
+                rows = at[i : i + step]
+                need, allowed = sizes_allow(sizes[rows], sizes[to], num, den)
+                if allowed.any():
+                    bits = np.bitwise_count(own[i : i + step, None, :] ^ folded[None, :, :]).sum(axis=2, dtype=np.int64)
+                    allowed &= bits <= sizes[rows][:, None] + sizes[to][None, :] - 2 * need
+                    out[np.ix_(rows, to)] |= allowed
+                    out[np.ix_(to, rows)] |= allowed.T
+    np.fill_diagonal(out, False)
+    return out
 
 
-def overlapping(sets: list[np.ndarray], need: np.ndarray, open_: np.ndarray) -> np.ndarray:
-    """Which of the open pairs of sets share at least what they need; by products of incidence matrices over slices of the shared shingles."""
+def linked(sets: list[np.ndarray], num: int, den: int) -> np.ndarray:
+    """Which pairs of sets link, as a matrix; by products of incidence matrices over slices of the shared shingles."""
+    sizes = np.array([len(s) for s in sets], np.int64)
+    need, open_ = sizes_allow(sizes, sizes, num, den)
+    np.fill_diagonal(open_, False)
     row = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
     _, column, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
     shared = count[column] > 1
@@ -191,20 +239,6 @@ def overlapping(sets: list[np.ndarray], need: np.ndarray, open_: np.ndarray) ->
     return open_ & (overlap >= need)
 
 
-def sizes_allow(sizes: np.ndarray, num: int, den: int) -> tuple[np.ndarray, np.ndarray]:
-    """For pairs of sets of these sizes: the intersection that a link needs, and whether it can be."""
-    # intersection x of sizes a, b links if den * x >= num * (a + b - x)
-    need = -(-num * (sizes[:, None] + sizes[None, :]) // (num + den))
-    open_ = np.minimum.outer(sizes, sizes) >= np.maximum(need, 1)
-    np.fill_diagonal(open_, False)
-    return need, open_
-
-
-def linked(sets: list[np.ndarray], num: int, den: int) -> np.ndarray:
-    """Which pairs of sets link, as a matrix."""
-    return overlapping(sets, *sizes_allow(np.array([len(s) for s in sets], np.int64), num, den))
-
-
 def local_components(matrix: np.ndarray) -> np.ndarray:
     """For each row of a symmetric boolean matrix the smallest index of its component."""
     label = np.arange(len(matrix))
@@ -220,33 +254,34 @@ def local_components(matrix: np.ndarray) -> np.ndarray:
     return label
 
 
+def _clusters(nodes: np.ndarray, matrix: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """(node, hub) of rows, sorted by node, that are in a component of two or more; the hub is its smallest node."""
+    label = local_components(matrix)
+    some = np.bincount(label, minlength=len(label))[label] > 1
+    if some.any():
+        yield pa.RecordBatch.from_arrays([pa.array(nodes[some]), pa.array(nodes[label[some]])], ["node", "hub"])
+
+
 def _partners(batches: Iterator[pa.RecordBatch], num: int, den: int) -> Iterator[pa.RecordBatch]:
-    """The rows (key, node) that may link with another row of their key, as far as the longer prefixes tell."""
+    """Components of what may link among the rows of a key, as far as sizes and sketches tell."""
     for t in runs(batches, ["key"]):
         if t.num_rows < 2:
             continue
-        sizes = np.asarray(t.column("size"))
-        flat = t.column("shingles").combine_chunks()
-        sets = np.split(np.asarray(flat.flatten()), np.cumsum(np.asarray(flat.value_lengths()))[:-1])
-        _, open_ = sizes_allow(sizes, num, den)
-        may = overlapping(sets, np.minimum.outer(further(sizes), further(sizes)), open_).any(axis=1)
-        if may.any():
-            t = t.select(["key", "node"]).filter(pa.array(may)).combine_chunks()
-            yield from t.to_batches()
+        nodes = np.asarray(t.column("node"))
+        order = np.argsort(nodes, kind="stable")
+        sketches = [np.frombuffer(x, np.uint64) for x in t.column("sketch").to_pylist()]
+        yield from _clusters(nodes[order], possible(np.asarray(t.column("size"))[order], [sketches[i] for i in order], num, den))
 
 
 def _links(batches: Iterator[pa.RecordBatch], num: int, den: int) -> Iterator[pa.RecordBatch]:
+    """Components of what links among the rows of a key."""
     for t in runs(batches, ["key"]):
         if t.num_rows < 2:
             continue
         nodes = np.asarray(t.column("node"))
         order = np.argsort(nodes, kind="stable")
-        sets = [np.frombuffer(s, np.uint64) for s in t.column("set").to_pylist()]
-        label = local_components(linked([sets[i] for i in order], num, den))
-        in_any = np.bincount(label, minlength=len(label))[label] > 1
-        nodes = nodes[order]
-        if in_any.any():
-            yield pa.RecordBatch.from_arrays([pa.array(nodes[in_any]), pa.array(nodes[label[in_any]])], ["node", "hub"])
+        sets = [np.frombuffer(x, np.uint64) for x in t.column("set").to_pylist()]
+        yield from _clusters(nodes[order], linked([sets[i] for i in order], num, den))
 
 
 def _blocked(groups: DataFrame, num: int, den: int) -> DataFrame:
@@ -254,11 +289,11 @@ def _blocked(groups: DataFrame, num: int, den: int) -> DataFrame:
 
     A group that fits into a block is one. In others, sizes form steps of the factor that linked sets differ by at most,
     each step has blocks by hash, and a block meets those of its own and the next step. Blocks are bounded by rows and
-    by shingles, so that a run of two needs some tens of MB whatever the texts; larger ones would be fewer copies.
+    by the bits of their sketches, so that a run of two needs some tens of MB whatever the texts.
     """
     step = F.floor(F.log(F.col("size")) / math.log(den / num) if num < den else F.col("size") * 1.0).cast("int")
     rows = groups.withColumn("step", step)
-    needed = F.greatest(F.ceil(F.col("n") / ROWS), F.ceil(F.col("total") / SHINGLES)).cast("int")
+    needed = F.greatest(F.ceil(F.col("n") / SKETCHES), F.ceil(F.col("total") / BITS)).cast("int")
     steps = rows.groupBy("component", "step").agg(F.count("*").alias("n"), F.sum("size").alias("total"))
     maps = [F.map_from_entries(F.collect_list(F.struct("step", x))).alias(name) for name, x in (("blocks", needed), ("sizes", F.col("n")))]
     whole = steps.groupBy("component").agg(F.sum("n").alias("rows"), F.sum("total").alias("all"), *maps)
@@ -266,7 +301,7 @@ def _blocked(groups: DataFrame, num: int, den: int) -> DataFrame:
     own = F.pmod(F.xxhash64("node"), of(0)).cast("int")
     seq = lambda n: F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>"))
     key = lambda s, i, t, j: F.concat_ws("/", F.col("component"), s, i, t, j)
-    keys = F.when((F.col("rows") <= ROWS) & (F.col("all") <= SHINGLES), F.array(F.col("component").cast("string"))).otherwise(
+    keys = F.when((F.col("rows") <= SKETCHES) & (F.col("all") <= BITS), F.array(F.col("component").cast("string"))).otherwise(
         F.concat(
             F.transform(seq(of(0)), lambda j: key(F.col("step"), F.least(j, F.col("own")), F.col("step"), F.greatest(j, F.col("own")))),
             F.transform(seq(of(1)), lambda j: key(F.col("step"), F.col("own"), F.col("step") + 1, j)),
@@ -277,36 +312,77 @@ def _blocked(groups: DataFrame, num: int, den: int) -> DataFrame:
     return joined.withColumn("own", own).select("node", F.explode(keys).alias("key"))
 
 
+def _blocks() -> Column:
+    """How many blocks of sets n rows of total shingles make."""
+    return F.greatest(F.ceil(F.col("n") / ROWS), F.ceil(F.col("total") / SHINGLES), F.lit(1)).cast("int")
+
+
+def _verified(docs: DataFrame, near: DataFrame, n: int, num: int, den: int) -> DataFrame:
+    """(node, hub) links of docs (doc_id, text), enough to connect what is connected, within components of near (node, component, size)."""
+    texts = docs.withColumnRenamed("doc_id", "node")
+    hash_ = lambda blocks: F.pmod(F.xxhash64("node"), blocks).cast("int")
+    to = lambda blocks: F.sequence(F.lit(0), blocks - 1)
+
+    def met(rows: DataFrame, keys: Column) -> DataFrame:
+        """Links among the rows of each key; a row (of a few numbers, so few() holds) has its keys made beside its set."""
+        sets = arrow(_sets, texts.join(few(rows), "node"), f"{', '.join(f'{c} {k}' for c, k in rows.dtypes)}, set binary".replace("bigint", "long"), n)
+        dealt = sets.select("node", F.explode(keys).alias("key"), "set").select("key", "node", "set").repartition(F.col("key")).sortWithinPartitions("key")
+        return stored(arrow(_links, dealt, "node long, hub long", num, den), "links")
+
+    key = lambda *parts: F.concat_ws("/", F.col("component"), *parts)
+    whole = near.groupBy("component").agg(F.count("*").alias("n"), F.sum("size").alias("total")).select("component", _blocks().alias("blocks"))
+    placed = stored(near.join(whole, "component").groupBy("node", "component").agg(F.max("blocks").alias("blocks")).withColumn("own", hash_(F.col("blocks"))), "near")
+    first = met(placed, F.when(F.col("node") == F.col("component"), F.transform(to(F.col("blocks")), lambda i: key(i))).otherwise(F.array(key(F.col("own")))))
+    large = placed.filter("blocks > 1")
+    if not large.limit(1).count():
+        return first
+
+    # of components in several blocks: rows outside of the largest cluster meet all blocks
+    labels = components(first).withColumnRenamed("component", "label")
+    labelled = stored(large.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node")), "labelled")
+    sized = labelled.join(near.groupBy("node").agg(F.sum("size").alias("size")), "node")
+    clusters = stored(sized.groupBy("component", "label").agg(F.count("*").alias("n"), F.sum("size").alias("total")), "clusters")
+    largest = clusters.groupBy("component").agg(F.max_by("label", F.struct("n", "label")).alias("largest"), F.sum("n").alias("all_n"), F.sum("total").alias("all_total"), F.max(F.struct("n", "label", "total")).alias("m"))
+    outer = largest.select("component", "largest", (F.col("all_n") - F.col("m.n")).alias("n"), (F.col("all_total") - F.col("m.total")).alias("total")).filter("n > 0")
+    rows = labelled.join(few(stored(outer.select("component", "largest", _blocks().alias("others")), "outer")), "component")
+    rows = rows.withColumn("other", F.when(F.col("label") != F.col("largest"), hash_(F.col("others")))).select("node", "component", "blocks", "own", "others", "other")
+    meet = F.array_distinct(F.concat(F.transform(to(F.col("others")), lambda j: key(F.lit("outer"), F.col("own"), j)), F.when(F.col("other").isNotNull(), F.transform(to(F.col("blocks")), lambda i: key(F.lit("outer"), i, F.col("other")))).otherwise(F.array().cast("array<string>"))))
+    return first.unionByName(met(stored(rows, "outer"), meet))
+
+
 def join(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100) -> DataFrame:
     """docs (doc_id, text) as (doc_id, n_shingles, component_id): equal components for what links reach."""
+    spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long"), "text")
     first = stored(arrow(_sizes, docs, "doc_id long, n_shingles long, digest binary, chunk int, cells binary", n), "sizes")
     sizes = first.filter("n_shingles is not null").select("doc_id", "n_shingles", "digest")
     chunks = first.filter("chunk is not null").select("chunk", "cells").repartition(F.col("chunk")).sortWithinPartitions("chunk")
-    table = docs.sparkSession.sparkContext.broadcast(levels(arrow(_sum_cells, chunks, "chunk int, cells binary").toArrow()))  # CELLS numbers at any size
+    table = spark.sparkContext.broadcast(levels(arrow(_sum_cells, chunks, "chunk int, cells binary").toArrow()))  # CELLS numbers at any size
 
-    prefixes = stored(arrow(_prefixes, docs, "node long, size long, first int, shingles array<long>", n, num, den, table), "prefixes")
-    postings = prefixes.select("node", "size", F.explode(F.slice("shingles", F.lit(1), F.col("first"))).alias("shingle"))
-    shared = postings.groupBy("shingle").agg(F.min("node").alias("hub"), F.max("node").alias("last")).filter("hub < last").select("shingle", "hub")
+    # sides of joins are stored where a key may be hot: Spark splits the partitions of a join that follows its shuffles at once
+    prefixes = stored(arrow(_prefixes, docs, "node long, size long, shingles array<long>, sketch binary", n, num, den, table), "prefixes")
+    postings = prefixes.select("node", "size", F.explode("shingles").alias("shingle"))
+    shared = stored(postings.groupBy("shingle").agg(F.min("node").alias("hub"), F.max("node").alias("last")).filter("hub < last").select("shingle", "hub"), "shared")
+    release(spark)
     groups = postings.join(shared, "shingle").select("node", "size", F.col("hub").alias("component")).distinct()
 
     some = sizes.filter("doc_id is not null and n_shingles > 0")
-    equal = some.groupBy("digest").agg(F.min("doc_id").alias("hub"), F.count("*").alias("n"))
-    chosen = groups.join(equal.select(F.col("hub").alias("node")).distinct(), "node", "left_semi")
+    equal = stored(some.groupBy("digest").agg(F.min("doc_id").alias("hub"), F.count("*").alias("n")), "equal")
+    chosen = stored(groups.join(equal.select(F.col("hub").alias("node")).distinct(), "node", "left_semi"), "groups")
+    release(spark)
     keyed = stored(_blocked(chosen, num, den), "blocks")
-    release(docs.sparkSession)
-    dealt = lambda rows: rows.repartition(F.col("key")).sortWithinPartitions("key")
-    likely = keyed.join(prefixes.select("node", "size", "shingles"), "node").select("key", "node", "size", "shingles")
-    partners = stored(arrow(_partners, dealt(likely), "key string, node long", num, den).distinct(), "partners")
-    nodes = stored(partners.groupBy("node").agg(F.collect_list("key").alias("keys")), "nodes")
-    release(docs.sparkSession)
-    texts = docs.withColumnRenamed("doc_id", "node").join(few(nodes), "node").select("node", "keys", "text")
-    sets = arrow(_sets, texts, "node long, keys array<string>, set binary", n).select("node", F.explode("keys").alias("key"), "set")
-    found = stored(arrow(_links, dealt(sets.select("key", "node", "set")), "node long, hub long", num, den), "links")
-    release(docs.sparkSession)
-
-    copies = some.join(equal.filter("n > 1").select("digest", "hub"), "digest").select(F.col("doc_id").alias("node"), "hub")
-    result = components(found.unionByName(copies))
+    likely = keyed.join(prefixes.select("node", "size", "sketch"), "node").select("key", "node", "size", "sketch")
+    partners = stored(arrow(_partners, likely.repartition(F.col("key")).sortWithinPartitions("key"), "node long, hub long", num, den), "partners")
+    release(spark)
+    near = stored(components(partners).join(prefixes.select("node", "size"), "node"), "near")
+    for t in (shared, chosen, keyed, partners):
+        remove(t)
+    remove(prefixes)
+    found = _verified(docs, near, n, num, den)
+    release(spark)
+
+    heads = stored(equal.filter("n > 1").select("digest", "hub"), "heads")
+    result = components(found.unionByName(some.join(few(heads), "digest").select(F.col("doc_id").alias("node"), "hub")))
     return sizes.join(result.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
 
 
