@@ -1,18 +1,22 @@
 """Language-model scores of whole texts by a log-bilinear model trained with noise-contrastive estimation.
 
-Tokens are the words of a text, lower-cased in A-Z, and one end. The ``classes`` most frequent training words, the end
-and the rest are the classes of the neural part: a context of two tokens predicts a vector by one matrix for each
-position, its product with the vector of a class plus a bias is that class's score, and scores are normalised over all
-classes by batched matrix products, once for each context that occurs. Within the rest, a word has its share of counts,
-smoothed by 0.1 and with one such share for all unseen words, so probabilities over the vocabulary and one unseen word
-sum to one.
-
-All training texts are counted: words by a distributed aggregation, and class trigrams, which are what the neural part
-depends on, by another; there are at most (classes + 3)^3 of these. Training splits them by hash into shards of about
-``SHARD`` tokens, ``SHARDS`` at least; a trigram of more than ``PIECE`` tokens is split over several. An epoch passes over
-all of a shard in batches, each trigram weighted by its count and dealt over batches by ``WEIGHT`` tokens, and over a
-small shard again until ``STEPS`` batches are done. After each epoch the shards' parameters are averaged, weighted by
-tokens. Biases start as logarithms of class shares, so the model starts as the smoothed unigram model.
+Tokens are the words of a text, lower-cased in A-Z, and one end. What the neural part predicts are units: each of the
+``vectors`` most frequent training words, the end, and for each of ``REST`` buckets, by hash of their last two bytes, all
+other words of that bucket. Within a bucket a word has its share of counts, smoothed by 0.1 and with one such share for
+what is unseen, so probabilities over the vocabulary and one unseen word for each bucket sum to one. Every unit has a
+vector as a context and one as a prediction. The vectors of the ``CONTEXT`` units before a token, by a matrix for each
+position, predict a vector, whose product with a unit's plus a bias is that unit's score. To normalise over tens of
+thousands of units, a unit's probability is that of its class times its own within the class: the ``classes`` most
+frequent words and the end are classes of their own; the others of a bucket form classes of at most ``MEMBERS``. Both are
+normalised by batched matrix products, the second over the tokens of one class at a time.
+
+All training texts are counted by a distributed aggregation, and the model is trained on every token of them. A round
+takes one of ``ROUNDS`` parts of the texts, by hash. Its tasks, as many as the tokens of the part need at ``SHARD`` tokens each and
+``SHARDS`` at least, train copies of the model on their own rows; a task with few tokens goes over them again until
+``STEPS`` batches are done. After the round, the copies are averaged on the executors, each vector weighted by how often
+its unit occurred in the task, so that a word of few texts is not drawn back by tasks that have none. Only the averaged
+parameters, of a fixed number, come to the driver. Biases start as logarithms of shares, so the model starts as the
+smoothed unigram model.
 
 In scoring, the ``KNOWN`` most frequent words are looked up in a table that each worker holds; the others, rare words
 without hot keys, are joined with the counts.
@@ -24,12 +28,12 @@ and no score; an empty table gives no rows; texts of any length are scored whole
 
 from __future__ import annotations
 
+import zlib
 from collections import Counter
 from collections.abc import Iterator
 from itertools import repeat
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
@@ -37,9 +41,12 @@ from pyspark.sql import functions as F
 
 from weftarc.llm.common import arrow, slices, stored
 
-CLASSES, KNOWN = 256, 200_000
-DIMENSION, SHARDS, EPOCHS, STEPS, BATCH, NOISE, RATE = 24, 8, 3, 120, 2048, 64, 0.1
-SHARD, PIECE, WEIGHT = 16_000_000, 4096, 16  # tokens
+CLASSES, VECTORS, KNOWN = 256, 65_536, 200_000
+REST, MEMBERS = 128, 512
+CONTEXT, DIMENSION, BATCH, NOISE, NOISE_WITHIN, RATE = 4, 24, 4096, 64, 8, 0.1
+ROUNDS, SHARDS, SHARD, STEPS = 3, 8, 8_000_000, 120  # SHARD: tokens
+MIXED = 1 << 16  # tokens that are put in random order at once
+PIECE = 1 << 15  # numbers of a row of parameters
 SMOOTH = 0.1
 ENDS = "\n"  # no word
 FLUSH = 250_000  # distinct words that a task counts before it passes them on
@@ -70,84 +77,112 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield rows()
 
 
+def bucket(word: bytes) -> int:
+    return zlib.crc32(word[-2:]) % REST
+
+
 class Vocabulary:
-    """The frequent words of a corpus with their counts: the first ``classes`` are classes of their own."""
+    """The frequent words of a corpus with their counts; the first of them, the end and the rest by buckets are units.
 
-    def __init__(self, frequent: list[tuple[str, int]], tokens: int, distinct: int, ends: int, classes: int):
-        self.index = {w.encode(): i for i, (w, _) in enumerate(frequent)}
+    rest: counts and distinct words, by bucket, of the words that are not in ``frequent``.
+    """
+
+    def __init__(self, frequent: list[tuple[str, int]], tokens: int, distinct: int, ends: int, classes: int, vectors: int, rest: dict[int, tuple[int, int]]):
+        names = [w.encode() for w, _ in frequent]
         self.counts = np.array([c for _, c in frequent], np.int64)
         self.tokens, self.distinct, self.ends = tokens, distinct, ends
-        self.own = min(classes, len(frequent))
-        self.rest, self.end, self.start = self.own, self.own + 1, self.own + 2
-        self.n = self.own + 2  # classes that can follow
-        #: counts beyond the classes, smoothed, with one share for what is unseen
-        self.rest_total = tokens - ends - int(self.counts[: self.own].sum()) + SMOOTH * (distinct - self.own - (ends > 0) + 1)
         self.base_total = tokens + SMOOTH * (distinct + 1)
-
-    def ids(self, split: list[bytes]) -> np.ndarray:
-        """Index of each word among the frequent, else -1."""
-        return np.fromiter(map(self.index.get, split, repeat(-1)), np.int64, len(split))
-
-    def classes(self, ids: np.ndarray) -> np.ndarray:
-        return np.where((ids >= 0) & (ids < self.own), ids, self.rest)
-
-    def shares(self) -> np.ndarray:
-        return np.concatenate([self.counts[: self.own] + SMOOTH, [self.rest_total, self.ends + SMOOTH]]) / self.base_total
+        self.index = {w: i for i, w in enumerate(names)}
+        self.vectors = min(vectors, len(names))
+        own = min(classes, self.vectors)
+        self.bucket_totals = np.full(REST, SMOOTH)  # one share for what is unseen
+        for b, (c, k) in rest.items():
+            self.bucket_totals[b] += c + SMOOTH * k
+        for w, c in zip(names[self.vectors :], self.counts[self.vectors :]):
+            self.bucket_totals[bucket(w)] += c + SMOOTH
+
+        self.unit = np.zeros(len(names), np.int32)  # of each frequent word
+        self.rest_unit = np.zeros(REST, np.int32)
+        self.unit[:own] = np.arange(own)
+        self.end = own
+        masses = [*(self.counts[:own] + SMOOTH), ends + SMOOTH]
+        starts = list(range(own + 1))
+        members: list[list[int]] = [[] for _ in range(REST)]
+        for i, w in enumerate(names[own : self.vectors], own):
+            members[bucket(w)].append(i)
+        for b, found in enumerate(members):
+            starts.append(len(masses))
+            self.rest_unit[b] = len(masses)
+            masses.append(self.bucket_totals[b])
+            for i in found:
+                if len(masses) - starts[-1] == MEMBERS:
+                    starts.append(len(masses))
+                self.unit[i] = len(masses)
+                masses.append(self.counts[i] + SMOOTH)
+        for i, w in enumerate(names[self.vectors :], self.vectors):
+            self.unit[i] = self.rest_unit[bucket(w)]
+        mass = np.array(masses, np.float64)
+        self.n, self.start = len(mass), len(mass)  # the start is a context only
+        self.starts = np.array([*starts, len(mass)])  # of classes
+        self.of = np.repeat(np.arange(len(starts)), np.diff(self.starts)).astype(np.int32)  # class of each unit
+        totals = np.add.reduceat(mass, self.starts[:-1])
+        self.class_shares = totals / totals.sum()
+        self.shares = mass / totals[self.of]  # within the class
+
+    def units(self, split: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Index of each word among the frequent, else -1, and its unit."""
+        ids = np.fromiter(map(self.index.get, split, repeat(-1)), np.int64, len(split))
+        units = self.unit[ids] if len(self.unit) else np.zeros(len(ids), np.int32)
+        unknown = np.flatnonzero(ids < 0)
+        if len(unknown):
+            units[unknown] = self.rest_unit[np.fromiter((bucket(split[i]) for i in unknown), np.int64, len(unknown))]
+        return ids, units
+
+
+def joined(texts: list, v: Vocabulary) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[list[bytes]]]:
+    """Of all texts in a row: indexes of words (of an end: -2), units, positions of ends, words."""
+    split = [words(t) for t in texts]
+    last = np.cumsum([len(s) + 1 for s in split]) - 1
+    both = [v.units(s) for s in split]
+    ids = np.concatenate([x for i, _ in both for x in (i, (-2,))])
+    units = np.concatenate([x for _, u in both for x in (u, (v.end,))]).astype(np.int32)
+    return ids, units, last, split
 
 
-def contexts(classes: np.ndarray, last: np.ndarray, v: Vocabulary) -> np.ndarray:
-    """Code of the two classes before each token of joined texts; last: where texts end."""
+def contexts(units: np.ndarray, last: np.ndarray, start: int) -> np.ndarray:
+    """The units before each token of joined texts, the nearest first; last: where texts end."""
     first = np.concatenate([[0], last[:-1] + 1])
-    one = np.concatenate([[v.start], classes[:-1]])
-    one[first] = v.start
-    two = np.concatenate([[v.start], one[:-1]])
-    two[first] = v.start
-    return two * (v.start + 1) + one
+    place = np.arange(len(units)) - np.repeat(first, np.diff(np.concatenate([first, [len(units)]])))
+    out = np.full((len(units), CONTEXT), start, np.int32)
+    for k in range(1, CONTEXT + 1):
+        out[k:, k - 1] = units[:-k]
+        out[place < k, k - 1] = start
+    return out
 
 
-def _joined(texts: list, v: Vocabulary) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[list[bytes]]]:
-    """Of all texts in a row: indexes of words (of an end: -2), classes, positions of ends, words."""
-    split = [words(t) for t in texts]
-    sizes = np.array([len(s) + 1 for s in split])
-    last = np.cumsum(sizes) - 1
-    ids = np.concatenate([x for s in split for x in (v.ids(s), (-2,))])
-    classes = v.classes(ids)
-    classes[last] = v.end
-    return ids, classes, last, split
-
-
-def _trigrams(batches: Iterator[pa.RecordBatch], vocabulary) -> Iterator[pa.RecordBatch]:
-    v: Vocabulary = vocabulary.value
-    held, n = [], 0
-
-    def rows() -> pa.RecordBatch:
-        codes, counts = np.unique(np.concatenate(held), return_counts=True)
-        held.clear()
-        return pa.RecordBatch.from_arrays([pa.array(codes), pa.array(counts)], ["code", "n"])
-
-    for b in slices(batches, "text", 1 << 22):
-        _, classes, last, _ = _joined(b.column("text").to_pylist(), v)
-        held.append(contexts(classes, last, v) * v.n + classes)
-        n += len(classes)
-        if n > 4_000_000:
-            yield rows()
-            n = 0
-    if held:
-        yield rows()
+def _summed(rows: np.ndarray, gradients: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct rows and the sums of their gradients."""
+    order = np.argsort(rows, kind="stable")
+    rows = rows[order]
+    starts = np.flatnonzero(np.concatenate([[True], rows[1:] != rows[:-1]]))
+    return rows[starts], np.add.reduceat(gradients[order], starts, axis=0)
 
 
 class Model:
-    """Log-bilinear: score of class w after u, v is (r_u A + r_v B) . q_w + b_w."""
-
-    def __init__(self, shares: np.ndarray, seed: int = 0):
-        k, d, rng = len(shares), DIMENSION, np.random.default_rng(seed)
-        self.r = rng.normal(0, 0.1, (k + 1, d)).astype(np.float32)
-        self.q = rng.normal(0, 0.1, (k, d)).astype(np.float32)
-        self.c = np.stack([np.eye(d, dtype=np.float32) * s for s in (0.5, 1.0)])
-        self.b = np.log(shares).astype(np.float32)
+    """Log-bilinear: p = sum of r_u C_k over the units before; score of class k: p . g_k + a_k; of unit w in it: p . q_w + b_w."""
+
+    def __init__(self, v: Vocabulary, seed: int = 0):
+        d, rng = DIMENSION, np.random.default_rng(seed)
+        self.v = v
+        self.r = rng.normal(0, 0.1, (v.n + 1, d)).astype(np.float32)
+        self.c = np.stack([np.eye(d, dtype=np.float32) for _ in range(CONTEXT)])
+        self.g = rng.normal(0, 0.1, (len(v.class_shares), d)).astype(np.float32)
+        self.a = np.log(v.class_shares).astype(np.float32)
+        self.q = np.zeros((v.n, d), np.float32)
+        self.b = np.log(v.shares).astype(np.float32)
 
     def parts(self) -> list[np.ndarray]:
-        return [self.r, self.q, self.c, self.b]
+        return [self.r, self.c, self.g, self.a, self.q, self.b]
 
     def flat(self) -> np.ndarray:
         return np.concatenate([p.ravel() for p in self.parts()])
@@ -158,103 +193,220 @@ class Model:
             flat = flat[p.size :]
         return self
 
-    def predicted(self, u: np.ndarray, v: np.ndarray) -> np.ndarray:
-        return self.r[u] @ self.c[0] + self.r[v] @ self.c[1]
-
-    def log_normaliser(self, u: np.ndarray, v: np.ndarray) -> np.ndarray:
-        scores = self.predicted(u, v) @ self.q.T + self.b
-        top = scores.max(axis=1)
-        return top + np.log(np.exp(scores - top[:, None]).sum(axis=1, dtype=np.float64))
-
-    def train(self, codes: np.ndarray, counts: np.ndarray, shares: np.ndarray, seed: int, steps: int = STEPS) -> Model:
-        """Noise-contrastive estimation with Adagrad, over all counts once or more, until there were so many steps; noise is by class share and shared in a batch."""
-        k, rng = len(shares), np.random.default_rng(seed)
-        times = -(-counts // WEIGHT)
-        codes, weights = np.repeat(codes, times), np.repeat((counts / times).astype(np.float32), times)
-        weights /= weights.mean()
-        before, w_all = np.divmod(codes, k)
-        u_all, v_all = np.divmod(before, k + 1)
-        log_noise = np.log(NOISE * shares).astype(np.float32)
-        sums = [np.full_like(p, 1e-3) for p in self.parts()]
-        batches = -(-len(codes) // BATCH)
-        for i in range(batches * max(1, -(-steps // batches))):
-            if i % batches == 0:
-                order = rng.permutation(len(codes))
-            at = order[i % batches :: batches]
-            weight = weights[at] / len(at)
-            u, v, w = u_all[at], v_all[at], w_all[at]
-            z = rng.choice(k, NOISE, p=shares / shares.sum())
-            ru, rv = self.r[u], self.r[v]
-            p = ru @ self.c[0] + rv @ self.c[1]
-            up = 1 / (1 + np.exp(np.clip((p * self.q[w]).sum(1) + self.b[w] - log_noise[w], -30, 30)))  # 1 - sigmoid
-            down = -1 / (1 + np.exp(-np.clip(p @ self.q[z].T + self.b[z] - log_noise[z], -30, 30)))
-            up, down = up * weight, down * weight[:, None]
-            gp = up[:, None] * self.q[w] + down @ self.q[z]
-            gq, gb, gr = np.zeros_like(self.q), np.zeros_like(self.b), np.zeros_like(self.r)
-            np.add.at(gq, w, up[:, None] * p)
-            np.add.at(gq, z, down.T @ p)
-            np.add.at(gb, w, up)
-            np.add.at(gb, z, down.sum(0))
-            np.add.at(gr, u, gp @ self.c[0].T)
-            np.add.at(gr, v, gp @ self.c[1].T)
-            for x, s, g in zip(self.parts(), sums, (gr, gq, np.stack([ru.T @ gp, rv.T @ gp]), gb)):
-                s += g * g
-                x += RATE * g / np.sqrt(s)
-        return self
+    def predicted(self, context: np.ndarray) -> np.ndarray:
+        out = self.r[context[:, 0]] @ self.c[0]
+        for k in range(1, CONTEXT):
+            out += self.r[context[:, k]] @ self.c[k]
+        return out
 
+    def log_probabilities(self, context: np.ndarray, units: np.ndarray) -> np.ndarray:
+        """Natural logarithms, normalised over all units."""
+
+        def normaliser(scores: np.ndarray) -> np.ndarray:
+            top = scores.max(axis=1, keepdims=True)
+            scores -= top
+            np.exp(scores, out=scores)
+            return top[:, 0] + np.log(scores.sum(axis=1, dtype=np.float64))
+
+        v, out = self.v, np.empty(len(units))
+        p = self.predicted(context)
+        k = v.of[units]
+        for i in range(0, len(units), 8192):
+            at = slice(i, i + 8192)
+            scores = p[at] @ self.g.T + self.a
+            own = scores[np.arange(len(scores)), k[at]].astype(np.float64)
+            out[at] = own - normaliser(scores)
+        order = np.argsort(k, kind="stable")
+        ends = np.searchsorted(k[order], np.arange(len(v.class_shares) + 1))
+        for j in np.flatnonzero((np.diff(ends) > 0) & (np.diff(v.starts) > 1)):
+            low, high = v.starts[j], v.starts[j + 1]
+            for i in range(ends[j], ends[j + 1], 8192):
+                at = order[i : min(i + 8192, ends[j + 1])]
+                scores = p[at] @ self.q[low:high].T + self.b[low:high]
+                own = scores[np.arange(len(at)), units[at] - low].astype(np.float64)
+                out[at] += own - normaliser(scores)
+        return out
+
+
+class Trainer:
+    """Noise-contrastive estimation with Adagrad, for classes and for units within them; noise is by their shares."""
+
+    def __init__(self, model: Model, seed: int):
+        self.m, self.rng, self.steps = model, np.random.default_rng(seed), 0
+        self.seen = np.zeros(model.v.n + 1)  # tokens of each unit
+        self.sums = [np.full_like(p, 1.0) for p in model.parts()]
+        v = model.v
+        self.noise, self.noise_within = np.log(NOISE * v.class_shares).astype(np.float32), np.log(NOISE_WITHIN * v.shares).astype(np.float32)
+        self.cumulated = np.cumsum(v.shares)  # a class takes one of it
+
+    def _move(self, part: int, gradient: np.ndarray, rows=slice(None)) -> None:
+        x, s = self.m.parts()[part], self.sums[part]
+        now = s[rows] + gradient * gradient
+        s[rows] = now
+        x[rows] += RATE * gradient / np.sqrt(now)
+
+    def step(self, context: np.ndarray, units: np.ndarray) -> None:
+        m, v = self.m, self.m.v
+        near = m.r[context]
+        p = np.einsum("bkd,kde->be", near, m.c, optimize=True)
+        sigmoid = lambda x: 1 / (1 + np.exp(-np.clip(x, -30, 30)))
+
+        k, z = v.of[units], self.rng.choice(len(v.class_shares), NOISE, p=v.class_shares)
+        up = 1 - sigmoid((p * m.g[k]).sum(1) + m.a[k] - self.noise[k])
+        down = -sigmoid(p @ m.g[z].T + m.a[z] - self.noise[z])
+        gp = up[:, None] * m.g[k] + down @ m.g[z]
+        rows, g = _summed(np.concatenate([k, z]), np.concatenate([np.column_stack([up[:, None] * p, up]), np.column_stack([down.T @ p, down.sum(0)])]))
+        self._move(2, g[:, :-1], rows)
+        self._move(3, g[:, -1], rows)
+
+        some = np.flatnonzero(np.diff(v.starts)[k] > 1)
+        if len(some):
+            w, ps = units[some], p[some]
+            # the place of a class among the cumulated shares is its number
+            drawn = np.searchsorted(self.cumulated, k[some][:, None] + self.rng.random((len(some), NOISE_WITHIN)) * (1 - 1e-9))
+            drawn = np.clip(drawn, v.starts[k[some]][:, None], v.starts[k[some] + 1][:, None] - 1)
+            every = np.concatenate([w[:, None], drawn], axis=1)
+            vectors = m.q[every]
+            move = -sigmoid(np.einsum("bkd,bd->bk", vectors, ps) + m.b[every] - self.noise_within[every])
+            move[:, 0] += 1
+            gp[some] += np.einsum("bk,bkd->bd", move, vectors)
+            gradient = np.concatenate([move[:, :, None] * ps[:, None, :], move[:, :, None]], axis=2)
+            rows, g = _summed(every.ravel(), gradient.reshape(-1, gradient.shape[2]))
+            self._move(4, g[:, :-1], rows)
+            self._move(5, g[:, -1], rows)
+
+        back = np.einsum("be,kde->bkd", gp, m.c, optimize=True)
+        self._move(1, np.einsum("bkd,be->kde", near, gp, optimize=True))
+        rows, g = _summed(context.ravel(), back.reshape(-1, back.shape[2]))
+        self._move(0, g, rows)
+        self.steps += 1
+
+    def pass_over(self, context: np.ndarray, units: np.ndarray) -> None:
+        """All tokens once, in batches of random order."""
+        order = self.rng.permutation(len(units))
+        for i in range(0, len(units), BATCH):
+            self.step(context[order[i : i + BATCH]], units[order[i : i + BATCH]])
+
+    def learn(self, texts: Iterator[list]) -> Trainer:
+        """Every token of all texts once; of few, again until there were STEPS batches."""
+        v, held, n, kept = self.m.v, [], 0, []
+
+        def flush() -> None:
+            nonlocal held, n
+            context, units = (np.concatenate([h[i] for h in held]) for i in (0, 1))
+            held, n = [], 0
+            self.pass_over(context, units)
+            self.seen += np.bincount(units, minlength=len(self.seen))
+            if self.steps < STEPS:
+                kept.append((context, units))
+
+        for part in texts:
+            _, units, last, _ = joined(part, v)
+            held.append((contexts(units, last, v.start), units))
+            n += len(units)
+            if n >= MIXED:
+                flush()
+        if held:
+            flush()
+        while kept and self.steps < STEPS:
+            for context, units in kept:
+                self.pass_over(context, units)
+        self.seen[v.start] = self.seen[v.end]
+        return self
 
-def _trainer(flat: np.ndarray, shares: np.ndarray, epoch: int):
-    def run(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
-        part = part.sort_values("code")
-        m = Model(shares).load(flat).train(part["code"].to_numpy(), part["n"].to_numpy(), shares, 1000 * epoch + int(key[0]))
-        return pd.DataFrame({"shard": [key[0]], "n": [int(part["n"].sum())], "flat": [m.flat()]})
-
-    return run
-
-
-def fit(trigrams: DataFrame, v: Vocabulary) -> Model:
-    """Train on all (code, n) rows, in as many tasks as there are shards; only parameters come to the driver."""
-    shares = v.shares()
-    model = Model(shares)
-    shards = max(SHARDS, -(-v.tokens // SHARD))
-    part = F.explode(F.sequence(F.lit(0).cast("long"), F.expr(f"(n - 1) div {PIECE}")))
-    pieces = trigrams.select("code", "n", part.alias("part")).withColumn("n", F.least(F.lit(PIECE).cast("long"), F.col("n") - F.col("part") * PIECE))
-    rows = pieces.select("code", "n", F.pmod(F.xxhash64("code", "part"), F.lit(shards)).cast("int").alias("shard"))
-    for epoch in range(EPOCHS):
-        got = sorted(rows.groupBy("shard").applyInPandas(_trainer(model.flat(), shares, epoch), "shard int, n long, flat array<float>").collect())  # a row for each shard
-        if not got:
-            return model
-        model.load(np.average([np.array(g["flat"], np.float32) for g in got], axis=0, weights=[g["n"] for g in got]).astype(np.float32))
+    def weights(self) -> np.ndarray:
+        """How much each parameter counts in an average: by the tokens of its unit or class, of matrices by all."""
+        v, d = self.m.v, DIMENSION
+        seen = self.seen + 1e-3
+        classes = np.add.reduceat(seen[: v.n], v.starts[:-1])
+        parts = [np.repeat(seen, d), np.full(self.m.c.size, seen.sum()), np.repeat(classes, d), classes, np.repeat(seen[: v.n], d), seen[: v.n]]
+        return np.concatenate(parts)
+
+
+def _train(batches: Iterator[pa.RecordBatch], shared, seed: int) -> Iterator[pa.RecordBatch]:
+    """(part, total, weight): pieces of the weighted parameters of a copy of the model that learnt all rows of the task."""
+    from pyspark import TaskContext
+
+    v, flat = shared.value
+    model = Model(v).load(flat)
+    trainer = Trainer(model, 1_000_003 * seed + TaskContext.get().partitionId()).learn(b.column("text").to_pylist() for b in slices(batches, "text", 1 << 20))
+    if not trainer.steps:
+        return
+    weight = trainer.weights()
+    total = model.flat() * weight
+    for i in range(0, len(total), PIECE):
+        yield pa.RecordBatch.from_arrays([pa.array([i // PIECE], pa.int32()), *(pa.array([x[i : i + PIECE].astype(np.float32).tobytes()], pa.binary()) for x in (total, weight))], ["part", "total", "weight"])
+
+
+def _summed_parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The sums (part, total, weight) of rows sorted by part, holding one part and one batch at a time."""
+    last, sums = None, None
+
+    def row() -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([last], pa.int32()), *(pa.array([x.astype(np.float32).tobytes()], pa.binary()) for x in sums)], ["part", "total", "weight"])
+
+    for b in batches:
+        for part, *values in zip(b.column("part").to_pylist(), b.column("total"), b.column("weight")):
+            values = [np.frombuffer(x.as_buffer(), np.float32) for x in values]
+            if part != last:
+                if last is not None:
+                    yield row()
+                last, sums = part, [x.astype(np.float64) for x in values]
+            else:
+                for x, y in zip(sums, values):
+                    x += y
+    if last is not None:
+        yield row()
+
+
+def fit(train: DataFrame, v: Vocabulary) -> Model:
+    """Train on all rows of train (doc_id, text)."""
+    spark, model = train.sparkSession, Model(v)
+    if not v.tokens:
+        return model
+    schema = "part int, total binary, weight binary"
+    shards = max(SHARDS, -(-v.tokens // (ROUNDS * SHARD)))
+    for k in range(ROUNDS):
+        rows = train.filter(F.pmod(F.xxhash64("doc_id", F.lit("round")), F.lit(ROUNDS)) == k).select("text")
+        # a table of few splits is small: its rows are dealt out; others keep their splits, several to a task
+        rows = rows.repartition(shards) if rows.rdd.getNumPartitions() < shards else rows.coalesce(shards)
+        shared = spark.sparkContext.broadcast((v, model.flat()))
+        parts = arrow(_train, rows, schema, shared, k)
+        for salts in ([-(-shards // 64)] if shards > 64 else []) + [1]:  # sums of sums, so that no task reads all copies
+            salt = F.floor(F.rand(0) * salts).cast("int")
+            dealt = parts.withColumn("salt", salt).repartition(F.col("part"), F.col("salt")).sortWithinPartitions("part", "salt").drop("salt")
+            parts = arrow(_summed_parts, dealt, schema)
+        got = sorted((r["part"], r["total"], r["weight"]) for r in parts.collect())  # a row for each piece of the parameters
+        if got:
+            total, weight = (np.concatenate([np.frombuffer(g[i], np.float32) for g in got]) for i in (1, 2))
+            model.load(total / weight)
     return model
 
 
-SCHEMA = "doc_id long, print long, word string, n long, n_tokens long, n_known long, n_rest long, base double, rest double, neural double"
+SCHEMA = "doc_id long, print long, word string, n long, n_tokens long, n_known long, base double, neural double"
 
 
 def _score(batches: Iterator[pa.RecordBatch], shared) -> Iterator[pa.RecordBatch]:
     """A row of sums for each text (word: one that no text has), and a row for each rarer word of it."""
-    v, model = shared.value
+    v, flat = shared.value
+    model = Model(v).load(flat)
     logs = np.log10(v.counts + SMOOTH)
     log_end = np.log10(v.ends + SMOOTH)
-    side = v.start + 1
-    normaliser = np.full(side * side, np.nan)
+    log_buckets = np.zeros(v.n)
+    log_buckets[v.rest_unit] = np.log10(v.bucket_totals)
+    in_rest = np.zeros(v.n, bool)
+    in_rest[v.rest_unit] = True
     names = [c.split()[0] for c in SCHEMA.split(", ")]
     for b in slices(batches, "text", 1 << 21):
         texts, docs = b.column("text").to_pylist(), b.column("doc_id").to_pylist()
-        ids, classes, last, split = _joined(texts, v)
-        context = contexts(classes, last, v)
-        new = np.unique(context)
-        new = new[np.isnan(normaliser[new])]
-        for i in range(0, len(new), 4096):
-            part = new[i : i + 4096]
-            normaliser[part] = model.log_normaliser(part // side, part % side)
+        ids, units, last, split = joined(texts, v)
         neural = np.empty(len(ids))
-        for i in range(0, len(ids), 65536):
-            c, w = context[i : i + 65536], classes[i : i + 65536]
-            neural[i : i + 65536] = (model.predicted(c // side, c % side) * model.q[w]).sum(1) + model.b[w] - normaliser[c]
+        before = contexts(units, last, v.start)
+        for i in range(0, len(ids), 1 << 18):
+            neural[i : i + (1 << 18)] = model.log_probabilities(before[i : i + (1 << 18)], units[i : i + (1 << 18)])
         known = ids >= 0
         share = np.where(known, logs[ids] if len(logs) else 0.0, 0.0)
-        rest = np.where(ids >= v.own, share, 0.0)
+        within = np.where(in_rest[units], share - log_buckets[units], 0.0)  # of a word in its bucket; rarer words follow
         share[last] = log_end
         first = np.concatenate([[0], last[:-1] + 1])
         total = lambda x: np.add.reduceat(x, first)
@@ -262,8 +414,8 @@ def _score(batches: Iterator[pa.RecordBatch], shared) -> Iterator[pa.RecordBatch
         k = len(texts)
         columns = {
             "doc_id": b.column("doc_id"), "print": pa.array(prints, pa.int64()), "word": pa.array([f"{ENDS}{p}" for p in prints]), "n": pa.nulls(k, pa.int64()),
-            "n_tokens": pa.array(last - first + 1), "n_known": pa.array(total(known.astype(np.int64)) + (v.ends > 0)), "n_rest": pa.array(total((classes == v.rest).astype(np.int64))),
-            "base": pa.array(total(share)), "rest": pa.array(total(rest)), "neural": pa.array(total(neural) / np.log(10)),
+            "n_tokens": pa.array(last - first + 1), "n_known": pa.array(total(known.astype(np.int64)) + (v.ends > 0)),
+            "base": pa.array(total(share)), "neural": pa.array(total(neural) / np.log(10) + total(within)),
         }
         yield pa.RecordBatch.from_arrays([columns[c] for c in names], names)
         rare_docs, rare_prints, rare_words, rare_counts = [], [], [], []
@@ -275,48 +427,56 @@ def _score(batches: Iterator[pa.RecordBatch], shared) -> Iterator[pa.RecordBatch
             rare_counts += found.values()
         k = len(rare_docs)
         columns = {"doc_id": pa.array(rare_docs, pa.int64()), "print": pa.array(rare_prints, pa.int64()), "word": pa.array(rare_words, pa.binary()).cast(pa.string()), "n": pa.array(rare_counts, pa.int64())}
-        yield pa.RecordBatch.from_arrays([columns.get(c, pa.nulls(k, pa.float64() if c in ("base", "rest", "neural") else pa.int64())) for c in names], names)
+        yield pa.RecordBatch.from_arrays([columns.get(c, pa.nulls(k, pa.float64() if c in ("base", "neural") else pa.int64())) for c in names], names)
 
 
-def score(docs: DataFrame, classes: int = CLASSES, frequent: int = KNOWN) -> DataFrame:
-    """docs (doc_id, text) with the sizes and log10 probabilities of their texts, learnt from the training fold."""
-    spark = docs.sparkSession
-    docs = docs.select(F.col("doc_id").cast("long"), "text")
-    train = docs.filter(~held_out(F.col("doc_id"))).select("text")
-    counts = stored(arrow(_count, train, "word string, n long").groupBy("word").agg(F.sum("n").alias("c")), "counts")
+def learn(docs: DataFrame, classes: int = CLASSES, frequent: int = KNOWN, vectors: int = VECTORS) -> tuple[Model, DataFrame]:
+    """The model of the training fold of docs (doc_id, text), and the counts (word, c) of its words."""
+    train = docs.select(F.col("doc_id").cast("long"), "text").filter(~held_out(F.col("doc_id")))
+    counts = stored(arrow(_count, train.select("text"), "word string, n long").groupBy("word").agg(F.sum("n").alias("c")), "counts")
+    plain = counts.filter(F.col("word") != ENDS)
     step = F.floor(F.log2("c") * 16)
-    steps = sorted(counts.filter(F.col("word") != ENDS).groupBy(step.alias("s")).agg(F.count("*").alias("k"), F.sum("c").alias("c")).collect(), reverse=True)  # at most 16 for each bit
+    steps = sorted(plain.groupBy(step.alias("s")).agg(F.count("*").alias("k"), F.sum("c").alias("c")).collect(), reverse=True)  # at most 16 for each bit
     ends = (counts.filter(F.col("word") == ENDS).agg(F.max("c")).first()[0]) or 0
     least, room = None, frequent
     for s in steps:
         if s["k"] > room:
             break
         least, room = s["s"], room - s["k"]
-    top = counts.filter((F.col("word") != ENDS) & (step >= (least if least is not None else 1 << 20))).toArrow().to_pylist()  # at most `frequent` rows
+    in_table = step >= (least if least is not None else 1 << 20)
+    top = plain.filter(in_table).toArrow().to_pylist()  # at most `frequent` rows
     top = sorted(((r["word"], r["c"]) for r in top), key=lambda r: (-r[1], r[0]))
     tokens, distinct = sum(s["c"] for s in steps) + ends, sum(s["k"] for s in steps) + (ends > 0)
-    v = Vocabulary(top, tokens, distinct, ends, classes)
+    by_end = F.pmod(F.crc32(F.expr("substring(cast(word AS binary), -2, 2)")), F.lit(REST)).cast("int")  # as bucket()
+    rest = {r["b"]: (r["c"], r["k"]) for r in plain.filter(~in_table).groupBy(by_end.alias("b")).agg(F.sum("c").alias("c"), F.count("*").alias("k")).collect()}
+    return fit(train, Vocabulary(top, tokens, distinct, ends, classes, vectors, rest)), counts
 
-    shared = spark.sparkContext.broadcast(v)
-    trigrams = stored(arrow(_trigrams, train, "code long, n long", shared).groupBy("code").agg(F.sum("n").alias("n")), "trigrams")
-    model = fit(trigrams, v)
 
-    rows = arrow(_score, docs, SCHEMA, spark.sparkContext.broadcast((v, model)))
-    joined = rows.join(counts.filter(F.col("word") != ENDS), "word", "left")
+def scored(docs: DataFrame, model: Model, counts: DataFrame) -> DataFrame:
+    """docs (doc_id, text) with the sizes and log10 probabilities of their texts by a model from learn()."""
+    v = model.v
+    docs = docs.select(F.col("doc_id").cast("long"), "text")
+    rows = arrow(_score, docs, SCHEMA, docs.sparkSession.sparkContext.broadcast((v, model.flat())))
+    joined_ = rows.join(counts.filter(F.col("word") != ENDS), "word", "left")
     log = F.log10(F.coalesce("c", F.lit(0)) + F.lit(SMOOTH)) * F.col("n")
-    sums = joined.groupBy("doc_id", "print").agg(
-        F.count("n_tokens").alias("copies"), F.sum("n_tokens").alias("n_tokens"), F.sum("n_rest").alias("n_rest"),
+    sums = joined_.groupBy("doc_id", "print").agg(
+        F.count("n_tokens").alias("copies"), F.sum("n_tokens").alias("n_tokens"),
         (F.sum("n_known") + F.coalesce(F.sum(F.when(F.col("c") > 0, F.col("n"))), F.lit(0))).alias("n_known"),
-        F.sum("base").alias("base"), F.sum("rest").alias("rest"), F.sum("neural").alias("neural"), F.coalesce(F.sum(log), F.lit(0.0)).alias("rare"),
+        F.sum("base").alias("base"), F.sum("neural").alias("neural"), F.coalesce(F.sum(log), F.lit(0.0)).alias("rare"),
     )
     each = lambda c: F.expr(f"{c} div copies")
     return sums.select(
-        "doc_id", held_out(F.col("doc_id")).alias("held_out"), each("n_tokens").alias("n_tokens"), each("n_known").alias("n_known"), F.lit(tokens).cast("long").alias("train_tokens"),
+        "doc_id", held_out(F.col("doc_id")).alias("held_out"), each("n_tokens").alias("n_tokens"), each("n_known").alias("n_known"), F.lit(v.tokens).cast("long").alias("train_tokens"),
         ((F.col("base") + F.col("rare") - F.col("n_tokens") * float(np.log10(v.base_total))) / F.col("copies")).alias("base_score"),
-        ((F.col("neural") + F.col("rest") + F.col("rare") - F.col("n_rest") * float(np.log10(v.rest_total))) / F.col("copies")).alias("score"),
+        ((F.col("neural") + F.col("rare")) / F.col("copies")).alias("score"),
         F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))).alias("copy"),
     ).drop("copy")
 
 
+def score(docs: DataFrame, classes: int = CLASSES, frequent: int = KNOWN, vectors: int = VECTORS) -> DataFrame:
+    """docs (doc_id, text) with the sizes and log10 probabilities of their texts, learnt from the training fold."""
+    return scored(docs, *learn(docs, classes, frequent, vectors))
+
+
 def op3_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score(spark.read.parquet(f"{sf_dir}/documents.parquet"))
