@@ -34,30 +34,76 @@ def test_lm(spark):
     assert len(out) > 3 and sum(r.score for r in out) > sum(r.base_score for r in out)
 
 
-def test_lm_is_normalised():
-    """Probabilities over all words and one unseen word sum to one, in every context."""
-    v = lm.Vocabulary([("a", 50), ("b", 30), ("c", 5), ("d", 4)], 100, 7, 9, 2)
-    m = lm.Model(v.shares()).train(np.arange(60) % (v.n * 25), np.arange(1, 61), v.shares(), 1, 20)
-    u, w = np.divmod(np.arange((v.start + 1) ** 2), v.start + 1)
-    p = np.exp(m.predicted(u, w) @ m.q.T + m.b - m.log_normaliser(u, w)[:, None])
-    assert np.allclose(p.sum(axis=1), 1, atol=1e-5)
-    # rest: c and d are known, 2 more words of 2 tokens, one unseen
-    rest = [5, 4] + [1, 1] + [0]
-    assert np.isclose(sum((c + 0.1) / v.rest_total for c in rest), 1)
-    assert np.isclose(v.shares().sum(), 1)
-
-
-def test_lm_epoch_takes_in_every_trigram():
-    """More distinct trigrams than the steps have room for, each of a class and context of its own beside a hot one."""
-    k = 1000
-    shares = np.full(k, 1 / k)
-    u = np.arange(300_000) % (k + 1)
-    codes = np.unique((u * (k + 1) + np.arange(300_000) % k) * k + np.arange(300_000) // 300)
-    counts = np.ones(len(codes), np.int64)
-    counts[0] = 10**6
-    start, m = lm.Model(shares), lm.Model(shares).train(codes, counts, shares, 1, 1)
-    seen = np.unique(codes // k // (k + 1))
-    assert len(seen) == k + 1 and (m.r[seen] != start.r[seen]).any(axis=1).all()
+def small_model(monkeypatch):
+    """A model with classes of several members, bucket units and words beyond the vectors, a little trained."""
+    monkeypatch.setattr(lm, "REST", 4)
+    monkeypatch.setattr(lm, "MEMBERS", 3)
+    frequent = [(f"w{chr(97 + i)}{i % 3}", 60 - i) for i in range(30)]
+    v = lm.Vocabulary(frequent, 5000, 60, 200, 3, 24, {1: (30, 9), 2: (5, 5)})
+    rng = random.Random(0)
+    texts = [" ".join(rng.choice(frequent)[0] for _ in range(40)) for _ in range(40)]
+    model = lm.Model(v)
+    lm.Trainer(model, 1).learn(iter([texts]))
+    return v, model, texts
+
+
+def test_lm_is_normalised(monkeypatch):
+    """Probabilities over all words, the end and an unseen word for each bucket sum to one, after any units."""
+    v, m, _ = small_model(monkeypatch)
+    before = np.random.default_rng(0).integers(0, v.start + 1, (50, lm.CONTEXT)).astype(np.int32)
+    total = sum(np.exp(m.log_probabilities(before, np.full(50, u, np.int32))) for u in range(v.n))
+    assert np.allclose(total, 1, atol=1e-5)
+    assert v.n == 3 + 1 + 21 + 4 and len(v.class_shares) > 3 + 1 + 4 and np.isclose(v.class_shares.sum(), 1)
+    inside = np.zeros(lm.REST)
+    for i, (w, c) in enumerate(zip(v.index, v.counts)):
+        if i >= v.vectors:
+            inside[lm.bucket(w)] += c + 0.1
+    for b, (c, k) in {1: (30, 9), 2: (5, 5)}.items():
+        inside[b] += c + 0.1 * k
+    assert np.allclose(inside + 0.1, v.bucket_totals)
+
+
+def test_lm_scores_equal_a_plain_loop(monkeypatch):
+    v, m, texts = small_model(monkeypatch)
+    texts = [*texts[:3], "wa0 unknown wz9 wd0", ""]
+    _, units, last, split = lm.joined(texts, v)
+    got = np.split(m.log_probabilities(lm.contexts(units, last, v.start), units), last[:-1] + 1)
+    for found, words_ in zip(got, split):
+        of = [int(v.unit[v.index[w]]) if w in v.index else int(v.rest_unit[lm.bucket(w)]) for w in words_] + [v.end]
+        for i, u in enumerate(of):
+            p = sum(m.r[of[i - k] if i >= k else v.start].astype(float) @ m.c[k - 1] for k in range(1, lm.CONTEXT + 1))
+            classes = [float(p @ g + a) for g, a in zip(m.g, m.a)]
+            members = {j: float(p @ m.q[j] + m.b[j]) for j in range(v.n) if v.of[j] == v.of[u]}
+            want = classes[v.of[u]] - np.log(sum(map(np.exp, classes))) + members[u] - np.log(sum(map(np.exp, members.values())))
+            assert abs(found[i] - want) < 1e-4
+
+
+def test_lm_learns_from_every_token(monkeypatch):
+    """A word of one text, behind more tokens than the steps have room for, is seen and moves its vectors."""
+    monkeypatch.setattr(lm, "STEPS", 1)
+    frequent = [("a", 200_000), ("b", 100_000), ("late", 1)]
+    v = lm.Vocabulary(frequent, 300_002, 4, 1, 1, 3, {})
+    start, m = lm.Model(v), lm.Model(v)
+    trainer = lm.Trainer(m, 1).learn(iter([["a a b " * 100_000 + "late"]]))
+    assert trainer.seen[: v.n].sum() == 300_002 and trainer.steps >= 300_002 // lm.BATCH
+    u = v.unit[v.index[b"late"]]
+    assert trainer.seen[u] == 1 and (m.r[u] != start.r[u]).any() and (m.q[u] != 0).any()
+
+
+def test_lm_average_weighs_by_occurrence(spark, monkeypatch):
+    """Copies of several tasks give one model; a word of a single text keeps what that text taught it."""
+    rows = [(i, words(60, seed=i, size=50) + (" only once" if i == 20 else "")) for i in range(40)]
+    model, _ = lm.learn(table(spark, rows), 5, 1000)
+    fresh = lm.Model(model.v)
+    u = model.v.unit[model.v.index[b"only"]]
+    assert np.isfinite(model.flat()).all() and np.abs(model.r[u] - fresh.r[u]).max() > 1e-3
+    assert np.abs(model.g - fresh.g).max() > 1e-2
+
+
+def test_lm_very_long_text(spark):
+    long_ = "alpha beta gamma delta " * 60_000
+    got = {r.doc_id: r for r in lm.score(table(spark, [(1, long_), (2, "alpha beta"), (3, long_)])).collect()}
+    assert got[1].n_tokens == 240_001 and np.isclose(got[1].score, got[3].score) and got[1].score > got[1].base_score
 
 
 def test_lm_without_training(spark):

@@ -41,9 +41,9 @@ from pyspark.sql import functions as F
 
 from weftarc.llm.common import arrow, slices, stored
 
-CLASSES, VECTORS, KNOWN = 256, 65_536, 200_000
-REST, MEMBERS = 128, 512
-CONTEXT, DIMENSION, BATCH, NOISE, NOISE_WITHIN, RATE = 4, 24, 4096, 64, 8, 0.1
+CLASSES, VECTORS, KNOWN = 128, 32_768, 200_000
+REST, MEMBERS = 128, 256
+CONTEXT, DIMENSION, BATCH, NOISE, NOISE_WITHIN, RATE = 3, 24, 4096, 64, 8, 0.1
 ROUNDS, SHARDS, SHARD, STEPS = 3, 8, 8_000_000, 120  # SHARD: tokens
 MIXED = 1 << 16  # tokens that are put in random order at once
 PIECE = 1 << 15  # numbers of a row of parameters
@@ -162,12 +162,20 @@ def contexts(units: np.ndarray, last: np.ndarray, start: int) -> np.ndarray:
 
 def _summed(rows: np.ndarray, gradients: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Distinct rows and the sums of their gradients."""
-    order = np.argsort(rows, kind="stable")
+    order = np.argsort(rows)
     rows = rows[order]
     starts = np.flatnonzero(np.concatenate([[True], rows[1:] != rows[:-1]]))
     return rows[starts], np.add.reduceat(gradients[order], starts, axis=0)
 
 
+def _lack(scores: np.ndarray) -> np.ndarray:
+    """What the logistic function of scores lacks of one."""
+    np.clip(scores, -30, 30, out=scores)
+    np.exp(scores, out=scores)
+    scores += 1
+    return np.reciprocal(scores, out=scores)
+
+
 class Model:
     """Log-bilinear: p = sum of r_u C_k over the units before; score of class k: p . g_k + a_k; of unit w in it: p . q_w + b_w."""
 
@@ -203,33 +211,44 @@ class Model:
         """Natural logarithms, normalised over all units."""
 
         def normaliser(scores: np.ndarray) -> np.ndarray:
-            top = scores.max(axis=1, keepdims=True)
-            scores -= top
-            np.exp(scores, out=scores)
-            return top[:, 0] + np.log(scores.sum(axis=1, dtype=np.float64))
+            with np.errstate(over="ignore"):
+                total = np.exp(scores) @ np.ones(scores.shape[1], np.float32)
+            out = np.log(total.astype(np.float64))
+            far = np.flatnonzero(~np.isfinite(out))
+            if len(far):  # seldom: beyond what a 32-bit number holds
+                top = scores[far].max(axis=1, keepdims=True)
+                out[far] = top[:, 0] + np.log(np.exp(scores[far] - top).sum(axis=1, dtype=np.float64))
+            return out
 
         v, out = self.v, np.empty(len(units))
         p = self.predicted(context)
         k = v.of[units]
-        for i in range(0, len(units), 8192):
-            at = slice(i, i + 8192)
-            scores = p[at] @ self.g.T + self.a
+        step = max(64, (1 << 17) // len(v.class_shares))  # scores that stay in a cache
+        for i in range(0, len(units), step):
+            at = slice(i, i + step)
+            scores = p[at] @ self.g.T
+            scores += self.a
             own = scores[np.arange(len(scores)), k[at]].astype(np.float64)
             out[at] = own - normaliser(scores)
         order = np.argsort(k, kind="stable")
         ends = np.searchsorted(k[order], np.arange(len(v.class_shares) + 1))
         for j in np.flatnonzero((np.diff(ends) > 0) & (np.diff(v.starts) > 1)):
             low, high = v.starts[j], v.starts[j + 1]
-            for i in range(ends[j], ends[j + 1], 8192):
-                at = order[i : min(i + 8192, ends[j + 1])]
-                scores = p[at] @ self.q[low:high].T + self.b[low:high]
+            step = max(64, (1 << 17) // (high - low))
+            for i in range(ends[j], ends[j + 1], step):
+                at = order[i : min(i + step, ends[j + 1])]
+                scores = p[at] @ self.q[low:high].T
+                scores += self.b[low:high]
                 own = scores[np.arange(len(at)), units[at] - low].astype(np.float64)
                 out[at] += own - normaliser(scores)
         return out
 
 
 class Trainer:
-    """Noise-contrastive estimation with Adagrad, for classes and for units within them; noise is by their shares."""
+    """Noise-contrastive estimation with Adagrad, for classes and for units within them.
+
+    Noise is by their shares: the same classes for all tokens of a batch, the same units for all of a class in it.
+    """
 
     def __init__(self, model: Model, seed: int):
         self.m, self.rng, self.steps = model, np.random.default_rng(seed), 0
@@ -237,7 +256,8 @@ class Trainer:
         self.sums = [np.full_like(p, 1.0) for p in model.parts()]
         v = model.v
         self.noise, self.noise_within = np.log(NOISE * v.class_shares).astype(np.float32), np.log(NOISE_WITHIN * v.shares).astype(np.float32)
-        self.cumulated = np.cumsum(v.shares)  # a class takes one of it
+        self.classes, self.within = np.cumsum(v.class_shares), np.cumsum(v.shares)  # a class takes one of the second
+        self.several = np.diff(v.starts) > 1
 
     def _move(self, part: int, gradient: np.ndarray, rows=slice(None)) -> None:
         x, s = self.m.parts()[part], self.sums[part]
@@ -245,40 +265,57 @@ class Trainer:
         s[rows] = now
         x[rows] += RATE * gradient / np.sqrt(now)
 
-    def step(self, context: np.ndarray, units: np.ndarray) -> None:
+    def _classes(self, p: np.ndarray, k: np.ndarray, starts: np.ndarray) -> np.ndarray:
+        """Learn which class follows, from tokens sorted by class; the gradient of p."""
+        m = self.m
+        z = np.searchsorted(self.classes, self.rng.random(NOISE) * self.classes[-1] * (1 - 1e-9))
+        own, other = m.g[k], m.g[z]
+        up = _lack(np.einsum("bd,bd->b", p, own) + (m.a - self.noise)[k])
+        down = _lack(p @ other.T + (m.a - self.noise)[z]) - 1
+        gradient = np.zeros((len(m.g), DIMENSION + 1), np.float32)
+        gradient[k[starts]] = np.add.reduceat(np.column_stack([up[:, None] * p, up]), starts, axis=0)
+        np.add.at(gradient, z, np.column_stack([down.T @ p, down.sum(0)]))
+        self._move(2, gradient[:, :-1])
+        self._move(3, gradient[:, -1])
+        return up[:, None] * own + down @ other
+
+    def _units(self, p: np.ndarray, k: np.ndarray, units: np.ndarray) -> np.ndarray:
+        """Learn which unit of the class follows, from tokens sorted by class, all of classes of several; the gradient of p."""
         m, v = self.m, self.m.v
-        near = m.r[context]
-        p = np.einsum("bkd,kde->be", near, m.c, optimize=True)
-        sigmoid = lambda x: 1 / (1 + np.exp(-np.clip(x, -30, 30)))
-
-        k, z = v.of[units], self.rng.choice(len(v.class_shares), NOISE, p=v.class_shares)
-        up = 1 - sigmoid((p * m.g[k]).sum(1) + m.a[k] - self.noise[k])
-        down = -sigmoid(p @ m.g[z].T + m.a[z] - self.noise[z])
-        gp = up[:, None] * m.g[k] + down @ m.g[z]
-        rows, g = _summed(np.concatenate([k, z]), np.concatenate([np.column_stack([up[:, None] * p, up]), np.column_stack([down.T @ p, down.sum(0)])]))
-        self._move(2, g[:, :-1], rows)
-        self._move(3, g[:, -1], rows)
-
-        some = np.flatnonzero(np.diff(v.starts)[k] > 1)
+        starts = np.flatnonzero(np.concatenate([[True], k[1:] != k[:-1]]))
+        at = np.repeat(np.arange(len(starts)), np.diff(np.concatenate([starts, [len(k)]])))
+        classes = k[starts][:, None]
+        # the place of a class among the cumulated shares is its number
+        z = np.searchsorted(self.within, classes + self.rng.random((len(starts), NOISE_WITHIN)) * (1 - 1e-9))
+        z = np.clip(z, v.starts[classes], v.starts[classes + 1] - 1)
+        own, other = m.q[units], m.q[z]
+        up = _lack(np.einsum("bd,bd->b", p, own) + (m.b - self.noise_within)[units])
+        down = _lack(np.einsum("bnd,bd->bn", other[at], p) + (m.b - self.noise_within)[z][at]) - 1
+        against = np.empty((len(p), NOISE_WITHIN, DIMENSION + 1), np.float32)
+        np.multiply(down[:, :, None], p[:, None, :], out=against[:, :, :-1])
+        against[:, :, -1] = down
+        against = np.add.reduceat(against, starts, axis=0).reshape(-1, DIMENSION + 1)
+        rows, g = _summed(np.concatenate([units, z.ravel()]), np.concatenate([np.column_stack([up[:, None] * p, up]), against]))
+        self._move(4, g[:, :-1], rows)
+        self._move(5, g[:, -1], rows)
+        return up[:, None] * own + np.einsum("bn,bnd->bd", down, other[at])
+
+    def step(self, context: np.ndarray, units: np.ndarray) -> None:
+        m, k = self.m, self.m.v.of[units]
+        order = np.argsort(k)
+        context, units, k = context[order], units[order], k[order]
+        p = m.predicted(context)
+        g = self._classes(p, k, np.flatnonzero(np.concatenate([[True], k[1:] != k[:-1]])))
+        some = np.flatnonzero(self.several[k])
         if len(some):
-            w, ps = units[some], p[some]
-            # the place of a class among the cumulated shares is its number
-            drawn = np.searchsorted(self.cumulated, k[some][:, None] + self.rng.random((len(some), NOISE_WITHIN)) * (1 - 1e-9))
-            drawn = np.clip(drawn, v.starts[k[some]][:, None], v.starts[k[some] + 1][:, None] - 1)
-            every = np.concatenate([w[:, None], drawn], axis=1)
-            vectors = m.q[every]
-            move = -sigmoid(np.einsum("bkd,bd->bk", vectors, ps) + m.b[every] - self.noise_within[every])
-            move[:, 0] += 1
-            gp[some] += np.einsum("bk,bkd->bd", move, vectors)
-            gradient = np.concatenate([move[:, :, None] * ps[:, None, :], move[:, :, None]], axis=2)
-            rows, g = _summed(every.ravel(), gradient.reshape(-1, gradient.shape[2]))
-            self._move(4, g[:, :-1], rows)
-            self._move(5, g[:, -1], rows)
-
-        back = np.einsum("be,kde->bkd", gp, m.c, optimize=True)
-        self._move(1, np.einsum("bkd,be->kde", near, gp, optimize=True))
-        rows, g = _summed(context.ravel(), back.reshape(-1, back.shape[2]))
-        self._move(0, g, rows)
+            g[some] += self._units(p[some], k[some], units[some])
+        back, turn = np.empty((CONTEXT, len(p), DIMENSION), np.float32), np.empty_like(m.c)
+        for i in range(CONTEXT):
+            turn[i] = m.r[context[:, i]].T @ g
+            back[i] = g @ m.c[i].T
+        rows, total = _summed(context.T.ravel(), back.reshape(-1, DIMENSION))
+        self._move(1, turn)
+        self._move(0, total, rows)
         self.steps += 1
 
     def pass_over(self, context: np.ndarray, units: np.ndarray) -> None:
