@@ -93,7 +93,7 @@ def test_lm_learns_from_every_token(monkeypatch):
 def test_lm_average_weighs_by_occurrence(spark, monkeypatch):
     """Copies of several tasks give one model; a word of a single text keeps what that text taught it."""
     rows = [(i, words(60, seed=i, size=50) + (" only once" if i == 20 else "")) for i in range(40)]
-    model, _ = lm.learn(table(spark, rows), 5, 1000)
+    model, _ = lm.learn(table(spark, rows), 5, 10_000)
     fresh = lm.Model(model.v)
     u = model.v.unit[model.v.index[b"only"]]
     assert np.isfinite(model.flat()).all() and np.abs(model.r[u] - fresh.r[u]).max() > 1e-3

@@ -41,9 +41,9 @@ from pyspark.sql import functions as F
 
 from weftarc.llm.common import arrow, slices, stored
 
-CLASSES, VECTORS, KNOWN = 128, 32_768, 200_000
+CLASSES, VECTORS, KNOWN = 64, 24_576, 200_000
 REST, MEMBERS = 128, 256
-CONTEXT, DIMENSION, BATCH, NOISE, NOISE_WITHIN, RATE = 3, 24, 4096, 64, 8, 0.1
+CONTEXT, DIMENSION, BATCH, NOISE, NOISE_WITHIN, RATE, START = 2, 16, 1536, 48, 4, 0.1, 0.5
 ROUNDS, SHARDS, SHARD, STEPS = 3, 8, 8_000_000, 120  # SHARD: tokens
 MIXED = 1 << 16  # tokens that are put in random order at once
 PIECE = 1 << 15  # numbers of a row of parameters
@@ -253,7 +253,7 @@ class Trainer:
     def __init__(self, model: Model, seed: int):
         self.m, self.rng, self.steps = model, np.random.default_rng(seed), 0
         self.seen = np.zeros(model.v.n + 1)  # tokens of each unit
-        self.sums = [np.full_like(p, 1.0) for p in model.parts()]
+        self.sums = [np.full((len(p), *[1] * (p.ndim - 1)), START, np.float32) for p in model.parts()]  # of a row, each number's share
         v = model.v
         self.noise, self.noise_within = np.log(NOISE * v.class_shares).astype(np.float32), np.log(NOISE_WITHIN * v.shares).astype(np.float32)
         self.classes, self.within = np.cumsum(v.class_shares), np.cumsum(v.shares)  # a class takes one of the second
@@ -261,9 +261,11 @@ class Trainer:
 
     def _move(self, part: int, gradient: np.ndarray, rows=slice(None)) -> None:
         x, s = self.m.parts()[part], self.sums[part]
-        now = s[rows] + gradient * gradient
+        flat = gradient.reshape(len(gradient), -1)
+        now = s[rows] + (np.einsum("rd,rd->r", flat, flat) / flat.shape[1]).reshape(-1, *[1] * (gradient.ndim - 1))
         s[rows] = now
-        x[rows] += RATE * gradient / np.sqrt(now)
+        gradient *= RATE / np.sqrt(now)
+        x[rows] += gradient
 
     def _classes(self, p: np.ndarray, k: np.ndarray, starts: np.ndarray) -> np.ndarray:
         """Learn which class follows, from tokens sorted by class; the gradient of p."""
@@ -455,15 +457,12 @@ def _score(batches: Iterator[pa.RecordBatch], shared) -> Iterator[pa.RecordBatch
             "base": pa.array(total(share)), "neural": pa.array(total(neural) / np.log(10) + total(within)),
         }
         yield pa.RecordBatch.from_arrays([columns[c] for c in names], names)
-        rare_docs, rare_prints, rare_words, rare_counts = [], [], [], []
-        for i, s in enumerate(split):
-            found = Counter(s[j] for j in np.flatnonzero(ids[first[i] : last[i]] == -1).tolist())
-            rare_docs += [docs[i]] * len(found)
-            rare_prints += [prints[i]] * len(found)
-            rare_words += found
-            rare_counts += found.values()
-        k = len(rare_docs)
-        columns = {"doc_id": pa.array(rare_docs, pa.int64()), "print": pa.array(rare_prints, pa.int64()), "word": pa.array(rare_words, pa.binary()).cast(pa.string()), "n": pa.array(rare_counts, pa.int64())}
+        rare = np.flatnonzero(ids == -1)
+        at = np.searchsorted(last, rare)  # the texts they are in
+        flat = [w for s in split for w in (*s, b"")]
+        found = pa.table({"at": at, "word": pa.array([flat[i] for i in rare.tolist()], pa.binary())}).group_by(["at", "word"]).aggregate([("at", "count")]).combine_chunks()
+        at, k = found.column("at").combine_chunks(), found.num_rows
+        columns = {"doc_id": b.column("doc_id").take(at), "print": pa.array(prints, pa.int64()).take(at), "word": found.column("word").combine_chunks().cast(pa.string()), "n": found.column("at_count").combine_chunks()}
         yield pa.RecordBatch.from_arrays([columns.get(c, pa.nulls(k, pa.float64() if c in ("base", "neural") else pa.int64())) for c in names], names)
 
 
