@@ -4,6 +4,7 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from tests.llm.helpers import closure, table, words
 from weftarc.llm import embeddings, jaccard, lines
@@ -216,3 +217,29 @@ def test_pipeline_drops_equal_lines_of_any_length(spark):
 
     docs = table(spark, [(1, "Les.\none"), (2, "Les.\ntwo"), (3, "Les.")], extra=False)
     assert {r.doc_id: r.text for r in corpus_pipeline.drop_lines(spark, docs, "").collect()} == {1: "Les.\none", 2: "two"}
+
+
+def test_variants_of_one_line(spark, monkeypatch):
+    """More lines to a key than are compared each with each: as many go as by brute force."""
+    monkeypatch.setattr(lines, "HOT", 8)
+    rng = random.Random(5)
+    base = words(9, seed=2)
+    body = [f"{base} {i}" for i in range(150)] + [f"{i} {base}" for i in range(60)] + [edited(base, rng.randrange(3), rng) for _ in range(120)]
+    rng.shuffle(body)
+    got = {r.doc_id: r.removed for r in lines.remove_lines(table(spark, list(enumerate(body)))).select("doc_id", F.size("removed").alias("removed")).collect()}
+    want = {i: int(any(abs(len(x) - len(y)) <= 1 and levenshtein(x, y) <= 1 for y in body[:i])) for i, x in enumerate(body)}
+    assert got == want and 0 < sum(want.values()) < len(want)
+
+
+def test_candidates_of_many_variants_are_linear(spark):
+    n = 100_000
+    rows = spark.range(n).select(F.xxhash64("id").alias("h"), F.col("id").cast("decimal(38,0)").alias("at"), F.concat(F.lit("the same words in every line and then a number "), F.format_string("%06d", "id")).alias("line"))
+    single = rows.withColumn("n", F.char_length("line"))
+    keys = single.select(F.explode(lines._halves(0)).alias("key")).groupBy("key").count().filter(F.col("count") > lines.HOT).select("key")
+    assert lines._near_in(single, keys).distinct().count() <= 20 * n
+
+
+def test_many_removed_lines_of_one_document(spark):
+    body = "\n".join(["the same words in every line, again"] * 60_000)
+    (r,) = lines.remove_lines(table(spark, [(1, body + "\nanother line that is like none of these")])).select("text", F.size("removed").alias("n")).collect()
+    assert r.text.split("\n") == ["the same words in every line, again", "another line that is like none of these"] and r.n == 59_999

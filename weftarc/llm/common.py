@@ -10,7 +10,7 @@ import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: A word is a run of anything but the six ASCII white-space characters.
@@ -60,9 +60,13 @@ def remove(df: DataFrame) -> None:
         path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def few(df: DataFrame) -> DataFrame:
-    """df, broadcast if it has at most BROADCAST rows, which it counts; beyond, joined as any other."""
-    return F.broadcast(df) if df.count() <= BROADCAST else df
+def few(df: DataFrame, numbers: Column | None = None) -> DataFrame:
+    """df, broadcast if it has at most BROADCAST rows, which it counts; beyond, joined as any other.
+
+    Rows are of a few numbers each; numbers: how many more a row has in a list, which count as well.
+    """
+    size = df.count() if numbers is None else df.agg(F.count("*") + F.coalesce(F.sum(numbers), F.lit(0)) / 4).first()[0]
+    return F.broadcast(df) if size <= BROADCAST else df
 
 
 def ascii_lower(c):

@@ -10,7 +10,11 @@ length n is cut into k + 1 segments, of which k edits leave one whole: its hash
 index key. A line probes the keys of lengths n - k to n with its substrings at those places where a segment can lie if
 the edits left and right of it are to fit in k. With one edit, the other half is cut again and has a whole quarter, so
 keys are longer by it: halves alone are common among the many variants of a line. Lines with a key in common are
-candidates; their texts are fetched and verified by Hyyrö's banded bit-parallel edit distance: the 2k + 1 cells of a
+candidates. Keys of more than ``HOT`` lines, such as many variants of one line have, make none that way: the part of a
+line that such a key leaves out has the edit, so lines one edit apart agree in it after leaving out one character, at one
+place if they are equally long. That is a second key, and each line is a candidate only with the first line of its group.
+So candidates grow with the lines of a group, not with their square. (Beyond one edit, where queries have none, they are
+the pairs of a key.) The texts of candidates are fetched and verified by Hyyrö's banded bit-parallel edit distance: the 2k + 1 cells of a
 column that can matter are bits of a number, and a column follows from the one before by additions and bit operations.
 
 Nothing here runs outside of the JVM. Small sides whose size is counted first are broadcast up to a number of rows;
@@ -18,7 +22,7 @@ beyond, they are joined by a shuffle.
 
 Defined cases: a null text has no lines and stays null; a document all of whose lines went has an empty text; a null id
 neither removes lines nor loses any; rows that repeat an id have lines of equal standing, which do not remove one
-another; further columns are kept by remove_lines(); an empty table gives no rows.
+another; further columns are kept by remove_lines(), except one named removed; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -29,6 +33,7 @@ from pyspark.sql import functions as F
 from weftarc.llm.common import few, stored
 
 LEAST, EDITS = 25, 1
+HOT = 64  # lines of a key that are compared each with each
 BLANK = " \t\r\x0b\x0c"
 POSITION = "decimal(38,0)"
 
@@ -103,15 +108,48 @@ def _keys(k: int, deltas: range, probes: bool) -> Column:
     return F.array(*keys)
 
 
-def _halves(delta: int) -> Column:
-    """As _keys(), for one edit: a half and a quarter, taken from the ends, as the edit lies in either of the four quarters."""
-    n = F.col("n")
+def _parts(delta: int) -> list[tuple[Column, list[Column], Column]]:
+    """For one edit, as it lies in either of four quarters: size and number, the rest of the line, and the part with the edit.
+
+    The rest is a half and a quarter, taken from the ends, of a line that is shorter by delta.
+    """
+    n, line = F.col("n"), F.col("line")
     size = n - delta
     half, quarter, rest = (F.floor(size * i / 4).cast("int") for i in (2, 1, 3))
-    first = lambda k: F.substring(F.col("line"), F.lit(1), k)
-    last = lambda k: F.substring(F.col("line"), n - k + 1, k)
-    parts = ((first(half), last(quarter)), (first(rest),), (first(quarter), last(half)), (last(rest),))
-    return F.array(*(F.xxhash64(size, F.lit(i), *p) for i, p in enumerate(parts)))
+    first = lambda k: F.substring(line, F.lit(1), k)
+    last = lambda k: F.substring(line, n - k + 1, k)
+    between = lambda k, z: F.substring(line, k + 1, n - z - k)
+    parts = (([first(half), last(quarter)], between(half, quarter)), ([first(rest)], last(n - rest)), ([first(quarter), last(half)], between(quarter, half)), ([last(rest)], first(n - rest)))
+    return [(F.struct(size.alias("size"), F.lit(i).alias("i")), known, edited) for i, (known, edited) in enumerate(parts)]
+
+
+def _halves(delta: int) -> Column:
+    """As _keys(), for one edit."""
+    return F.array(*(F.xxhash64(at["size"], at["i"], *known) for at, known, _ in _parts(delta)))
+
+
+def _near_in(single: DataFrame, hot: DataFrame) -> DataFrame:
+    """Candidates (h, other) one edit apart among lines (h, at, line, n) that have a key of hot (key): each line with the first of a group."""
+
+    def members(delta: int) -> DataFrame:
+        made = F.array(*(F.struct(F.xxhash64(at["size"], at["i"], *known).alias("key"), F.concat(F.lit(f"{i} "), F.concat_ws("\n", *known)).alias("known"), part.alias("part")) for i, (at, known, part) in enumerate(_parts(delta))))
+        rows = single.select("h", "at", F.explode(made).alias("x")).select("h", "at", F.col("x.key").alias("key"), "x.known", "x.part")
+        return rows.join(few(hot), "key")
+
+    n = F.char_length("part")
+    without = lambda i: F.concat(F.substring(F.col("part"), F.lit(1), i), F.substring(F.col("part"), i + 2, n))
+    two = lambda *x: F.struct(F.xxhash64(*x).alias("a"), F.xxhash64(F.lit(1), *x, F.lit(2)).alias("b"))
+    places = F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>"))
+    replaced = F.transform(places, lambda i: two(F.lit("replaced"), "key", "known", i, without(i)))
+    shorter = F.transform(places, lambda i: two(F.lit("left out"), "key", "known", without(i)))
+    own = members(0)
+    grouped = own.select("h", "at", F.explode(replaced).alias("group"))
+    first = stored(grouped.groupBy("group").agg(F.min_by("h", "at").alias("other"), F.count("*").alias("many")).filter("many > 1").drop("many"), "groups")
+    pairs = grouped.join(few(first), "group").filter("h <> other").select("h", "other")
+    # a line that is one character longer, with the one that it has when that is left out
+    whole = own.select(two(F.lit("left out"), "key", "known", "part").alias("group"), F.col("h").alias("other"))
+    longer = members(1).select("h", F.explode(F.array_distinct(shorter)).alias("group"))
+    return pairs.unionByName(longer.join(whole, "group").filter("h <> other").select("h", "other"))
 
 
 def repeated(docs: DataFrame, k: int = EDITS, least: int = LEAST, exact: int | None = None) -> DataFrame:
@@ -126,14 +164,22 @@ def repeated(docs: DataFrame, k: int = EDITS, least: int = LEAST, exact: int | N
 
     # candidates are pairs of 64-bit hashes, which are short rows; that two lines share one only makes more candidates
     single = placed.join(few(many), ["h", "g"], "left").filter("head IS NULL OR at = head").filter(F.col("n") >= least).select("h", "at", "line", "n")
+    index = _halves(0) if k == 1 else _keys(k, range(1), False)
+    probes = _halves(1) if k == 1 else _keys(k, range(k + 1), True)
     keyed = lambda keys: single.select(F.explode(keys).alias("key"), "h")
+    hot = None
+    if k == 1:
+        counted = keyed(index).groupBy("key").agg(F.count("*").alias("many"))
+        hot = stored(counted.filter(F.col("many") > HOT).select("key"), "hot")
+        some = few(hot)
+        keyed = lambda keys: single.select(F.explode(keys).alias("key"), "h").join(some, "key", "left_anti")
     # both sides alike up to the name, so that Spark makes and shuffles the index once
     side = lambda keys, name: keyed(keys).select("key", F.col("h").alias(name))
-    index = _halves(0) if k == 1 else _keys(k, range(1), False)
-    probes = _halves(1) if k == 1 else _keys(k, range(k + 1), True)
     pairs = side(probes, "h").join(side(index, "other"), "key").filter("h <> other")
     if k == 1:  # with one edit, what a line probes for its own length are its index keys
         pairs = pairs.unionByName(side(index, "h").join(side(index, "other"), "key").filter("h < other"))
+        if hot.limit(1).count():
+            pairs = pairs.select("h", "other").unionByName(_near_in(single, hot))
     found = stored(pairs.select(F.least("h", "other").alias("a"), F.greatest("h", "other").alias("b")).distinct(), "candidates")
     needed = stored(found.select(F.explode(F.array("a", "b")).alias("h")).distinct(), "needed")
     texts = stored(single.select("h", "at", "line").join(few(needed), "h"), "texts")
@@ -146,26 +192,27 @@ def repeated(docs: DataFrame, k: int = EDITS, least: int = LEAST, exact: int | N
 
 
 def remove_lines(docs: DataFrame, k: int = EDITS, least: int = LEAST, exact: int | None = None) -> DataFrame:
-    """docs with the text left, and removed: the numbers of the lines that went, in order."""
+    """docs with the text left, and removed: the numbers of the lines that went, in order; further columns are kept, but for one of that name."""
     gone = stored(repeated(docs, k, least, exact).groupBy("doc_id").agg(F.array_sort(F.collect_set("no")).alias("removed")), "gone")
-    joined = docs.withColumn("removed", F.lit(None)).drop("removed").join(few(gone), "doc_id", "left")
+    joined = docs.drop("removed").join(few(gone, F.size("removed")), "doc_id", "left")
     removed = F.coalesce("removed", F.array().cast("array<int>"))
-    text = F.when(F.size(removed) == 0, F.col("text")).otherwise(F.array_join(F.filter(F.split("text", "\n"), lambda _, i: ~F.array_contains(removed, i)), "\n"))
-    return joined.withColumn("text", text).withColumn("removed", removed)
+    # numbers that stay, by a set, and the lines by their numbers: linear in both
+    left = _let(F.split("text", "\n"), lambda lines: F.array_join(F.transform(F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("removed")), lambda i: F.get(lines, i)), "\n"))
+    return joined.withColumn("text", F.when(F.size(removed) == 0, F.col("text")).otherwise(left)).withColumn("removed", removed)
 
 
 def op10_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     n = F.coalesce(F.octet_length("text") - F.octet_length(F.replace("text", F.lit("\n"), F.lit(""))) + 1, F.lit(0)).cast("long")
-    return remove_lines(docs.withColumn("n_lines", n)).select("doc_id", "n_lines", F.size("removed").cast("long").alias("n_removed"), F.md5("text").alias("text_md5"))
+    return remove_lines(docs.withColumn("n_lines", n), exact=1).select("doc_id", "n_lines", F.size("removed").cast("long").alias("n_removed"), F.md5("text").alias("text_md5"))
 
 
 ORACLE = r"""
 with s as materialized (select doc_id, text, string_split(text, chr(10)) as raw from documents),
 l as materialized (select doc_id, no - 1 as no, trim(raw[no], ' ' || chr(9) || chr(13) || chr(11) || chr(12)) as line from (select doc_id, raw, unnest(range(1, len(raw) + 1)) as no from s)),
-e as materialized (select doc_id, no, line, length(line) as n from l where length(line) >= 25),
+e as materialized (select doc_id, no, line, length(line) as n from l where length(line) >= 1),
 u as materialized (select line, n, min(cast(doc_id as hugeint) * 4294967296 + no) as pos from e group by line, n),
-h as materialized (select line, n, pos, substr(line, 1, cast(floor(n / 2) as bigint)) as f, substr(line, cast(floor(n / 2) as bigint) + 1) as g from u),
+h as materialized (select line, n, pos, substr(line, 1, cast(floor(n / 2) as bigint)) as f, substr(line, cast(floor(n / 2) as bigint) + 1) as g from u where n >= 25),
 c as materialized (select a.line as x, b.line as y, a.pos as p, b.pos as q from h a join h b on b.n = a.n and a.line <> b.line and (b.f = a.f or b.g = a.g)
   union select a.line, b.line, a.pos, b.pos from h a join h b on b.n = a.n + 1 and (starts_with(b.line, a.f) or ends_with(b.line, a.g))),
 v as materialized (select case when p < q then y else x end as line from c where levenshtein(x, y) <= 1),
