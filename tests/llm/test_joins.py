@@ -243,3 +243,45 @@ def test_many_removed_lines_of_one_document(spark):
     body = "\n".join(["the same words in every line, again"] * 60_000)
     (r,) = lines.remove_lines(table(spark, [(1, body + "\nanother line that is like none of these")])).select("text", F.size("removed").alias("n")).collect()
     assert r.text.split("\n") == ["the same words in every line, again", "another line that is like none of these"] and r.n == 59_999
+
+
+def near_pairs(n, near, seed=8):
+    """n unit vectors of 64 dimensions of which the last `near` are at cosine 0.981 to the first ones."""
+    rng = np.random.default_rng(seed)
+    x = rng.normal(size=(n, 64)).astype(np.float32).astype(float)
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    g = rng.normal(size=(near, 64))
+    g -= (g * x[:near]).sum(1, keepdims=True) * x[:near]
+    x[n - near :] = 0.981 * x[:near] + np.sqrt(1 - 0.981**2) * g / np.linalg.norm(g, axis=1, keepdims=True)
+    return x
+
+
+def test_recall_of_a_label_of_20_000(spark):
+    """Every fiftieth vector against all rows, by brute force."""
+    x = near_pairs(20_000, 4000)
+    found = spark.createDataFrame([(i, v.tolist(), 0) for i, v in enumerate(x)], "vec_id long, embedding array<double>, label int")
+    got = {r.vec_id: r.n_links for r in embeddings.join(found).filter("vec_id % 50 = 0").collect()}
+    close = x[::50] @ x.T >= 0.98
+    want = {50 * i: int(row.sum()) - 1 for i, row in enumerate(close)}
+    assert all(got[i] <= want[i] for i in want) and sum(got.values()) >= 0.98 * sum(want.values()) > 100
+
+
+def test_recall_of_a_label_of_200_000():
+    """Pairs of every fiftieth vector with all rows, by brute force, share a filter."""
+    x = near_pairs(200_000, 20_000)
+    codes = {}
+    met = [set() for _ in range(len(x))]
+    for at in range(0, len(x), 20_000):
+        for r, f in zip(*(v.tolist() for v in embeddings.passes(x[at : at + 20_000], len(x), embeddings.HITS, codes))):
+            met[at + r].add(f)
+    pairs = [(50 * (at + i), j) for at in range(0, 4000, 500) for i, j in np.argwhere(x[50 * at : 50 * (at + 500) : 50] @ x.T >= 0.98).tolist() if 50 * (at + i) != j]
+    assert len(pairs) > 400 and sum(bool(met[a] & met[b]) for a, b in pairs) >= 0.98 * len(pairs)
+
+
+def test_embeddings_of_any_size(spark):
+    """Components whose squares over- or underflow."""
+    rng = np.random.default_rng(2)
+    v = rng.normal(size=16)
+    rows = [(i, (v * s).tolist(), 1) for i, s in enumerate((1.0, 1e200, 1e-200, 1e307))] + [(9, rng.normal(size=16).tolist(), 1)]
+    got = {r.vec_id: (r.n_links, r.component_id) for r in embeddings.join(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")).collect()}
+    assert got == {0: (3, 0), 1: (3, 0), 2: (3, 0), 3: (3, 0), 9: (0, 9)}

@@ -8,15 +8,16 @@ while the best rest could still reach the bound. Each vector has its own bound,
 best filters, so that none is left without. Vectors that pass the same filter are verified against one another.
 
 A vector passes ``hits`` filters, as many in each of ``CODES`` independent codes, and their number follows the size of
-its label, so that a filter has about ``CROWD`` vectors at any size. Labels of at most ``hits`` * ``BLOCK`` vectors, for
-which comparing all is no dearer, have one filter that all pass: there no link is missed. A pair is counted at the
+its label, so that a filter has about ``CROWD`` vectors at any size. Labels of at most ``EXACT`` vectors, for which
+comparing all is no dearer, have one filter that all pass: there no link is missed. A pair is counted at the
 smallest filter that both pass. Filters that many vectors pass are cut into blocks by hash and each two blocks are a
 task's run, so that no run has more than about 2 * ``BLOCK`` vectors; a run returns a row for each of its vectors at
 most, never pairs. Equal vectors are verified as one and counted as many.
 
 Defined cases: null ids, null labels, null, empty or zero vectors and vectors with null or non-finite components have
 no links; rows that repeat an id are vectors of their own that are one vertex; vectors of different dimension have no
-links; further columns are ignored; an empty table gives no rows.
+links; finite components of any size count, as vectors are scaled by their largest before their norm is taken; further
+columns are ignored; an empty table gives no rows. Vectors are told apart by 128-bit hashes.
 """
 
 from __future__ import annotations
@@ -27,13 +28,15 @@ from statistics import NormalDist
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weftarc.llm.common import arrow, components, few, runs, stored
 from weftarc.llm.jaccard import local_components
 
-HITS, CODES, CROWD, BLOCK = 16, 2, 64, 128
+HITS, CODES, CROWD, BLOCK = 16, 2, 64, 512
+EXACT = 2048  # vectors of a label that are compared each with each
+SLICE = 4096  # filters of a product
 
 
 class Code:
@@ -80,9 +83,15 @@ class Code:
         return row, code
 
 
+def units(x: np.ndarray) -> np.ndarray:
+    """Rows of length one; first scaled by their largest component, so that no square over- or underflows."""
+    x = x / np.abs(x).max(axis=1, keepdims=True)
+    return x / np.linalg.norm(x, axis=1, keepdims=True)
+
+
 def passes(unit: np.ndarray, vectors: int, hits: int, codes: dict) -> tuple[np.ndarray, np.ndarray]:
     """Rows and filters of unit vectors of a label of so many vectors. codes: keeps those made before."""
-    if vectors <= hits * BLOCK:
+    if vectors <= EXACT:
         return np.arange(len(unit)), np.zeros(len(unit), np.int64)
     d, each = unit.shape[1], max(1, hits // CODES)
     filters = 1 << max(2, math.ceil(math.log2(vectors * each / CROWD)))  # few sizes, so that few codes are made
@@ -107,7 +116,7 @@ def _hits(batches: Iterator[pa.RecordBatch], hits: int) -> Iterator[pa.RecordBat
                 at = np.flatnonzero((dims == d) & (sizes == size))
                 own = part.take(pa.array(at))
                 x = np.asarray(own.column("embedding").flatten()).reshape(-1, d).astype(np.float64)
-                row, code = passes(x / np.linalg.norm(x, axis=1, keepdims=True), size, hits, codes)
+                row, code = passes(units(x), size, hits, codes)
                 order = np.lexsort((code, row))
                 row, code = row[order], code[order]
                 ends = np.searchsorted(row, np.arange(len(at) + 1)).astype(np.int32)
@@ -118,12 +127,12 @@ def _verify(batches: Iterator[pa.RecordBatch], least: float) -> Iterator[pa.Reco
     for t in runs(batches, ["key"]):
         if t.num_rows < 2:
             continue
-        nodes, times = np.asarray(t.column("node")), np.asarray(t.column("times"))
+        nodes, times = np.array(t.column("node").to_pylist(), object), np.asarray(t.column("times"))
         order = np.argsort(nodes, kind="stable")
         nodes, times = nodes[order], times[order]
         blocks, filter_ = np.asarray(t.column("block"))[order], t.column("filter")[0].as_py()
         x = np.asarray(t.column("embedding").combine_chunks().flatten()).reshape(len(nodes), -1).astype(np.float64)[order]
-        x /= np.linalg.norm(x, axis=1, keepdims=True)
+        x = units(x)
         near = x @ x.T >= least
         if blocks.min() != blocks.max():  # within a block, its own run looks
             near &= blocks[:, None] != blocks[None, :]
@@ -134,13 +143,27 @@ def _verify(batches: Iterator[pa.RecordBatch], least: float) -> Iterator[pa.Reco
         sizes, flat = np.asarray(lists.value_lengths()), np.asarray(lists.flatten())
         row = np.argsort(order)[np.repeat(np.arange(len(nodes)), sizes)]
         before = flat < filter_
-        known, column = np.unique(flat[before], return_inverse=True)
-        passed = np.zeros((len(nodes), len(known)), np.float32)
-        passed[row[before], column] = 1
-        first = near & (passed @ passed.T == 0)
+        _, column, count = np.unique(flat[before], return_inverse=True, return_counts=True)
+        shared = count[column] > 1
+        row, column = row[before][shared], np.unique(column[shared], return_inverse=True)[1]
+        order_ = np.argsort(column, kind="stable")
+        row, column = row[order_], column[order_]
+        earlier = np.zeros(near.shape, bool)  # pairs that meet at a smaller filter
+        starts = np.searchsorted(column, np.arange(0, (column[-1] if len(column) else -1) + 1, SLICE))
+        for a, z in zip(starts, [*starts[1:], len(column)]):
+            passed = np.zeros((len(nodes), SLICE), np.float32)
+            passed[row[a:z], column[a:z] % SLICE] = 1
+            earlier |= passed @ passed.T > 0
+        first = near & ~earlier
         label = local_components(near)
         some = near.any(axis=1)
-        yield pa.RecordBatch.from_arrays([pa.array(nodes[some]), pa.array(nodes[label[some]]), pa.array((first @ times)[some])], ["node", "hub", "links"])
+        yield pa.RecordBatch.from_arrays([pa.array(nodes[some], pa.binary()), pa.array(nodes[label[some]], pa.binary()), pa.array((first @ times)[some])], ["node", "hub", "links"])
+
+
+def _identity() -> Column:
+    """16 bytes for each label and vector."""
+    h = lambda *x: F.lpad(F.hex(F.xxhash64(*x)), 16, "0")
+    return F.unhex(F.concat(h("label", "embedding"), h(F.lit(1), "label", "embedding", F.lit(2))))
 
 
 def join(vectors: DataFrame, least: float = 0.98, hits: int = HITS) -> DataFrame:
@@ -151,23 +174,23 @@ def join(vectors: DataFrame, least: float = 0.98, hits: int = HITS) -> DataFrame
     usable = vectors.filter(F.coalesce(good, F.lit(False)))
     grouped = usable.groupBy("label", "embedding").agg(F.min("vec_id").alias("node"), F.count("*").alias("times"))
     # one id may stand with several vectors, so a vertex of the verification is a vector, numbered by its hash
-    distinct = stored(grouped.withColumn("key", F.xxhash64("label", "embedding")).withColumn("dim", F.size("embedding")), "vectors")
+    distinct = stored(grouped.withColumn("key", _identity()).withColumn("dim", F.size("embedding")), "vectors")
     sizes = distinct.groupBy("label", "dim").agg(F.count("*").alias("vectors"))
     sized = distinct.join(few(sizes), ["label", "dim"]).select(F.col("key").alias("node"), "label", "dim", "vectors", "embedding")
 
-    passed = stored(arrow(_hits, sized, f"node long, label {dict(vectors.dtypes)['label']}, dim int, filters array<long>", hits), "filters")
+    passed = stored(arrow(_hits, sized, f"node binary, label {dict(vectors.dtypes)['label']}, dim int, filters array<long>", hits), "filters")
     rows = passed.select("node", "label", "dim", F.explode("filters").alias("filter"))
     crowds = rows.groupBy("label", "dim", "filter").agg(F.count("*").alias("n")).filter("n > 1").withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int"))
     dealt = rows.join(crowds.drop("n"), ["label", "dim", "filter"]).withColumn("block", F.pmod(F.xxhash64(F.col("node"), F.lit(1)), F.col("blocks")).cast("int"))
     dealt = dealt.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     dealt = dealt.withColumn("key", F.concat_ws("/", "label", "dim", "filter", F.least("block", "with"), F.greatest("block", "with"))).select("key", "node", "filter", "block")
     whole = distinct.select(F.col("key").alias("node"), F.transform("embedding", lambda v: v.cast("double")).alias("embedding"), "times").join(passed.select("node", "filters"), "node")
-    found = arrow(_verify, dealt.join(whole, "node").repartition(F.col("key")).sortWithinPartitions("key"), "node long, hub long, links long", least)
+    found = arrow(_verify, dealt.join(whole, "node").repartition(F.col("key")).sortWithinPartitions("key"), "node binary, hub binary, links long", least)
     found = stored(found, "links")
     links = found.groupBy("node").agg(F.sum("links").alias("links"))
 
     # back to ids: each vector row with its vector's key, links of that and of its copies
-    own = usable.select("vec_id", F.xxhash64("label", "embedding").alias("key"))
+    own = usable.select("vec_id", _identity().alias("key"))
     counted = own.join(distinct.select("key", "times", F.col("node").alias("head")), "key").join(links.withColumnRenamed("node", "key"), "key", "left")
     counted = stored(counted.select("vec_id", "key", "head", (F.col("times") - 1 + F.coalesce("links", F.lit(0))).alias("n_links")), "counted")
     copies = counted.filter("n_links > 0").select(F.col("vec_id").alias("node"), F.col("key").alias("hub"))

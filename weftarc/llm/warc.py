@@ -30,12 +30,17 @@ LEAST = 100
 
 
 def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(digest, member): each payload that the task has not packed before, as a gzip member."""
+    seen: set[str] = set()
     for b in slices(batches, "payload"):
-        packed = []
-        for p in b.column("payload"):
-            z = zlib.compressobj(6, zlib.DEFLATED, 31)
-            packed.append(z.compress(p.as_buffer()) + z.flush())
-        yield pa.RecordBatch.from_arrays([b.column("digest"), pa.array(packed, pa.binary())], ["digest", "member"])
+        digests, packed = [], []
+        for d, p in zip(b.column("digest").to_pylist(), b.column("payload")):
+            if d not in seen:
+                seen.add(d)
+                z = zlib.compressobj(6, zlib.DEFLATED, 31)
+                digests.append(d)
+                packed.append(z.compress(p.as_buffer()) + z.flush())
+        yield pa.RecordBatch.from_arrays([pa.array(digests, pa.string()), pa.array(packed, pa.binary())], ["digest", "member"])
 
 
 def _header(least: int) -> Column:
