@@ -298,3 +298,62 @@ def test_pipeline(spark, tmp_path):
     table(spark, []).write.parquet(f"{empty}/documents.parquet")
     spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(f"{empty}/labels.parquet")
     assert corpus_pipeline.run(spark, str(empty)).count() == 0
+
+
+def test_mixing_posteriors_against_plain_bayes(spark):
+    from math import exp, log
+
+    from pyspark.sql import functions as F
+
+    rng = random.Random(6)
+    rows = [(i, " ".join(rng.choice(["Aa", "bb", "cc", "dd", "ee"][i % 2 : 4 + i % 2]) for _ in range(rng.randint(0, 90)))) for i in range(80)] + [(900, None), (901, "AA bb\x0bzz")]
+    domain = {i: ("odd", "even")[i % 2] for i in range(60)}
+    docs = table(spark, rows)
+    seen = spark.createDataFrame(list(domain.items()), "doc_id long, domain string")
+    names, *model = mixing.fit(docs, seen)
+    got = {r.doc_id: r for r in mixing.posteriors(docs, (names, *model)).collect()}
+    split = lambda t: [bytes(w).decode() for w in (t or "").encode().lower().split()]
+    known = sorted({w for _, t in rows for w in split(t)})
+    at = {r.w: r.b for r in spark.createDataFrame([(w,) for w in known], "w string").select("w", F.pmod(F.xxhash64("w"), F.lit(mixing.BUCKETS)).alias("b")).collect()}
+    count = {d: Counter(at[w] for i, t in rows if domain.get(i) == d for w in split(t)) for d in names}
+    size = {d: sum(c.values()) + mixing.SMOOTH * mixing.BUCKETS for d, c in count.items()}
+    for i, t in rows:
+        w = split(t)
+        flat = min(1, mixing.SOFT / max(1, len(w)))
+        odds = [log(sum(x == d for x in domain.values()) / len(domain)) + flat * sum(log(count[d][at[x]] + mixing.SMOOTH) - log(size[d]) for x in w) for d in names]
+        want = [exp(o - max(odds)) for o in odds]
+        assert got[i].n_tokens == len(w)
+        assert all(abs(got[i][f"p_{k}"] - x / sum(want)) < 1e-4 for k, x in enumerate(want))
+
+
+def test_quality_against_plain_shrinking(spark):
+    """Rates of hosts and paths, their strengths and the posteriors from the documents' evidence, in plain numbers."""
+    from math import exp, log
+
+    rows, labels = quality_rows()
+    docs = table(spark, rows)
+    known = spark.createDataFrame(labels[:250], "doc_id long, quality int, toxic int")
+    model = quality.fit(docs, known)
+    out = quality.judge(docs, known, model=model).collect()
+
+    def shrunk(sites, above):  # sites: name -> (documents, sum), above: name -> rate
+        seen = sum(n * (s / n - above[k]) ** 2 for k, (n, s) in sites.items())
+        chance = [above[k] * (1 - above[k]) for k in sites]
+        between = max(0.0, seen - sum(chance)) / sum(n for n, _ in sites.values())
+        strength = min(1e6, max(1.0, sum(chance) / len(chance) / between - 1)) if between else 1e6
+        return {k: (s + strength * above[k]) / (n + strength) for k, (n, s) in sites.items()}
+
+    for flaw in quality.FLAWS:
+        p = {r.doc_id: 1 / (1 + exp(-r[f"{flaw}_odds"])) for r in out}
+        hosts, paths = {}, {}
+        for r in out:
+            for sites, k in ((hosts, r.host), (paths, (r.host, r.path))):
+                n, s = sites.get(k, (0, 0.0))
+                sites[k] = (n + 1, s + p[r.doc_id])
+        everywhere = sum(p.values()) / len(p)
+        host_rate = shrunk(hosts, dict.fromkeys(hosts, everywhere))
+        rate = shrunk(paths, {k: host_rate[k[0]] for k in paths})
+        for r in out:
+            own = min(max(rate[r.host, r.path], 1e-6), 1 - 1e-6)
+            want = 1 / (1 + exp(-(r[f"{flaw}_odds"] - model[flaw]["prior"] + log(own / (1 - own)))))
+            assert abs(r[f"p_{flaw}"] - want) < 1e-5

@@ -1,6 +1,7 @@
 """WARC archive, HTML extraction and media columns: exact round trips."""
 
 import hashlib
+import random
 import zlib
 
 import numpy as np
@@ -215,3 +216,56 @@ def test_media_table(spark):
     shapes = media.tensors(got).collect()
     assert all(len(r.rgb) == r.height * r.width * 3 for r in shapes)
     assert media.with_media(table(spark, [])).count() == 0
+
+
+def test_spans_against_all_windows():
+    """Surges, dives and peaks by looking at each window by itself."""
+    rng = random.Random(3)
+    for _ in range(300):
+        w = [rng.choice([0, 0, 0, rng.randrange(1, 40)]) for _ in range(rng.randrange(30))]
+        size = rng.randrange(1, 5)
+        at = lambda i: w[i] if 0 <= i < len(w) else 0
+        window = {i: sum(at(j) for j in range(i, i + size)) for i in range(1 - size, len(w))}
+        want = []
+        for i in sorted(window):
+            if window[i] and not window.get(i - 1):
+                end = i
+                while window.get(end + 1):
+                    end += 1
+                lines_ = [j for j in range(i, end + size) if at(j)]
+                want.append((lines_[0], lines_[-1] + 1, max(window[j] for j in range(i, end + 1))))
+        assert extract.spans(w, size) == want
+
+
+def test_windows_decide_without_lists_and_marks():
+    """Menus of links go and text stays by weights alone; a short line far from the text goes."""
+    menu = "<ul>" + "".join(f"<li><a href=x>Menu entry {i}</a></li>" for i in range(6)) + "</ul>"
+    page = f"<div>Top.</div>{menu}<div>First paragraph with enough words to count as text of an article.</div><div>Second one, shorter.</div>{menu}<div>End.</div>"
+    assert extract.main_text(page, told=False, marks=False) == "First paragraph with enough words to count as text of an article.\n\nSecond one, shorter."
+
+
+def test_tensor_against_a_plain_transform():
+    """Pixels from cosines, repeated chroma and the colour equations, one by one."""
+    image = media.coefficients(media.encode(media.payload(bytes(range(256)) * 5)))
+    planes = []
+    tall, wide = max(c.v for c in image.components.values()), max(c.h for c in image.components.values())
+    x = np.arange(8)
+    waves = np.cos((2 * x[:, None] + 1) * x[None, :] * np.pi / 16) * np.where(x == 0, np.sqrt(0.5), 1.0)
+    for c in image.components.values():
+        plane = np.zeros((8 * c.coefs.shape[0], 8 * c.coefs.shape[1]))
+        for r in range(c.coefs.shape[0]):
+            for q in range(c.coefs.shape[1]):
+                values = np.zeros((8, 8))
+                for k in range(64):
+                    u, v = divmod(int(NATURAL[k]), 8)
+                    values[u, v] = float(c.coefs[r, q, k]) * float(image.quants[c.quant][k])
+                plane[8 * r : 8 * r + 8, 8 * q : 8 * q + 8] = np.clip(waves @ values @ waves.T / 4 + 128, 0, 255)
+        planes.append(np.array([[plane[i * c.v // tall, j * c.h // wide] for j in range(image.width)] for i in range(image.height)]))
+    y, cb, cr = planes[0], planes[1] - 128, planes[2] - 128
+    want = np.stack([y + 1.402 * cr, y - 0.344136 * cb - 0.714136 * cr, y + 1.772 * cb], axis=2)
+    got = media.tensor(image).astype(float)
+    assert np.abs(got - np.clip(want, 0, 255)).max() <= 1.01
+
+
+#: Place of the k-th coefficient of a zigzag.
+NATURAL = sorted(range(64), key=lambda i: (i // 8 + i % 8, i // 8 if (i // 8 + i % 8) % 2 else i % 8))

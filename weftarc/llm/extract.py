@@ -1,11 +1,12 @@
 """Main text of web pages by the distribution of text over blocks of lines.
 
-Markup is stripped to lines, one for each block-level element. A line weighs its characters, or nothing if it stands in
-a container of menus, headers, footers, sidebars, notices, adverts, forms or reader comments (told by element, role,
-class or id), if most of it is link text, or if the page marks its article and the line stands outside. Weights are
-summed over windows of ``WINDOW`` lines; the text surges where a window becomes positive after empty ones and dives
-where a window is empty again; a container beside the article is an empty line. What stands between a surge and its dive is kept: in a marked article always, else if
-some window there has at least ``SURGE`` characters, or if it has the most of all.
+Markup is stripped to lines, one for each block-level element. A line weighs its characters, those in links by ``LINK`` of
+them. Markup only changes weights: a line in a container of menus, headers, footers, sidebars, notices, adverts, forms or
+reader comments (told by element, role, class or id) weighs nothing and stands as one empty line for the whole container;
+outside of the article that a page marks, lines weigh nothing, and inside ``MARKED`` times as much. Where no article is
+marked, lines most of which is link text weigh nothing. Weights are summed over windows of ``WINDOW`` lines; the text
+surges where a window becomes positive after empty ones and dives where a window is empty again. What stands between a
+surge and its dive is kept if some window there has at least ``SURGE``, or if it has the most of all.
 
 Defined cases: a null or empty html gives an empty text; an element that is never closed ends with what contains it or
 with the page; an unfinished tag at the end is dropped; white space is what str.split() splits on; <br> is white space;
@@ -25,6 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from weftarc.llm.common import arrow, slices
 
 WINDOW, SURGE, LINKS = 3, 60, 0.5
+LINK, MARKED = 0.5, 64
 
 TOKEN = re.compile(r"<!--(?:-?>|.*?--!?>|.*)|<[!?][^>]*+(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+|[^>]*+)(>|\Z)|</[^a-zA-Z>][^>]*+(?:>|\Z)", re.S)
 ATTRIBUTE = re.compile(r"([^\s=\"'>/]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
@@ -72,10 +74,11 @@ def _beside(name: str, attributes: str, inside: bool) -> bool:
     return found.get("role", "").lower() in ROLES or bool(words & BESIDE) or not inside and "header" in words
 
 
-def lines(page: str, forms: bool = True) -> list[Line | None]:
+def lines(page: str, forms: bool = True, told: bool = True) -> list[Line | None]:
     """The text lines of a page in order, with None where a container beside the article stood.
 
-    forms: False takes a form for an ordinary container, as pages do that stand in one as a whole.
+    forms: False takes a form for an ordinary container, as pages do that stand in one as a whole. told: False takes all
+    containers for ordinary ones, so that only text and link lengths and the marked article are left to go by.
     """
     out: list[Line | None] = []
     parts: list[str] = []
@@ -137,7 +140,7 @@ def lines(page: str, forms: bool = True) -> list[Line | None]:
             main -= name == "main" and main > 0
             link -= name == "a" and link > 0
             continue
-        if name not in VOID and _beside(name, m[3] or "", article + main > 0) and (forms or name not in ("form", "fieldset")):
+        if told and name not in VOID and _beside(name, m[3] or "", article + main > 0) and (forms or name not in ("form", "fieldset")):
             flush()
             out.append(None)
             skip, depth, within = name, 1, 0
@@ -153,42 +156,46 @@ def lines(page: str, forms: bool = True) -> list[Line | None]:
     return out
 
 
-def spans(weights: list[int], window: int = WINDOW) -> list[tuple[int, int, int]]:
-    """(surge, dive, largest window) of each stretch: from the first line with weight after an empty window to the last before the next."""
-    found, start, last, peak = [], None, -1, 0
-    for i, w in enumerate(weights):
-        if w:
-            if start is None:
-                start, peak = i, 0
-            last = i
-            peak = max(peak, sum(weights[max(start, i - window + 1) : i + 1]))
-        elif start is not None and i - last >= window:
-            found.append((start, last + 1, peak))
+def weigh(found: list[Line | None], marks: bool = True) -> list[float]:
+    """The weights of lines. marks: False takes no article for marked."""
+    mark = next((k for k in ("article", "main") if marks and any(x and getattr(x, k) for x in found)), None)
+    if mark:
+        return [MARKED * (len(x.text) - LINK * min(x.links, len(x.text))) if x and getattr(x, mark) else 0.0 for x in found]
+    return [len(x.text) - LINK * x.links if x and x.links <= LINKS * len(x.text) else 0.0 for x in found]
+
+
+def spans(weights: list[float], window: int = WINDOW) -> list[tuple[int, int, float]]:
+    """(surge, dive, largest window) of each stretch, by the sums of all windows of so many lines.
+
+    A stretch is a longest run of windows with weight: from the first line with weight in them to behind the last.
+    """
+    sums = [0.0] * (window - 1) + list(weights) + [0.0] * (window - 1)
+    sums = [sum(sums[i : i + window]) for i in range(len(weights) + window - 1)]  # window i ends with line i
+    found, start = [], None
+    for i, s in enumerate([*sums, 0.0]):
+        if s > 0 and start is None:
+            start = i
+        elif s <= 0 and start is not None:
+            found.append((start, i - window + 1, max(sums[start:i])))  # the last line with weight left the window
             start = None
-    if start is not None:
-        found.append((start, last + 1, peak))
     return found
 
 
-def main_text(page: str | None) -> str:
+def main_text(page: str | None, told: bool = True, marks: bool = True) -> str:
     """The blocks of the article, joined by an empty line."""
     if not page:
         return ""
     for forms in (True, False):
-        if text := _kept(lines(page, forms)):
+        if text := _kept(lines(page, forms, told), marks):
             return text
     return ""
 
 
-def _kept(found: list[Line | None]) -> str:
-    marked = next((k for k in ("article", "main") if any(x and getattr(x, k) for x in found)), None)
-    if marked:
-        weights = [len(x.text) if x and getattr(x, marked) else 0 for x in found]
-    else:
-        weights = [len(x.text) if x and x.links <= LINKS * len(x.text) else 0 for x in found]
+def _kept(found: list[Line | None], marks: bool = True) -> str:
+    weights = weigh(found, marks)
     stretches = spans(weights)
     most = max((p for *_, p in stretches), default=0)
-    kept = [(a, b) for a, b, p in stretches if marked or p >= SURGE or p == most]
+    kept = [(a, b) for a, b, p in stretches if p >= SURGE or p == most]
     return "\n\n".join(found[i].text for a, b in kept for i in range(a, b) if weights[i])
 
 
