@@ -19,6 +19,8 @@ WORD = r"[^\x20\x09-\x0D]+"
 SPACE = r"[\x20\x09-\x0D]+"
 #: Rows, of a few numbers each, up to which the side of a join may be broadcast.
 BROADCAST = 200_000
+#: Numbers, of 4 bytes, up to which rows with lists of them may be.
+NUMBERS = 4_000_000
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 _own_folder: list[str] = []
@@ -61,12 +63,14 @@ def remove(df: DataFrame) -> None:
 
 
 def few(df: DataFrame, numbers: Column | None = None) -> DataFrame:
-    """df, broadcast if it has at most BROADCAST rows, which it counts; beyond, joined as any other.
+    """df, broadcast if it has at most BROADCAST rows of a few numbers each, which it counts; beyond, joined as any other.
 
-    Rows are of a few numbers each; numbers: how many more a row has in a list, which count as well.
+    numbers: of rows with a list, how many numbers that has; then, the limit is NUMBERS in all.
     """
-    size = df.count() if numbers is None else df.agg(F.count("*") + F.coalesce(F.sum(numbers), F.lit(0)) / 4).first()[0]
-    return F.broadcast(df) if size <= BROADCAST else df
+    if numbers is None:
+        return F.broadcast(df) if df.count() <= BROADCAST else df
+    rows, more = df.agg(F.count("*"), F.coalesce(F.sum(numbers), F.lit(0))).first()
+    return F.broadcast(df) if 4 * rows + more <= NUMBERS else df
 
 
 def ascii_lower(c):

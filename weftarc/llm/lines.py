@@ -163,26 +163,25 @@ def repeated(docs: DataFrame, k: int = EDITS, least: int = LEAST, exact: int | N
         return equal
 
     # candidates are pairs of 64-bit hashes, which are short rows; that two lines share one only makes more candidates
-    single = placed.join(few(many), ["h", "g"], "left").filter("head IS NULL OR at = head").filter(F.col("n") >= least).select("h", "at", "line", "n")
-    index = _halves(0) if k == 1 else _keys(k, range(1), False)
+    once = placed.filter(F.col("n") >= least).join(few(many), ["h", "g"], "left").filter("head IS NULL OR at = head")
+    # stored, else each use would split and hash all texts again
+    single = stored(once.select("h", "at", "line", "n", (_halves(0) if k == 1 else _keys(k, range(1), False)).alias("own")), "single")
+    index = F.col("own")
     probes = _halves(1) if k == 1 else _keys(k, range(k + 1), True)
     keyed = lambda keys: single.select(F.explode(keys).alias("key"), "h")
     hot = None
     if k == 1:
-        counted = keyed(index).groupBy("key").agg(F.count("*").alias("many"))
-        hot = stored(counted.filter(F.col("many") > HOT).select("key"), "hot")
+        hot = stored(keyed(index).groupBy("key").agg(F.count("*").alias("many")).filter(F.col("many") > HOT).select("key"), "hot")
         some = few(hot)
         keyed = lambda keys: single.select(F.explode(keys).alias("key"), "h").join(some, "key", "left_anti")
-    # both sides alike up to the name, so that Spark makes and shuffles the index once
-    side = lambda keys, name: keyed(keys).select("key", F.col("h").alias(name))
-    pairs = side(probes, "h").join(side(index, "other"), "key").filter("h <> other")
-    if k == 1:  # with one edit, what a line probes for its own length are its index keys
-        pairs = pairs.unionByName(side(index, "h").join(side(index, "other"), "key").filter("h < other"))
-        if hot.limit(1).count():
-            pairs = pairs.select("h", "other").unionByName(_near_in(single, hot))
+    # with one edit, what a line probes for its own length are its index keys
+    x, y = (keyed(F.concat(index, probes) if k == 1 else probes).alias("x"), keyed(index).alias("y"))
+    pairs = x.join(y, "key").filter("x.h <> y.h").select(F.col("x.h").alias("h"), F.col("y.h").alias("other"))
+    if hot is not None and hot.limit(1).count():
+        pairs = pairs.unionByName(_near_in(single, hot))
     found = stored(pairs.select(F.least("h", "other").alias("a"), F.greatest("h", "other").alias("b")).distinct(), "candidates")
     needed = stored(found.select(F.explode(F.array("a", "b")).alias("h")).distinct(), "needed")
-    texts = stored(single.select("h", "at", "line").join(few(needed), "h"), "texts")
+    texts = single.select("h", "at", "line").join(few(needed), "h")
     a, b = (texts.select(F.col("h").alias(h), F.col("at").alias(f"at_{h}"), F.col("line").alias(f"line_{h}")) for h in "ab")
     joined = found.join(a, "a").join(b, "b").filter(F.abs(F.char_length("line_a") - F.char_length("line_b")) <= k)
     near = joined.filter(within(F.col("line_a"), F.col("line_b"), k)).select(F.greatest("at_a", "at_b").alias("head")).distinct()
