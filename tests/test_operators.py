@@ -178,3 +178,19 @@ def test_saved_ids(spark):
 def test_md5(spark):
     rows = spark.createDataFrame([("f", b"x"), ("f", b"x"), ("g", b"")], "path string, content binary")
     assert pairs(files.md5(rows)) == [("f", "9dd4e461268c8034f5c8564e155c67a6"), ("g", "d41d8cd98f00b204e9800998ecf8427e")]
+
+
+def test_host_links_of_captures_of_one_url(spark):
+    """A capture without links is an edge to itself, though another capture of its URL has links."""
+    with_link = wat(META, **{"HTML-Metadata": {"Links": [{"url": "https://d.com/"}]}})
+    assert pairs(links.host_links(table(spark, with_link, wat(META), with_link))) == [("com.a", "com.a"), ("com.a", "com.d")]
+
+
+def test_host_links_beyond_plain_names(spark):
+    odd = wat(META, **{"HTML-Metadata": {"Links": [{"url": "https://bücher.de/"}, {"url": "//USER@x.org:8/"}, {"url": "http://10.0.0.1/"}, {"url": "ftp://www.f.net/"}]}})
+    assert pairs(links.host_links(table(spark, odd))) == [("com.a", "de.xn--bcher-kva"), ("com.a", "net.f"), ("com.a", "org.x")]
+
+
+def test_host_links_scan_once(spark):
+    plan = links.host_links(table(spark, EXAMPLE))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("LogicalRDD") == 1

@@ -40,7 +40,7 @@ def encoding_of(page: bytes, given: str | None = None, content_type: str | None
     """The given encoding; else that of a byte order mark, a Content-Type, a meta element; else UTF-8 if it fits, or Latin-1."""
     announced = re.search(r"charset\s*=\s*[\"']?([\w:.-]+)", content_type or "", re.I)
     candidates = [given, next((n for mark, n in MARKS if page.startswith(mark)), None), announced and announced[1]]
-    if found := CHARSET.search(page[:4096]):
+    if found := CHARSET.search(page):
         candidates.append(found[1].decode("ascii"))
     for c in candidates:
         try:

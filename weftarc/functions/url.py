@@ -6,7 +6,7 @@ import re
 from urllib.parse import urljoin, urlparse
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # What a host, a label and an address look like.
@@ -122,6 +122,13 @@ def _udf(name: str):
                 return pd.Series([join(b, r) for b, r in zip(none(base), none(relative))], dtype=object)
 
             _udfs[name] = joined
+        elif name == "surt_hosts":
+
+            @F.pandas_udf("array<string>")
+            def surts(lists: pd.Series) -> pd.Series:
+                return pd.Series([None if x is None else [surt_host(u) for u in x] for x in lists], dtype=object)
+
+            _udfs[name] = surts
         else:
             _udfs[name] = _column(globals()[name])
     return _udfs[name]
@@ -151,6 +158,17 @@ def surt_of(url: Column, simple_only: bool = False) -> Column:
     return found if simple_only else F.coalesce(found, _udf("surt_host")(F.when(found.isNull(), url)))
 
 
+def with_surts(rows: DataFrame, column: str, simple_only: bool = False) -> DataFrame:
+    """rows with a list of URLs as the list of their surt_of(); only those that need more than an expression leave the JVM."""
+    simple = F.transform(column, lambda u: F.struct(u.alias("u"), surt_of(u, True).alias("s")))
+    if simple_only:
+        return rows.withColumn(column, F.transform(simple, lambda x: x["s"]))
+    left = F.array_distinct(F.transform(F.filter("_simple", lambda x: x["s"].isNull() & x["u"].isNotNull()), lambda x: x["u"]))
+    rows = rows.withColumn("_simple", simple).withColumn("_left", left).withColumn("_found", _udf("surt_hosts")(F.col("_left")))
+    every = F.transform("_simple", lambda x: F.coalesce(x["s"], F.get("_found", F.array_position("_left", x["u"]).cast("int") - 1)))
+    return rows.withColumn(column, every).drop("_simple", "_left", "_found")
+
+
 def robots_host_of(url: Column) -> Column:
     return _udf("robots_host")(url)
 

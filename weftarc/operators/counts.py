@@ -61,8 +61,8 @@ def word_frequencies(texts: DataFrame, column: str = "text", *by: str) -> DataFr
 
     The words of a row are sorted, and the first of equal ones is marked, so that both counts come from one aggregation.
     """
-    sorted_ = F.array_sort(text.words(F.col(column)))
-    marked = F.transform("w", lambda w, i: F.struct(w.alias("key"), F.when((i == 0) | (F.get("w", F.greatest(i - 1, F.lit(0))) != w), 1).otherwise(0).alias("first")))
+    sorted_ = F.sort_array(text.words(F.col(column)))
+    marked = F.transform("w", lambda w, i: F.struct(w.alias("key"), F.coalesce((F.get("w", i - 1) != w).cast("int"), F.lit(1)).alias("first")))
     rows = texts.select(*by, sorted_.alias("w")).select(*by, F.explode(marked).alias("x"))
     return rows.groupBy(*by, F.col("x.key").alias("key")).agg(F.count("*").alias("tf"), F.sum("x.first").cast("long").alias("df"))
 

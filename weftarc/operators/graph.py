@@ -5,12 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from weftarc import shared
 from weftarc.functions import tld, url
 
 
 def names(edges: DataFrame) -> DataFrame:
     """Distinct (name) of both ends."""
-    return edges.select(F.col("s").alias("name")).union(edges.select(F.col("t").alias("name"))).filter("name IS NOT NULL").distinct()
+    return edges.select(F.explode(F.array("s", "t")).alias("name")).filter("name IS NOT NULL").distinct()
 
 
 def valid_hosts(vertices: DataFrame, tlds: DataFrame | None = None) -> DataFrame:
@@ -26,13 +27,12 @@ def valid_hosts(vertices: DataFrame, tlds: DataFrame | None = None) -> DataFrame
 def with_ids(vertices: DataFrame, partitions: int | None = None) -> DataFrame:
     """(name, id), 0 to n - 1 in order of names, without one task for all: a range partition counts on from those before it.
 
-    The sorted names are kept, as bounds are sampled anew by each run of a plan; what is cached can be lost with its
-    executor, and is then recomputed from the same cached order, or, if checkpoints are set up, read from there.
+    The names are kept as a checkpoint in their partitions, as bounds are sampled anew by each run of a plan.
     """
     spark = vertices.sparkSession
     n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     ranged = vertices.select("name").repartitionByRange(n, "name").withColumn("part", F.spark_partition_id())
-    ranged = ranged.checkpoint() if spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir() else ranged.persist()
+    ranged = shared.checkpointed(ranged)
     sizes = ranged.groupBy("part").agg(F.count("*").alias("n"))
     before = sizes.select("part", (F.sum("n").over(Window.orderBy("part")) - F.col("n")).alias("before"))  # a row a partition
     nth = F.row_number().over(Window.partitionBy("part").orderBy("name"))

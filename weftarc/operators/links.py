@@ -14,6 +14,7 @@ META_NAMES = ("twitter:image", "thumbnail", "application-url", "msapplication-st
 ABSOLUTE = r"^(?:https?:)?//"
 GLOBAL = r"(?i)^(?:[a-z][a-z0-9]{1,5}:)?//"
 
+
 def _none() -> Column:
     return F.array().cast("array<string>")
 
@@ -84,32 +85,27 @@ def page_links_of(pages: DataFrame, resolve_headers: bool = False) -> DataFrame:
     return rows.select(F.col("uri").alias("s"), joined.alias("t")).filter("t IS NOT NULL")
 
 
-def _host_targets(pages: DataFrame, simple_only: bool) -> DataFrame:
-    """(uri, own, src, t): a row for each link of a page that could be an edge between hosts, or one with a null t.
+def host_edges(pages: DataFrame, simple_only: bool = False) -> DataFrame:
+    """Distinct (s, t) of reversed hosts, of the rows that captures() gives, in one pass over them.
 
     Links with a host stand for themselves. Other links of a group together stand for the base, where there is one. A
-    header link belongs to the page's own host; for other links, the base's host steps in where the page has none.
+    header link belongs to the page's own host; for other links, the base's host steps in where the page has none. A
+    capture without an edge is one from its host to itself, whatever other captures of its URL have.
     """
-    in_headers = F.transform(F.concat("header_links", "announced"), lambda v: F.struct(F.array(v).alias("links"), F.lit(True).alias("in_header")))
-    in_groups = F.transform("groups", lambda g: F.struct(g.alias("links"), F.lit(False).alias("in_header")))
-    rows = pages.select("uri", "base", F.explode_outer(F.concat(in_headers, in_groups)).alias("g"))
     is_global = lambda v: F.coalesce(v.rlike(GLOBAL), F.lit(False))
-    in_header = F.coalesce(F.col("g.in_header"), F.lit(False))
-    inner = ~in_header & F.coalesce(F.col("base") != "", F.lit(False)) & F.exists("g.links", lambda v: ~is_global(v))
-    targets = F.concat(F.coalesce(F.filter("g.links", lambda v: in_header | is_global(v)), _none()), F.when(inner, F.array("base")).otherwise(_none()))
-    rows = rows.select("uri", "base", in_header.alias("in_header"), F.explode_outer(F.array_distinct(targets)).alias("link"))
-    surt = lambda c: F.when(F.col(c).isNotNull(), url.surt_of(F.col(c), simple_only))
-    hosts = rows.withColumn("own", surt("uri")).withColumn("from_base", surt("base")).withColumn("t", surt("link"))
-    return hosts.select("uri", "own", F.when(F.col("in_header"), F.col("own")).otherwise(F.coalesce("own", "from_base")).alias("src"), "t")
-
-
-def host_edges(pages: DataFrame, simple_only: bool = False) -> DataFrame:
-    """Distinct (s, t) of reversed hosts, of the rows that captures() gives; a page without an edge is one to itself."""
-    every = _host_targets(pages, simple_only)
-    is_edge = F.coalesce((F.col("src") != F.col("t")), F.lit(False))
-    edges = every.filter(is_edge).select(F.col("src").alias("s"), "t")
-    alone = every.filter("own IS NOT NULL").groupBy("uri", "own").agg(F.max(is_edge).alias("linked")).filter("NOT linked")
-    return edges.unionByName(alone.select(F.col("own").alias("s"), F.col("own").alias("t"))).distinct()
+    has_base = F.coalesce(F.col("base") != "", F.lit(False))
+    inner = F.when(has_base & F.exists("groups", lambda g: F.exists(g, lambda v: ~is_global(v))), F.array("base")).otherwise(_none())
+    rows = pages.select("uri", "base", F.array_distinct(F.concat("header_links", "announced")).alias("own_links"), F.array_distinct(F.concat(F.filter(F.flatten("groups"), is_global), inner)).alias("group_links"))
+    # hosts of all URLs of a capture at once: its own, its base's, then those of both kinds of links
+    every = F.concat(F.array("uri", "base"), "own_links", "group_links")
+    rows = url.with_surts(rows.select(F.size("own_links").alias("n"), every.alias("hosts")), "hosts", simple_only)
+    own, source = F.get("hosts", F.lit(0)), F.coalesce(F.get("hosts", F.lit(0)), F.get("hosts", F.lit(1)))
+    pair = lambda s, t: F.struct(s.alias("s"), t.alias("t"))
+    pairs = F.concat(F.transform(F.slice("hosts", F.lit(3), F.col("n")), lambda t: pair(own, t)), F.transform(F.slice("hosts", F.col("n") + 3, F.size("hosts")), lambda t: pair(source, t)))
+    edges = F.array_distinct(F.filter(pairs, lambda x: F.coalesce(x["s"] != x["t"], F.lit(False))))
+    rows = rows.select(own.alias("own"), edges.alias("edges"))
+    found = F.when(F.size("edges") > 0, F.col("edges")).when(F.col("own").isNotNull(), F.array(pair(F.col("own"), F.col("own"))))
+    return rows.select(F.explode(found).alias("x")).select("x.s", "x.t").distinct()
 
 
 def page_links(records: DataFrame, resolve: bool = False) -> DataFrame:

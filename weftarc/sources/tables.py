@@ -40,6 +40,15 @@ def tsv_edges(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.text(path).select(F.get(parts, 0).alias("s"), F.get(parts, 1).alias("t")).filter("t IS NOT NULL")
 
 
+def spread(scan: DataFrame) -> DataFrame:
+    """A scan, dealt out to all cores if it has fewer splits than those: a file of one row group is one task's, however long its rows take.
+
+    Such an input is at most some splits long, so what moves is small; larger ones stay as they are.
+    """
+    cores = scan.sparkSession.sparkContext.defaultParallelism
+    return scan.repartition(cores) if scan.rdd.getNumPartitions() < cores else scan
+
+
 def files(spark: SparkSession, path: str | list[str]) -> DataFrame:
     """(path, modificationTime, length, content) of any files."""
     return spark.read.format("binaryFile").load(path)

@@ -30,28 +30,48 @@ class _Source:
     """A stream with push-back that knows where it is."""
 
     def __init__(self, stream: BinaryIO):
-        self.stream, self.held, self.at = stream, b"", 0
+        self.stream, self.buffer, self.next, self.at = stream, bytearray(), 0, 0
 
     def more(self) -> bool:
-        got = self.stream.read(CHUNK)
-        self.held += got
+        """Read on; what was taken leaves the buffer first, so that each byte is moved a few times at most."""
+        got = self.stream.read(max(CHUNK, len(self.buffer) - self.next))
+        if self.next:
+            del self.buffer[: self.next]
+            self.next = 0
+        self.buffer += got
         return bool(got)
 
+    def left(self) -> int:
+        return len(self.buffer) - self.next
+
     def peek(self, n: int) -> bytes:
-        while len(self.held) < n and self.more():
+        while self.left() < n and self.more():
             pass
-        return self.held[:n]
+        return bytes(self.buffer[self.next : self.next + n])
 
     def take(self, n: int) -> bytes:
-        self.peek(n)
-        out, self.held = self.held[:n], self.held[n:]
+        out = self.peek(n)
+        self.next += len(out)
         self.at += len(out)
         return out
 
+    def rest(self) -> bytes:
+        """All that is in the buffer."""
+        return self.take(self.left())
+
+    def back(self, data: bytes) -> None:
+        """Give back what was taken last."""
+        self.buffer[: self.next] = data
+        self.next = 0
+        self.at -= len(data)
+
     def line(self) -> bytes:
-        while (end := self.held.find(b"\n")) < 0 and self.more():
-            pass
-        return self.take(end + 1 if end >= 0 else len(self.held))
+        seen = 0
+        while (end := self.buffer.find(b"\n", self.next + seen)) < 0:
+            seen = self.left()
+            if not self.more():
+                return self.rest()
+        return self.take(end + 1 - self.next)
 
 
 def _members(source: _Source) -> Iterator[tuple[int, int, bytes]]:
@@ -59,12 +79,10 @@ def _members(source: _Source) -> Iterator[tuple[int, int, bytes]]:
     while source.peek(1):
         start, z, out = source.at, zlib.decompressobj(31), []
         while not z.eof:
-            if not source.held and not source.more():
+            if not source.left() and not source.more():
                 raise EOFError("the last gzip member is cut off")
-            block, source.held = source.held, b""
-            out.append(z.decompress(block))
-            source.at += len(block) - len(z.unused_data)
-            source.held = z.unused_data
+            out.append(z.decompress(source.rest()))
+            source.back(z.unused_data)
         yield start, source.at - start, b"".join(out)
 
 
@@ -83,7 +101,7 @@ def _headers(source: _Source) -> list[tuple[str, str]]:
 
 class _Bytes(_Source):
     def __init__(self, data: bytes):
-        self.held, self.at = data, 0
+        self.buffer, self.next, self.at = data, 0, 0
 
     def more(self) -> bool:
         return False
@@ -154,7 +172,8 @@ def _with_http(r: Record, decode: bool) -> Record:
         source = _Bytes(r.payload)
         r.status = source.line().decode("utf-8", "replace").rstrip("\r\n")
         r.http = _headers(source)
-        r.payload = source.held if not decode else _decoded(source.held, r.http)
+        body = source.rest()
+        r.payload = body if not decode else _decoded(body, r.http)
     return r
 
 
