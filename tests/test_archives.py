@@ -174,3 +174,100 @@ def test_catalogue(spark):
         ours = sorted(repr([value(r[c]) for c in columns]) for r in df.collect())
         theirs = sorted(repr([value(dict(zip(want.columns, r))[c]) for c in columns]) for r in want.fetchall())
         assert ours == theirs, name
+
+
+@pytest.fixture(scope="module")
+def store(spark, crawl):
+    """The crawl by a path that only Spark opens."""
+    spark._jsc.hadoopConfiguration().set("fs.viewfs.mounttable.crawl.link./in", f"file://{crawl[0]}")
+    return "viewfs://crawl/in/"
+
+
+def test_listing_in_a_store(spark, crawl, store, tmp_path):
+    """A listing, itself in a store, of files in a store and of local ones."""
+    spark._jsc.hadoopConfiguration().set("fs.viewfs.mounttable.lists.link./in", f"file://{tmp_path}")
+    (tmp_path / "list").write_text(f"0.warc.gz\n{crawl[0]}/1.warc.gz\nfile://{crawl[0]}/2.warc.gz\n")
+    (tmp_path / "far").write_text("0.warc.gz\n1.warc.gz\n")
+    assert archives.listed(spark, str(tmp_path / "far"), store, 2).count() == 32
+    got = archives.listed(spark, "viewfs://lists/in/far", store, 2, ["response"])
+    assert got.count() == 10 and got.filter("error IS NOT NULL").count() == 0
+    (tmp_path / "mixed").write_text(f"{store}0.warc.gz\nfile://{crawl[0]}/1.warc.gz\n{crawl[0]}/2.warc.gz\n")
+    assert archives.listed(spark, str(tmp_path / "mixed"), None, 2).count() == 48
+    base = ["--input_base_url", store, "--num_output_partitions", "1"]
+    seen = jobs.run(["server_count", str(tmp_path / "far"), "far_servers", *base], spark)
+    assert {r.key: r.val for r in spark.table("far_servers").collect()} == {"s": 8, "(no server in HTTP header)": 2} and seen["warc_input_processed"] == 2
+
+
+def test_fetch_from_a_store(spark, crawl, store):
+    rows = spark.createDataFrame(crawl[1], "url string, warc_filename string, warc_record_offset long, warc_record_length long")
+    found = index.records(rows, store, 2)
+    assert "NestedLoop" not in found._jdf.queryExecution().executedPlan().toString()
+    got = {r.url: r for r in found.collect()}
+    assert len(got) == 15 and all(got[p[0]].headers["warc-target-uri"] == p[0] and got[p[0]].error is None for p in crawl[1])
+
+
+def test_object_stores(crawl, monkeypatch):
+    """Whole files and parts through an Arrow file system."""
+    from pyarrow import fs
+
+    from weftarc.sources import uri
+
+    asked = []
+    monkeypatch.setattr(uri, "store", lambda place: (asked.append(place), (fs.LocalFileSystem(), str(crawl[0] / place.path)))[1])
+    url, name, offset, length = crawl[1][7]
+    with uri.open_range(name, "s3a://bucket/", offset, length) as f:
+        (r,) = records(f)
+    assert r.headers["warc-target-uri"] == url and asked[0].authority == "bucket"
+    with uri.open_range(f"gs://bucket/{name}") as f:
+        assert sum(1 for _ in records(f)) == 16
+
+
+def test_web(crawl):
+    import functools
+    import http.server
+    import threading
+
+    from weftarc.sources import uri
+
+    server = http.server.ThreadingHTTPServer(("127.0.0.1", 0), functools.partial(http.server.SimpleHTTPRequestHandler, directory=str(crawl[0])))
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    try:
+        with uri.open_range("1.warc.gz", f"http://127.0.0.1:{server.server_port}/") as f:
+            assert sum(1 for _ in records(f)) == 16
+    finally:
+        server.shutdown()
+
+
+def test_wet_skips_what_exists(spark, crawl, tmp_path):
+    (tmp_path / "list").write_text("0.warc.gz\n1.warc.gz\n")
+    options = ["--input_base_url", f"{crawl[0]}/", "--output_base_url", str(tmp_path / "wet"), "--num_output_partitions", "1", "--local_temp_dir", str(tmp_path)]
+    seen = jobs.run(["wet", str(tmp_path / "list"), "wet_first", *options], spark)
+    assert seen == {"wet_records_written": 8, "warc_input_failed": 0, "warc_input_skip_output_exists": 0, "warc_input_processed": 2}
+    before = (tmp_path / "wet" / "0.warc.wet.gz").read_bytes()
+    (tmp_path / "list").write_text("0.warc.gz\n2.warc.gz\nno.warc.gz\n")
+    seen = jobs.run(["wet", str(tmp_path / "list"), "wet_second", *options], spark)
+    assert seen == {"wet_records_written": 4, "warc_input_failed": 1, "warc_input_skip_output_exists": 1, "warc_input_processed": 1}
+    assert (tmp_path / "wet" / "0.warc.wet.gz").read_bytes() == before
+    jobs.run(["wet", str(tmp_path / "list"), "wet_third", *options, "--overwrite"], spark)
+    assert spark.table("wet_third").filter("error IS NULL").count() == 8
+
+
+def test_counters_of_jobs(spark, crawl, tmp_path):
+    folder = tmp_path / "robotstxt"
+    folder.mkdir()
+    with open(folder / "0.warc.gz", "wb") as f:
+        w = Writer(f)
+        w.write("response", b"HTTP/1.1 200 OK\r\n\r\nSitemap: http://a.com/s.xml\nSitemap: /\xff\n", "application/http; msgtype=response", "http://a.com/robots.txt", "2024-01-01T00:00:00Z")
+    (tmp_path / "list").write_text(f"{folder}/0.warc.gz\n{folder}/none.warc.gz\n")
+    seen = jobs.run(["sitemaps", str(tmp_path / "list"), "counted_sitemaps", "--num_output_partitions", "1"], spark)
+    want = {"robots_txt_processed": 1, "sitemap_urls_found": 2, "sitemap_url_invalid_encoding": 1, "robots_txt_announcing_sitemap": 1, "robots_txt_with_more_than_50_sitemaps": 0}
+    want |= {"warc_input_processed": 1, "warc_input_failed": 1, "records_response": 1, "records_response_robotstxt": 1}
+    assert {k: seen[k] for k in want} == want
+    seen = jobs.run(["page_links", str(tmp_path / "list"), "counted_links", "--intermediate_output", "counted_between", "--num_output_partitions", "1"], spark)
+    assert seen["link_count"] == 1 and spark.table("counted_between").count() == spark.table("counted_links").count() == 1
+    again = jobs.run(["page_links", "", "counted_links_again", "--intermediate_output", "counted_between", "--num_output_partitions", "1"], spark)
+    assert again == {} and spark.table("counted_links_again").count() == 1
+    places = str(tmp_path / "places")
+    spark.createDataFrame([*crawl[1], ("u", "none.gz", 0, 5)], "url string, warc_filename string, warc_record_offset long, warc_record_length long").write.csv(places, header=True)
+    seen = jobs.run(["index_word_count", places, "counted_words", "--csv", "--input_base_url", f"{crawl[0]}/", "--num_output_partitions", "1"], spark)
+    assert (seen["records_processed"], seen["records_failed"], seen["records_parse_success"], seen["records_parse_failed"]) == (15, 1, 12, 0)

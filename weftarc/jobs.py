@@ -51,35 +51,41 @@ def save(a: argparse.Namespace, df: DataFrame, name: str | None = None) -> None:
     sinks.table(df, name or a.output, a.num_output_partitions, a.output_format, a.output_compression, **dict(a.output_option))
 
 
-def _read(a: argparse.Namespace, spark: SparkSession, types: str | None = None) -> DataFrame:
-    options = {"manifest": a.input, "partitions": str(a.num_input_partitions)} | ({"base": a.input_base_url} if a.input_base_url else {}) | ({"recordtypes": types} if types else {})
-    return archives.read(spark, **options)
+def _read(a: argparse.Namespace, spark: SparkSession, *types: str) -> Counters:
+    """The records, of these types if any, of the files of a listing in any store."""
+    files = archives.manifest(spark, a.input, 1)
+    return Counters(archives.listed(spark, a.input, a.input_base_url, a.num_input_partitions, list(types) or None), files)
 
 
-def register(name: str, f: Callable[[DataFrame], DataFrame], types: str | None = None, help: str = "", **more) -> None:
-    """A job that saves what f makes of the records of a listing; types: the record types that f needs."""
+def register(name: str, f: Callable[[DataFrame], DataFrame], *types: str, help: str = "", seen: Callable[[Counters], DataFrame] | None = None, **more) -> None:
+    """A job that saves what f makes of the records of a listing; types: the record types that f needs; seen: f with counts of its own."""
 
     def run(a: argparse.Namespace, spark: SparkSession) -> dict:
-        c = Counters(_read(a, spark, types))
-        save(a, f(c.records))
+        c = _read(a, spark, *types)
+        save(a, seen(c) if seen else f(c.records))
         return c.values()
 
     JOBS[name] = Job(run, help=help, **more)
 
 
-register("server_count", counts.server_count, "response,metadata", "server names")
-register("server_ip", counts.server_ip_count, "response,metadata", "hosts and addresses")
-register("tag_count", counts.tag_count, "response", "HTML tags")
-register("word_count", counts.word_count, "conversion", "words of text archives")
-register("sitemaps", sitemaps.sitemaps, "response", "sitemaps of robots.txt files")
+register("server_count", counts.server_count, "response", "metadata", help="server names")
+register("server_ip", counts.server_ip_count, "response", "metadata", help="hosts and addresses")
+register("tag_count", counts.tag_count, "response", help="HTML tags")
+register("word_count", counts.word_count, "conversion", help="words of text archives")
+register(
+    "sitemaps", sitemaps.sitemaps, "response", help="sitemaps of robots.txt files",
+    seen=lambda c: sitemaps.of_files(c.also(sitemaps.announced(c.records), *sitemaps.counted())),
+)
 
 
 def _links(to_pairs: Callable[[DataFrame], DataFrame]):
+    """to_pairs: the links of the rows that captures() gives, before equal ones are one."""
+
     def run(a: argparse.Namespace, spark: SparkSession) -> dict:
         seen: dict = {}
         if a.input:
-            c = Counters(_read(a, spark, "response,metadata"))
-            pairs = to_pairs(c.records)
+            c = _read(a, spark, "response", "metadata")
+            pairs = c.also(to_pairs(links.captures(c.records)), F.count(F.lit(1)).alias("link_count")).distinct()
             if a.intermediate_output:
                 save(a, pairs, a.intermediate_output)
                 seen, pairs = c.values(), spark.table(a.intermediate_output)
@@ -97,8 +103,8 @@ def _intermediate(p: argparse.ArgumentParser) -> None:
     p.add_argument("--intermediate_output", help="table of the pairs as they were found; with an empty input, go on from it")
 
 
-JOBS["page_links"] = Job(_links(links.page_links), _intermediate, help="links between pages")
-JOBS["host_links"] = Job(_links(links.host_links), _intermediate, 32, 16, "links between hosts")
+JOBS["page_links"] = Job(_links(links.page_links_of), _intermediate, help="links between pages")
+JOBS["host_links"] = Job(_links(links.host_links_of), _intermediate, 32, 16, "links between hosts")
 
 
 def _graph_arguments(p: argparse.ArgumentParser) -> None:
@@ -131,25 +137,31 @@ JOBS["host_graph"] = Job(_host_graph, _graph_arguments, outputs=16, help="vertic
 
 
 def _link_map(a: argparse.Namespace, spark: SparkSession) -> dict:
-    sinks.edges(tables.tsv_edges(spark, a.input), a.output, a.num_output_partitions, format=a.output_format, compression=a.output_compression, **dict(a.output_option))
+    sinks.edges(tables.tsv_edges(spark, a.input).coalesce(a.num_input_partitions), a.output, a.num_output_partitions, format=a.output_format, compression=a.output_compression, **dict(a.output_option))
     return {}
 
 
 def _md5(a: argparse.Namespace, spark: SparkSession) -> dict:
-    save(a, files.md5(tables.files(spark, a.input)))
+    save(a, files.md5(tables.files(spark, a.input).coalesce(a.num_input_partitions)))
     return {}
 
 
 def _wet(a: argparse.Namespace, spark: SparkSession) -> dict:
     listed = archives.manifest(spark, a.input, a.num_input_partitions)
-    save(a, wet.extract(listed, a.output_base_url, a.input_base_url, a.html_parser))
-    written = spark.table(a.output)
-    return written.agg(F.count("wet_record_location").alias("wet_records_written"), F.count("error").alias("warc_input_failed")).first().asDict()
+    made = wet.extract(listed, a.output_base_url, a.input_base_url, a.html_parser, skip=not a.overwrite, temp=a.local_temp_dir)
+    c = Counters(spark.createDataFrame([], archives.DDL))
+    n = lambda x, name: F.coalesce(F.sum(x.cast("int")), F.lit(0)).cast("long").alias(name)
+    skipped = F.col("error") == wet.EXISTS
+    failed = F.col("error").isNotNull() & ~skipped
+    save(a, c.also(made, n(F.col("wet_record_location").isNotNull(), "wet_records_written"), n(failed, "warc_input_failed"), n(skipped, "warc_input_skip_output_exists")).filter(F.col("error").isNull() | failed))
+    seen = c.seen[-1].get
+    return seen | {"warc_input_processed": listed.count() - seen["warc_input_failed"] - seen["warc_input_skip_output_exists"]}
 
 
 def _output_folder(p: argparse.ArgumentParser) -> None:
     p.add_argument("--output_base_url", required=True, help="folder that all executors share")
     p.add_argument("--html_parser", choices=("strip", "layout"), default="layout")
+    p.add_argument("--overwrite", action="store_true", help="also write files that exist; else these are skipped")
 
 
 JOBS["link_map"] = Job(_link_map, outputs=16, help="edges of tab-separated lines")
@@ -191,7 +203,7 @@ def _index_words(a: argparse.Namespace, spark: SparkSession) -> dict:
     if bool(a.query) + a.csv + bool(a.input_table_format) != 1:
         raise SystemExit("give one of --query, --csv and --input_table_format")
     c = Counters(index.records(_rows(a, spark), a.input_base_url, a.num_input_partitions))
-    save(a, counts.html_word_count(c.records, a.html_parser))
+    save(a, counts.word_frequencies(c.also(counts.html_texts(c.records, a.html_parser), *counts.parse_counts())))
     return c.values()
 
 

@@ -79,6 +79,12 @@ def html_texts(records: DataFrame, mode: str = "strip") -> DataFrame:
     return pages.select(R.header("WARC-Target-URI").alias("url"), made.alias("text")).select("url", F.coalesce("text", F.lit("")).alias("text"), F.col("text").isNotNull().alias("parsed"))
 
 
+def parse_counts() -> list[Column]:
+    """How many rows of html_texts() were parsed, and how many were not."""
+    n = lambda c, name: F.coalesce(F.sum(c.cast("int")), F.lit(0)).cast("long").alias(name)
+    return [n(F.col("parsed"), "records_parse_success"), n(~F.col("parsed"), "records_parse_failed")]
+
+
 def html_word_count(records: DataFrame, mode: str = "strip") -> DataFrame:
     return word_frequencies(html_texts(records, mode))
 

@@ -85,8 +85,8 @@ def page_links_of(pages: DataFrame, resolve_headers: bool = False) -> DataFrame:
     return rows.select(F.col("uri").alias("s"), joined.alias("t")).filter("t IS NOT NULL")
 
 
-def host_edges(pages: DataFrame, simple_only: bool = False) -> DataFrame:
-    """Distinct (s, t) of reversed hosts, of the rows that captures() gives, in one pass over them.
+def host_links_of(pages: DataFrame, simple_only: bool = False) -> DataFrame:
+    """(s, t) of reversed hosts, of the rows that captures() gives, once for each, in one pass over them.
 
     Links with a host stand for themselves. Other links of a group together stand for the base, where there is one. A
     header link belongs to the page's own host; for other links, the base's host steps in where the page has none. A
@@ -105,7 +105,12 @@ def host_edges(pages: DataFrame, simple_only: bool = False) -> DataFrame:
     edges = F.array_distinct(F.filter(pairs, lambda x: F.coalesce(x["s"] != x["t"], F.lit(False))))
     rows = rows.select(own.alias("own"), edges.alias("edges"))
     found = F.when(F.size("edges") > 0, F.col("edges")).when(F.col("own").isNotNull(), F.array(pair(F.col("own"), F.col("own"))))
-    return rows.select(F.explode(found).alias("x")).select("x.s", "x.t").distinct()
+    return rows.select(F.explode(found).alias("x")).select("x.s", "x.t")
+
+
+def host_edges(pages: DataFrame, simple_only: bool = False) -> DataFrame:
+    """Distinct (s, t) of reversed hosts."""
+    return host_links_of(pages, simple_only).distinct()
 
 
 def page_links(records: DataFrame, resolve: bool = False) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from weftarc import records as R
@@ -36,18 +36,28 @@ def _each(files: DataFrame) -> DataFrame:
 
 def sitemaps(records: DataFrame, distinct_hosts: bool = False) -> DataFrame:
     """(sitemap_url, hosts): the robots.txt hosts that announce each sitemap, as often as they do, or each once."""
+    return of_files(announced(records), distinct_hosts)
+
+
+def of_files(files: DataFrame, distinct_hosts: bool = False) -> DataFrame:
+    """sitemaps() of the rows that announced() gives."""
     gather = F.collect_set if distinct_hosts else F.collect_list
-    return _each(announced(records)).groupBy("sitemap_url").agg(F.array_sort(gather("host")).alias("hosts"))
+    return _each(files).groupBy("sitemap_url").agg(F.array_sort(gather("host")).alias("hosts"))
 
 
 def counters(records: DataFrame) -> DataFrame:
     """One row with the counts of a run."""
+    return announced(records).agg(*counted())
+
+
+def counted() -> list[Column]:
+    """The counts of rows that announced() gives."""
     n = lambda c: F.coalesce(F.sum(c), F.lit(0)).cast("long")
     some = F.size("urls")
-    return announced(records).agg(
-        F.count("*").alias("robots_txt_processed"),
+    return [
+        F.count(F.lit(1)).alias("robots_txt_processed"),
         # a file with a bad URL of its own stops at its first valid sitemap
         n(F.when((F.col("host").isNull()) & (F.col("found") > F.col("invalid")), F.lit(1)).otherwise(F.col("found"))).alias("sitemap_urls_found"),
         n(F.when((F.col("host").isNull()) & (F.col("found") > F.col("invalid")), F.lit(0)).otherwise(F.col("invalid"))).alias("sitemap_url_invalid_encoding"),
         n((some > 0).cast("int")).alias("robots_txt_announcing_sitemap"), n((some > MANY).cast("int")).alias("robots_txt_with_more_than_50_sitemaps"),
-    )
+    ]

@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+import contextlib
 import json
 import os
+import shutil
 import tempfile
 from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from weftarc import sinks
 from weftarc.functions.html import to_text
 from weftarc.records import HTML_TYPES
 from weftarc.sources import uri as uris
@@ -97,10 +100,14 @@ def convert(name: str, source, out, mode: str = "layout", empty: bool = False) -
         yield {"uri": target, "wet_record_location": {"filename": file, "offset": offset, "length": length}, "error": None}
 
 
-def extract(manifest: DataFrame, output: str, base: str | None = None, mode: str = "layout", empty: bool = False) -> DataFrame:
+EXISTS = "skipped: the output exists"
+
+
+def extract(manifest: DataFrame, output: str, base: str | None = None, mode: str = "layout", empty: bool = False, skip: bool = False, temp: str | None = None) -> DataFrame:
     """WET files in the folder ``output``, which all executors share, of the WARC files of a manifest (uri).
 
-    A file is written under another name and then renamed, so that a task that runs again writes it anew and gives the
+    skip: a file whose output exists is not read, and has a row with the error EXISTS. temp: a folder of each executor for
+    files under way, which are then copied; else they are under way in the output folder. A file is written under another name and then renamed, so that a task that runs again writes it anew and gives the
     same rows, and a reader never sees half of one.
     """
 
@@ -109,11 +116,18 @@ def extract(manifest: DataFrame, output: str, base: str | None = None, mode: str
         for b in batches:
             for name in b.column("uri").to_pylist():
                 rows: list[dict] = []
+                if skip and sinks.has_file(output, wet_name(name)):
+                    yield pa.RecordBatch.from_pylist([{"uri": name, "wet_record_location": None, "error": EXISTS}], ARROW)
+                    continue
                 fd, part = tempfile.mkstemp(dir=output, prefix=".part-")
                 try:
-                    with os.fdopen(fd, "wb") as out, uris.open_range(name, base) as source:
-                        for row in convert(name, source, out, mode, empty):
-                            rows.append(row)
+                    with os.fdopen(fd, "wb") as whole, uris.open_range(name, base) as source:
+                        with tempfile.TemporaryFile(dir=temp) if temp else contextlib.nullcontext(whole) as out:
+                            for row in convert(name, source, out, mode, empty):
+                                rows.append(row)
+                            if temp:
+                                out.seek(0)
+                                shutil.copyfileobj(out, whole)
                     os.replace(part, os.path.join(output, wet_name(name)))
                 except Exception as e:
                     os.unlink(part)

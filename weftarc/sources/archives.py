@@ -1,8 +1,9 @@
 """Archive records as DataFrames.
 
-``spark.read.format("warc")`` streams local and web files, one input partition for each (files of many gigabytes need no
-memory for more than a record); other stores, which only Spark opens, are read by from_hadoop(). at_offsets() fetches
-single records by place, as an index gives them.
+``spark.read.format("warc")`` streams local and web files and those of object stores, one input partition for each (files
+of many gigabytes need no memory for more than a record); other stores, which only Spark opens, are read by
+from_hadoop(). listed() takes a listing of files in any of these. at_offsets() fetches single records by place, as an
+index gives them.
 
 Options of the source: ``path`` (a file, a folder, a glob; more separated by line feeds), or ``manifest`` (a text file of
 such names, gzip or plain), ``base`` (put before names without a scheme), ``parsehttp``, ``decode``, ``recordtypes``
@@ -20,7 +21,7 @@ import os
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, In, InputPartition
 
@@ -178,6 +179,22 @@ def of_listing(uri_rows: DataFrame, base: str | None = None, parse_http: bool =
     return uri_rows.select("uri").mapInArrow(run, DDL)
 
 
+def _scheme(name: Column, base: str | None) -> Column:
+    """The scheme of a name of a listing, or of the base before it."""
+    own = F.regexp_extract(name, r"^([a-z0-9]+):", 1)
+    known = own.isin(*uris.BY_PYTHON[1:], "hdfs", "viewfs", "abfs", "abfss")
+    return F.when(known, own).otherwise(F.lit(uris.resolve("", base).scheme if base else ""))
+
+
+def listed(spark: SparkSession, listing: str, base: str | None = None, partitions: int = 400, types: list[str] | None = None) -> DataFrame:
+    """Records of the files that a listing, in any store, names: streamed where Python opens them, else by from_hadoop()."""
+    names = manifest(spark, listing, partitions).withColumn("scheme", _scheme(F.col("uri"), base))
+    by_python = F.col("scheme").isin(*uris.BY_PYTHON)
+    others = [uris.resolve(r["uri"], base).uri for r in names.filter(~by_python).select("uri").collect()]  # names, which Spark's reader takes as a list
+    found = of_listing(names.filter(by_python), base, types=types)
+    return found.unionByName(from_hadoop(spark, others, types=types)) if others else found
+
+
 COORDINATES = ["url", "warc_filename", "warc_record_offset", "warc_record_length"]
 
 
@@ -206,21 +223,36 @@ def _fetched(batches: Iterator[pa.RecordBatch], base: str | None, parse: bool, d
     yield from _batches(rows(), schema)
 
 
-def at_offsets(coordinates: DataFrame, base: str | None = None, partitions: int | None = None, parse_http: bool = True, decode: bool = True, hadoop: bool = False) -> DataFrame:
+BROADCAST = 200_000  # places
+
+
+def _qualified(spark: SparkSession, name: str) -> str:
+    """A path as Spark's reader gives it."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(name)
+    return path.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(path).toString()
+
+
+def at_offsets(coordinates: DataFrame, base: str | None = None, partitions: int | None = None, parse_http: bool = True, decode: bool = True, hadoop: bool | None = None) -> DataFrame:
     """Records at the places in coordinates (url, warc_filename, warc_record_offset, warc_record_length[, content_charset]).
 
     A row that cannot be fetched gives a row with ``error``. Rows are sorted by file and offset within partitions, so
-    that reads go forward. hadoop: files are read by Spark and cut by an expression, for stores that only it reads.
+    that reads go forward. hadoop: files are read by Spark, whole, and cut by an expression; unless given, where the base
+    is in a store that only Spark reads.
     """
+    if hadoop is None:
+        hadoop = uris.resolve("", base).scheme not in uris.BY_PYTHON if base else False
     spark = coordinates.sparkSession
     columns = COORDINATES + [c for c in ("content_charset",) if c in coordinates.columns]
     rows = coordinates.select(*columns)
     if hadoop:
-        named = rows.withColumn("file", F.concat(F.lit(base or ""), F.col("warc_filename")))
-        paths = [r[0] for r in named.select("file").distinct().collect()]  # a row a file
-        files = spark.read.format("binaryFile").load(paths).select("path", "content")
+        names = [r[0] for r in rows.select("warc_filename").distinct().collect()]  # a row a file
+        paths = spark.createDataFrame([(n, _qualified(spark, uris.resolve(n, base).uri)) for n in names], "warc_filename string, path string")
+        files = spark.read.format("binaryFile").load([r["path"] for r in paths.collect()]).select("path", "content")
+        placed = rows.join(F.broadcast(paths), "warc_filename")
+        # rather places than archives to where the others are
+        placed = F.broadcast(placed) if rows.count() <= BROADCAST else placed
         part = F.substring(F.col("content"), F.col("warc_record_offset").cast("int") + 1, F.col("warc_record_length").cast("int"))
-        rows = named.join(files, F.expr("endswith(path, regexp_replace(file, '^[a-z0-9]+:/*', '/'))")).select(*columns, part.alias("part"))
+        rows = files.join(placed, "path").select(*columns, part.alias("part"))
     elif partitions:
         rows = rows.repartition(partitions)
     if not hadoop:

@@ -12,6 +12,11 @@ from typing import BinaryIO, NamedTuple
 KNOWN = re.compile(r"(s3[an]?|https?|file|hdfs|viewfs|abfss?|gs):(?://([^/]*))?/(.*)", re.S)
 
 
+#: Stores that Arrow's file systems read, in parts too; what is left is Spark's.
+STORES = ("s3", "s3a", "s3n", "gs")
+BY_PYTHON = ("", "file", "http", "https", *STORES)
+
+
 class Place(NamedTuple):
     uri: str
     scheme: str
@@ -31,8 +36,15 @@ def resolve(uri: str, base: str | None = None) -> Place:
     return Place(uri, found[1], found[2] or "", "/" + path if found[1] == "file" else path)
 
 
+def store(place: Place):
+    """The Arrow file system of a place, with the path in it."""
+    from pyarrow import fs
+
+    return fs.FileSystem.from_uri(re.sub(r"^s3[an]:", "s3:", place.uri))
+
+
 def open_range(uri: str, base: str | None = None, offset: int = -1, length: int = -1) -> BinaryIO:
-    """The bytes of a local or web file, or of a part of it where both numbers are given.
+    """The bytes of a local file, a web file or one in STORES, or of a part of it where both numbers are given.
 
     Other schemes are Spark's to read: see archives.from_hadoop() and archives.at_offsets(). Raises OSError.
     """
@@ -48,4 +60,11 @@ def open_range(uri: str, base: str | None = None, offset: int = -1, length: int
         with f:
             f.seek(offset)
             return io.BytesIO(f.read(length))
+    if place.scheme in STORES:
+        system, path = store(place)
+        if not part:
+            return system.open_input_stream(path, compression=None)
+        with system.open_input_file(path) as f:
+            f.seek(offset)
+            return io.BytesIO(f.read(length))
     raise OSError(f"{place.scheme} is read by Spark only: {uri}")
