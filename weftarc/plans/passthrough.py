@@ -18,7 +18,7 @@ SQL = {
     "sql_right_join": "SELECT n_nationkey, count(s_suppkey) AS n FROM supplier RIGHT JOIN nation ON s_nationkey = n_nationkey GROUP BY n_nationkey",
     "sql_full_join": "SELECT coalesce(a.k, b.k) AS k, a.n AS suppliers, b.n AS customers FROM (SELECT s_nationkey AS k, count(*) AS n FROM supplier GROUP BY s_nationkey) a FULL JOIN (SELECT c_nationkey AS k, count(*) AS n FROM customer GROUP BY c_nationkey) b ON a.k = b.k",
     "sql_semi_join": "SELECT o_orderkey FROM orders WHERE EXISTS (SELECT 1 FROM lineitem WHERE l_orderkey = o_orderkey AND l_quantity > 49)",
-    "sql_anti_join": "SELECT c_custkey FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey)",
+    "sql_anti_join": "SELECT p_partkey FROM part WHERE NOT EXISTS (SELECT 1 FROM lineitem WHERE l_partkey = p_partkey AND l_quantity > 48)",
     "sql_range_join": "SELECT a.n_nationkey AS x, b.n_nationkey AS y FROM nation a JOIN nation b ON b.n_nationkey > a.n_nationkey AND b.n_nationkey <= a.n_nationkey + 3",
     "sql_cross_join": "SELECT r_name, l_returnflag FROM region CROSS JOIN (SELECT DISTINCT l_returnflag FROM lineitem) f",
     "sql_distinct_aggregate": "SELECT l_returnflag, count(DISTINCT l_suppkey) AS suppliers, count(DISTINCT l_partkey) AS parts FROM lineitem GROUP BY l_returnflag",
@@ -35,7 +35,7 @@ SQL = {
     "sql_union_all": "SELECT c_nationkey AS k FROM customer UNION ALL SELECT s_nationkey AS k FROM supplier",
     "sql_union": "SELECT c_nationkey AS k FROM customer UNION SELECT s_nationkey AS k FROM supplier",
     "sql_intersect": "SELECT l_partkey AS k FROM lineitem WHERE l_quantity > 40 INTERSECT SELECT p_partkey AS k FROM part WHERE p_size < 20",
-    "sql_except": "SELECT c_custkey AS k FROM customer EXCEPT SELECT o_custkey AS k FROM orders",
+    "sql_except": "SELECT p_partkey AS k FROM part EXCEPT SELECT l_partkey AS k FROM lineitem WHERE l_quantity > 48",
     "sql_cte": "WITH per AS (SELECT o_custkey AS c, sum(o_totalprice) AS t FROM orders GROUP BY o_custkey), top AS (SELECT max(t) AS m FROM per) SELECT c, CAST(round(t * 100) AS BIGINT) AS cents FROM per, top WHERE t > m / 2",
     "sql_correlated": "SELECT p_partkey FROM part p WHERE p_retailprice > (SELECT avg(q.p_retailprice) FROM part q WHERE q.p_brand = p.p_brand)",
     "sql_case": "SELECT CASE WHEN l_discount < 0.03 THEN 'low' WHEN l_discount < 0.07 THEN 'mid' ELSE 'high' END AS band, count(*) AS n FROM lineitem GROUP BY 1",
@@ -43,7 +43,8 @@ SQL = {
     "sql_dates": "SELECT CAST(year(o_orderdate) AS BIGINT) AS y, CAST(month(o_orderdate) AS BIGINT) AS m, count(*) AS n FROM orders GROUP BY 1, 2",
     "sql_math": "SELECT l_orderkey, l_linenumber, round(sqrt(l_quantity), 6) AS q, abs(l_discount - 0.05) < 0.02 AS near, CAST(floor(l_extendedprice) AS BIGINT) AS f FROM lineitem",
     "sql_as_of": """SELECT event_id, before_id FROM (SELECT event_id, event_type, max(CASE WHEN event_type = 'click' THEN event_id END) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before_id FROM events) t WHERE event_type <> 'click'""",
-    "sql_benchmark_join": "SELECT d.lang, count(*) AS n FROM documents d JOIN labels l ON d.doc_id = l.doc_id WHERE l.quality = 1 GROUP BY d.lang",
+    "sql_approximate": "SELECT l_returnflag, abs(approx_count_distinct(l_suppkey) - count(DISTINCT l_suppkey)) <= 0.25 * count(DISTINCT l_suppkey) AS near FROM lineitem GROUP BY l_returnflag",
+    "sql_benchmark_join": "SELECT b.item_id, d.lang, length(b.text) AS n FROM benchmark b JOIN documents d ON d.doc_id = b.item_id",
 }
 
 
