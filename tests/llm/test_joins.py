@@ -71,6 +71,40 @@ def test_jaccard_large_group(spark, monkeypatch, rows_, total):
     assert got == closure({i for i, _ in rows}, pairs)
 
 
+@pytest.mark.parametrize("rows_", [4, 16])
+def test_jaccard_chains_over_blocks(spark, monkeypatch, rows_):
+    """Components of more than a block that no single document links to all of: two chains of small changes, and a cluster beside each."""
+    monkeypatch.setattr(jaccard, "ROWS", rows_)
+    rng = random.Random(1)
+    rows = []
+    for g in range(2):
+        now = words(300, seed=40 + g).split()
+        for i in range(70):
+            now[4 * i + g] = f"new{g}{i}"
+            rows.append((rng.randrange(10**6), " ".join(now)))
+        rows += [(rng.randrange(10**6), " ".join([*now[:-1], f"end{i}"])) for i in range(20)]
+    got = {r.doc_id: r.component_id for r in jaccard.join(table(spark, rows), 3, 90, 100).collect()}
+    sets = [(i, shingle_set(t, 3)) for i, t in rows]
+    pairs = [(a, b) for x, (a, s) in enumerate(sets) for b, t in sets[:x] if 100 * len(s & t) >= 90 * len(s | t)]
+    want = closure({i for i, _ in rows}, pairs)
+    assert got == want and len(set(want.values())) == 2
+
+
+def test_sketches_never_lose_a_link():
+    """Pairs around the threshold, of sizes about powers of two, by sketches and by sets."""
+    rng = np.random.default_rng(2)
+    sets = []
+    for n in (20, 60, 64, 70, 130, 260, 500, 515):
+        base = rng.integers(0, 2**64, n, np.uint64)
+        for k in range(6):
+            sets.append(np.unique(np.concatenate([base[: n - k * n // 40], rng.integers(0, 2**64, k * n // 60, np.uint64)])))
+    sizes = np.array([len(s) for s in sets])
+    for num in (80, 90):
+        may = jaccard.possible(sizes, [np.frombuffer(jaccard.sketch(s), np.uint64) for s in sets], num, 100)
+        link = jaccard.linked(sets, num, 100)
+        assert link.any() and not (link & ~may).any() and may.sum() < 3 * link.sum()
+
+
 def test_jaccard_of_nothing(spark):
     assert jaccard.join(table(spark, [])).count() == 0
     assert [tuple(r) for r in jaccard.join(table(spark, [(4, "")])).collect()] == [(4, 0, 4)]

@@ -308,7 +308,8 @@ def _blocked(groups: DataFrame, num: int, den: int) -> DataFrame:
             F.transform(seq(of(-1)), lambda j: key(F.col("step") - 1, j, F.col("step"), F.col("own"))),
         )
     )
-    joined = rows.join(whole.filter("rows > 1"), "component").filter((F.coalesce(F.try_element_at("sizes", "step"), F.lit(0)) > 1) | (of(1) > 0) | (of(-1) > 0))
+    # stored, so that both sides of the join follow their shuffles at once and Spark splits a hot component
+    joined = rows.join(stored(whole.filter("rows > 1"), "whole"), "component").filter((F.coalesce(F.try_element_at("sizes", "step"), F.lit(0)) > 1) | (of(1) > 0) | (of(-1) > 0))
     return joined.withColumn("own", own).select("node", F.explode(keys).alias("key"))
 
 
@@ -331,7 +332,7 @@ def _verified(docs: DataFrame, near: DataFrame, n: int, num: int, den: int) -> D
 
     key = lambda *parts: F.concat_ws("/", F.col("component"), *parts)
     whole = near.groupBy("component").agg(F.count("*").alias("n"), F.sum("size").alias("total")).select("component", _blocks().alias("blocks"))
-    placed = stored(near.join(whole, "component").groupBy("node", "component").agg(F.max("blocks").alias("blocks")).withColumn("own", hash_(F.col("blocks"))), "near")
+    placed = stored(near.join(stored(whole, "whole"), "component").groupBy("node", "component").agg(F.max("blocks").alias("blocks")).withColumn("own", hash_(F.col("blocks"))), "near")
     first = met(placed, F.when(F.col("node") == F.col("component"), F.transform(to(F.col("blocks")), lambda i: key(i))).otherwise(F.array(key(F.col("own")))))
     large = placed.filter("blocks > 1")
     if not large.limit(1).count():
