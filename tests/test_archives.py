@@ -271,3 +271,14 @@ def test_counters_of_jobs(spark, crawl, tmp_path):
     spark.createDataFrame([*crawl[1], ("u", "none.gz", 0, 5)], "url string, warc_filename string, warc_record_offset long, warc_record_length long").write.csv(places, header=True)
     seen = jobs.run(["index_word_count", places, "counted_words", "--csv", "--input_base_url", f"{crawl[0]}/", "--num_output_partitions", "1"], spark)
     assert (seen["records_processed"], seen["records_failed"], seen["records_parse_success"], seen["records_parse_failed"]) == (15, 1, 12, 0)
+
+
+def test_side_files_in_an_object_store(tmp_path, monkeypatch):
+    from pyarrow import fs
+
+    from weftarc.sources import uri
+
+    monkeypatch.setattr(uri, "store", lambda place: (fs.LocalFileSystem(), str(tmp_path / place.path.replace("/", "_"))))
+    assert not sinks.has_file("s3://bucket/out/", "a.gz")
+    assert sinks.put_file("s3://bucket/out/", "a.gz", b"raw") == "s3://bucket/out/a.gz" and sinks.has_file("s3a://bucket/out", "a.gz")
+    assert (tmp_path / "out_a.gz").read_bytes() == b"raw"

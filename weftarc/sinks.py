@@ -11,6 +11,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from weftarc.sources import uri
 from weftarc.sources.warcfile import Writer
 
 DATE = "2024-01-01T00:00:00Z"
@@ -58,11 +59,24 @@ def archives(rows: DataFrame, folder: str) -> DataFrame:
 
 
 def has_file(folder: str, name: str) -> bool:
+    """Whether a local folder, or one in an object store, has a file of the name."""
+    place = uri.resolve(f"{folder.rstrip('/')}/{name}")
+    if place.scheme in uri.STORES:
+        from pyarrow import fs
+
+        system, path = uri.store(place)
+        return system.get_file_info(path).type == fs.FileType.File
     return os.path.exists(os.path.join(_local(folder), name))
 
 
 def put_file(folder: str, name: str, data: bytes) -> str:
-    """Write a file whole or not at all."""
+    """Write a file whole or not at all, to a local folder or one in an object store; gives its name."""
+    place = uri.resolve(f"{folder.rstrip('/')}/{name}")
+    if place.scheme in uri.STORES:
+        system, path = uri.store(place)
+        with system.open_output_stream(path, compression=None) as f:  # objects appear when they are closed
+            f.write(data)
+        return place.uri
     folder = _local(folder)
     os.makedirs(folder, exist_ok=True)
     fd, part = tempfile.mkstemp(dir=folder, prefix=".part-")
