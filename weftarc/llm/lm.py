@@ -41,9 +41,9 @@ from pyspark.sql import functions as F
 
 from weftarc.llm.common import arrow, slices, stored
 
-CLASSES, VECTORS, KNOWN = 64, 24_576, 200_000
+CLASSES, VECTORS, KNOWN = 128, 32_768, 200_000
 REST, MEMBERS = 128, 256
-CONTEXT, DIMENSION, BATCH, NOISE, NOISE_WITHIN, RATE, START = 2, 16, 1536, 48, 4, 0.1, 0.5
+CONTEXT, DIMENSION, BATCH, NOISE, NOISE_WITHIN, RATE, START = 3, 24, 2048, 64, 8, 0.1, 0.5
 ROUNDS, SHARDS, SHARD, STEPS = 3, 8, 8_000_000, 120  # SHARD: tokens
 MIXED = 1 << 16  # tokens that are put in random order at once
 PIECE = 1 << 15  # numbers of a row of parameters
