@@ -5,6 +5,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from tests.llm.helpers import table, words
@@ -51,7 +52,7 @@ def test_lm_is_normalised(monkeypatch):
     """Probabilities over all words, the end and an unseen word for each bucket sum to one, after any units."""
     v, m, _ = small_model(monkeypatch)
     before = np.random.default_rng(0).integers(0, v.start + 1, (50, lm.CONTEXT)).astype(np.int32)
-    total = sum(np.exp(m.log_probabilities(before, np.full(50, u, np.int32))) for u in range(v.n))
+    total = sum(np.exp(lm.Scorer(m).log_probabilities(before, np.full(50, u, np.int32))) for u in range(v.n))
     assert np.allclose(total, 1, atol=1e-5)
     assert v.n == 3 + 1 + 21 + 4 and len(v.class_shares) > 3 + 1 + 4 and np.isclose(v.class_shares.sum(), 1)
     inside = np.zeros(lm.REST)
@@ -66,9 +67,9 @@ def test_lm_is_normalised(monkeypatch):
 def test_lm_scores_equal_a_plain_loop(monkeypatch):
     v, m, texts = small_model(monkeypatch)
     texts = [*texts[:3], "wa0 unknown wz9 wd0", ""]
-    _, units, last, split = lm.joined(texts, v)
-    got = np.split(m.log_probabilities(lm.contexts(units, last, v.start), units), last[:-1] + 1)
-    for found, words_ in zip(got, split):
+    _, units, last, _ = lm.joined(texts, v)
+    got = np.split(lm.Scorer(m).log_probabilities(lm.contexts(units, last, v.start), units), last[:-1] + 1)
+    for found, words_ in zip(got, map(lm.words, texts)):
         of = [int(v.unit[v.index[w]]) if w in v.index else int(v.rest_unit[lm.bucket(w)]) for w in words_] + [v.end]
         for i, u in enumerate(of):
             p = sum(m.r[of[i - k] if i >= k else v.start].astype(float) @ m.c[k - 1] for k in range(1, lm.CONTEXT + 1))
@@ -78,6 +79,29 @@ def test_lm_scores_equal_a_plain_loop(monkeypatch):
             assert abs(found[i] - want) < 1e-4
 
 
+def test_lm_tokens_equal_plain_words():
+    """Words by Arrow are those of plain splitting, for every character, white space anywhere, nulls and slices."""
+    every = "".join(f"{chr(i)}Q" for i in range(1, 0x3100))
+    texts = ["x", None, "", "  A\tb\x0b\x0cC \r\n", " ", every, "É\u00a0e\u2003f", "end "]
+    for part in (pa.array(texts, pa.string()), pa.array(texts, pa.string()).slice(2, 5)):
+        flat, sizes = lm.tokens(part)
+        want = [lm.words(t) for t in part.to_pylist()]
+        assert flat.cast(pa.binary()).to_pylist() == [w for ws in want for w in ws] and sizes.tolist() == [len(ws) for ws in want]
+
+
+def test_lm_counts_each_word(monkeypatch):
+    """Counts that a task passes on in several parts are those of all its texts."""
+    monkeypatch.setattr(lm, "FLUSH", 3)
+    rng = random.Random(1)
+    texts = [" ".join(rng.choice("abcdefgh") for _ in range(9)) for _ in range(50)] + [None, ""]
+    found = Counter()
+    for b in lm._count(iter([pa.RecordBatch.from_arrays([pa.array(texts[i : i + 4], pa.string())], ["text"]) for i in range(0, len(texts), 4)])):
+        for r in b.to_pylist():
+            found[r["word"]] += r["n"]
+    want = Counter(w.decode() for t in texts for w in lm.words(t))
+    assert found == want | Counter({lm.ENDS: len(texts)})
+
+
 def test_lm_learns_from_every_token(monkeypatch):
     """A word of one text, behind more tokens than the steps have room for, is seen and moves its vectors."""
     monkeypatch.setattr(lm, "STEPS", 1)

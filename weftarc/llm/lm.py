@@ -29,12 +29,12 @@ and no score; an empty table gives no rows; texts of any length are scored whole
 from __future__ import annotations
 
 import zlib
-from collections import Counter
 from collections.abc import Iterator
-from itertools import repeat
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -45,6 +45,7 @@ CLASSES, VECTORS, KNOWN = 128, 32_768, 200_000
 REST, MEMBERS = 128, 256
 CONTEXT, DIMENSION, BATCH, NOISE, NOISE_WITHIN, RATE, START = 3, 24, 2048, 64, 8, 0.1, 0.5
 ROUNDS, SHARDS, SHARD, STEPS = 3, 8, 8_000_000, 120  # SHARD: tokens
+GROUP = 8  # tokens of a class that are multiplied with its noise at once
 MIXED = 1 << 16  # tokens that are put in random order at once
 PIECE = 1 << 15  # numbers of a row of parameters
 SMOOTH = 0.1
@@ -60,21 +61,33 @@ def words(text: str | None) -> list[bytes]:
     return text.encode().lower().split() if text else []
 
 
+def tokens(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """The words of all texts in a row, as words() has them, and how many each text has."""
+    lists = pc.ascii_split_whitespace(pc.ascii_lower(pc.fill_null(texts, "")))
+    flat, offsets = lists.flatten(), lists.offsets.to_numpy()
+    some = pc.greater(pc.binary_length(flat), 0)  # white space at either end of a text leaves an empty string
+    before = np.concatenate([[0], np.cumsum(some.to_numpy(zero_copy_only=False))])
+    return flat.filter(some), np.diff(before[offsets - offsets[0]])
+
+
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    found: Counter = Counter()
+    held, rows = [], 0
 
-    def rows() -> pa.RecordBatch:
-        out = pa.RecordBatch.from_arrays([pa.array(list(found), pa.binary()).cast(pa.string()), pa.array(found.values(), pa.int64())], ["word", "n"])
-        found.clear()
-        return out
+    def summed() -> pa.Table:
+        return pa.concat_tables(held).group_by("word").aggregate([("n", "sum")]).rename_columns({"n_sum": "n"}).select(["word", "n"])
 
     for b in slices(batches, "text"):
-        for t in b.column("text").to_pylist():
-            found.update(words(t))
-            found[ENDS.encode()] += 1
-        if len(found) > FLUSH:
-            yield rows()
-    yield rows()
+        found = tokens(b.column("text"))[0].value_counts()
+        held += [pa.table({"word": found.field(0), "n": found.field(1)}), pa.table({"word": [ENDS], "n": [b.num_rows]})]
+        rows += len(found) + 1
+        if rows > 2 * FLUSH:
+            held = [summed()]
+            rows = held[0].num_rows
+            if rows > FLUSH:
+                yield from held[0].to_batches()
+                held, rows = [], 0
+    if held:
+        yield from summed().to_batches()
 
 
 def bucket(word: bytes) -> int:
@@ -92,7 +105,7 @@ class Vocabulary:
         self.counts = np.array([c for _, c in frequent], np.int64)
         self.tokens, self.distinct, self.ends = tokens, distinct, ends
         self.base_total = tokens + SMOOTH * (distinct + 1)
-        self.index = {w: i for i, w in enumerate(names)}
+        self.names = pa.array([w for w, _ in frequent], pa.string())
         self.vectors = min(vectors, len(names))
         own = min(classes, self.vectors)
         self.bucket_totals = np.full(REST, SMOOTH)  # one share for what is unseen
@@ -129,24 +142,31 @@ class Vocabulary:
         self.class_shares = totals / totals.sum()
         self.shares = mass / totals[self.of]  # within the class
 
-    def units(self, split: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    @cached_property
+    def index(self) -> dict[bytes, int]:
+        return {w.encode(): i for i, w in enumerate(self.names.to_pylist())}
+
+    def units(self, flat: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Index of each word among the frequent, else -1, and its unit."""
-        ids = np.fromiter(map(self.index.get, split, repeat(-1)), np.int64, len(split))
+        ids = pc.fill_null(pc.index_in(flat, value_set=self.names.cast(flat.type)), -1).to_numpy()
         units = self.unit[ids] if len(self.unit) else np.zeros(len(ids), np.int32)
         unknown = np.flatnonzero(ids < 0)
         if len(unknown):
-            units[unknown] = self.rest_unit[np.fromiter((bucket(split[i]) for i in unknown), np.int64, len(unknown))]
+            ends = pc.binary_slice(flat.take(pa.array(unknown)).cast(pa.binary()), -2).dictionary_encode()
+            of = np.array([bucket(w) for w in ends.dictionary.to_pylist()])
+            units[unknown] = self.rest_unit[of[ends.indices.to_numpy()]]
         return ids, units
 
 
-def joined(texts: list, v: Vocabulary) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[list[bytes]]]:
-    """Of all texts in a row: indexes of words (of an end: -2), units, positions of ends, words."""
-    split = [words(t) for t in texts]
-    last = np.cumsum([len(s) + 1 for s in split]) - 1
-    both = [v.units(s) for s in split]
-    ids = np.concatenate([x for i, _ in both for x in (i, (-2,))])
-    units = np.concatenate([x for _, u in both for x in (u, (v.end,))]).astype(np.int32)
-    return ids, units, last, split
+def joined(texts: list | pa.Array, v: Vocabulary) -> tuple[np.ndarray, np.ndarray, np.ndarray, pa.Array]:
+    """Of all texts in a row: indexes of words (of an end: -2), units, positions of ends; and the words."""
+    flat, sizes = tokens(texts if isinstance(texts, pa.Array) else pa.array(texts, pa.string()))
+    last = np.cumsum(sizes + 1) - 1
+    ids, units = np.full(len(flat) + len(sizes), -2, np.int32), np.full(len(flat) + len(sizes), v.end, np.int32)
+    word = np.ones(len(ids), bool)
+    word[last] = False
+    ids[word], units[word] = v.units(flat)
+    return ids, units, last, flat
 
 
 def contexts(units: np.ndarray, last: np.ndarray, start: int) -> np.ndarray:
@@ -160,12 +180,19 @@ def contexts(units: np.ndarray, last: np.ndarray, start: int) -> np.ndarray:
     return out
 
 
+def _run_sums(rows: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """Sums of the runs of rows that begin at starts. Two columns are added as one complex number, in half the calls."""
+    if rows.shape[1] % 2:
+        return np.add.reduceat(rows, starts, axis=0)
+    return np.add.reduceat(rows.view(np.complex64), starts, axis=0).view(np.float32)
+
+
 def _summed(rows: np.ndarray, gradients: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Distinct rows and the sums of their gradients."""
     order = np.argsort(rows)
-    rows = rows[order]
+    rows = np.take(rows, order)
     starts = np.flatnonzero(np.concatenate([[True], rows[1:] != rows[:-1]]))
-    return rows[starts], np.add.reduceat(gradients[order], starts, axis=0)
+    return rows[starts], _run_sums(np.take(gradients, order, axis=0), starts)
 
 
 def _lack(scores: np.ndarray) -> np.ndarray:
@@ -201,35 +228,50 @@ class Model:
             flat = flat[p.size :]
         return self
 
+
+class Scorer:
+    """Log probabilities by a model. Vectors have one more number: 1 in those predicted, the bias in those of classes and units.
+
+    What a unit adds to the predicted vector is multiplied out once, for each position.
+    """
+
+    def __init__(self, m: Model):
+        self.v = m.v
+        self.r = [np.column_stack([m.r @ c, np.full(len(m.r), i == 0, np.float32)]) for i, c in enumerate(m.c)]
+        self.g = np.ascontiguousarray(np.column_stack([m.g, m.a]).T)
+        self.q = np.column_stack([m.q, m.b])
+
     def predicted(self, context: np.ndarray) -> np.ndarray:
-        out = self.r[context[:, 0]] @ self.c[0]
+        out = np.take(self.r[0], context[:, 0], axis=0)
         for k in range(1, CONTEXT):
-            out += self.r[context[:, k]] @ self.c[k]
+            out += np.take(self.r[k], context[:, k], axis=0)
+        return out
+
+    @staticmethod
+    def own(p: np.ndarray, vectors: np.ndarray, columns: np.ndarray) -> np.ndarray:
+        """Of each row of p, the logarithm of the share that its column has; vectors: one a column."""
+        scores = p @ vectors
+        out = scores[np.arange(len(scores)), columns].astype(np.float64)
+        with np.errstate(over="ignore"):
+            total = np.exp(scores, out=scores) @ np.ones(scores.shape[1], np.float32)
+        out -= np.log(total.astype(np.float64))
+        far = np.flatnonzero(~np.isfinite(out))
+        if len(far):  # seldom: beyond what a 32-bit number holds
+            scores = (p[far] @ vectors).astype(np.float64)
+            top = scores.max(axis=1)
+            out[far] = scores[np.arange(len(far)), columns[far]] - top - np.log(np.exp(scores - top[:, None]).sum(axis=1))
         return out
 
     def log_probabilities(self, context: np.ndarray, units: np.ndarray) -> np.ndarray:
         """Natural logarithms, normalised over all units."""
-
-        def normaliser(scores: np.ndarray) -> np.ndarray:
-            with np.errstate(over="ignore"):
-                total = np.exp(scores) @ np.ones(scores.shape[1], np.float32)
-            out = np.log(total.astype(np.float64))
-            far = np.flatnonzero(~np.isfinite(out))
-            if len(far):  # seldom: beyond what a 32-bit number holds
-                top = scores[far].max(axis=1, keepdims=True)
-                out[far] = top[:, 0] + np.log(np.exp(scores[far] - top).sum(axis=1, dtype=np.float64))
-            return out
-
         v, out = self.v, np.empty(len(units))
-        p = self.predicted(context)
-        k = v.of[units]
+        p = np.empty((len(units), DIMENSION + 1), np.float32)
+        k = v.of[units].astype(np.min_scalar_type(len(v.class_shares)))
         step = max(64, (1 << 17) // len(v.class_shares))  # scores that stay in a cache
         for i in range(0, len(units), step):
             at = slice(i, i + step)
-            scores = p[at] @ self.g.T
-            scores += self.a
-            own = scores[np.arange(len(scores)), k[at]].astype(np.float64)
-            out[at] = own - normaliser(scores)
+            p[at] = self.predicted(context[at])
+            out[at] = self.own(p[at], self.g, k[at])
         order = np.argsort(k, kind="stable")
         ends = np.searchsorted(k[order], np.arange(len(v.class_shares) + 1))
         for j in np.flatnonzero((np.diff(ends) > 0) & (np.diff(v.starts) > 1)):
@@ -237,10 +279,7 @@ class Model:
             step = max(64, (1 << 17) // (high - low))
             for i in range(ends[j], ends[j + 1], step):
                 at = order[i : min(i + step, ends[j + 1])]
-                scores = p[at] @ self.q[low:high].T
-                scores += self.b[low:high]
-                own = scores[np.arange(len(at)), units[at] - low].astype(np.float64)
-                out[at] += own - normaliser(scores)
+                out[at] += self.own(np.take(p, at, axis=0), self.q[low:high].T, units[at] - low)
         return out
 
 
@@ -253,7 +292,7 @@ class Trainer:
     def __init__(self, model: Model, seed: int):
         self.m, self.rng, self.steps = model, np.random.default_rng(seed), 0
         self.seen = np.zeros(model.v.n + 1)  # tokens of each unit
-        self.sums = [np.full((len(p), *[1] * (p.ndim - 1)), START, np.float32) for p in model.parts()]  # of a row, each number's share
+        self.sums = [np.full(len(p), START, np.float32) for p in model.parts()]  # of a row, each number's share
         v = model.v
         self.noise, self.noise_within = np.log(NOISE * v.class_shares).astype(np.float32), np.log(NOISE_WITHIN * v.shares).astype(np.float32)
         self.classes, self.within = np.cumsum(v.class_shares), np.cumsum(v.shares)  # a class takes one of the second
@@ -262,16 +301,15 @@ class Trainer:
     def _move(self, part: int, gradient: np.ndarray, rows=slice(None)) -> None:
         x, s = self.m.parts()[part], self.sums[part]
         flat = gradient.reshape(len(gradient), -1)
-        now = s[rows] + (np.einsum("rd,rd->r", flat, flat) / flat.shape[1]).reshape(-1, *[1] * (gradient.ndim - 1))
+        now = s[rows] + np.einsum("rd,rd->r", flat, flat) / flat.shape[1]
         s[rows] = now
-        gradient *= RATE / np.sqrt(now)
-        x[rows] += gradient
+        x[rows] += gradient * (RATE / np.sqrt(now)).reshape(-1, *[1] * (gradient.ndim - 1))
 
     def _classes(self, p: np.ndarray, k: np.ndarray, starts: np.ndarray) -> np.ndarray:
         """Learn which class follows, from tokens sorted by class; the gradient of p."""
         m = self.m
         z = np.searchsorted(self.classes, self.rng.random(NOISE) * self.classes[-1] * (1 - 1e-9))
-        own, other = m.g[k], m.g[z]
+        own, other = np.take(m.g, k, axis=0), m.g[z]
         up = _lack(np.einsum("bd,bd->b", p, own) + (m.a - self.noise)[k])
         down = _lack(p @ other.T + (m.a - self.noise)[z]) - 1
         gradient = np.zeros((len(m.g), DIMENSION + 1), np.float32)
@@ -285,38 +323,49 @@ class Trainer:
         """Learn which unit of the class follows, from tokens sorted by class, all of classes of several; the gradient of p."""
         m, v = self.m, self.m.v
         starts = np.flatnonzero(np.concatenate([[True], k[1:] != k[:-1]]))
-        at = np.repeat(np.arange(len(starts)), np.diff(np.concatenate([starts, [len(k)]])))
         classes = k[starts][:, None]
         # the place of a class among the cumulated shares is its number
         z = np.searchsorted(self.within, classes + self.rng.random((len(starts), NOISE_WITHIN)) * (1 - 1e-9))
         z = np.clip(z, v.starts[classes], v.starts[classes + 1] - 1)
-        own, other = m.q[units], m.q[z]
+        own = np.take(m.q, units, axis=0)
         up = _lack(np.einsum("bd,bd->b", p, own) + (m.b - self.noise_within)[units])
-        down = _lack(np.einsum("bnd,bd->bn", other[at], p) + (m.b - self.noise_within)[z][at]) - 1
-        against = np.empty((len(p), NOISE_WITHIN, DIMENSION + 1), np.float32)
-        np.multiply(down[:, :, None], p[:, None, :], out=against[:, :, :-1])
-        against[:, :, -1] = down
-        against = np.add.reduceat(against, starts, axis=0).reshape(-1, DIMENSION + 1)
-        rows, g = _summed(np.concatenate([units, z.ravel()]), np.concatenate([np.column_stack([up[:, None] * p, up]), against]))
-        self._move(4, g[:, :-1], rows)
-        self._move(5, g[:, -1], rows)
-        return up[:, None] * own + np.einsum("bn,bnd->bd", down, other[at])
+        # tokens of a class in rows of GROUP, so that products with its noise are of equal size; what fills the last row is 0
+        sizes = np.diff(np.concatenate([starts, [len(k)]]))
+        groups = -(-sizes // GROUP)
+        first = np.cumsum(groups) - groups
+        place = np.arange(len(k)) + np.repeat(first * GROUP - starts, sizes)
+        rows = np.zeros((groups.sum() * GROUP, DIMENSION + 1), np.float32)
+        rows[place, :-1] = p
+        rows[place, -1] = 1
+        rows = rows.reshape(-1, GROUP, DIMENSION + 1)
+        other = np.concatenate([m.q[z], (m.b - self.noise_within)[z][:, :, None]], axis=2)
+        other = np.repeat(other, groups, axis=0)
+        down = _lack(rows @ other.transpose(0, 2, 1)) - 1
+        down *= rows[:, :, -1:]
+        against = (down.transpose(0, 2, 1) @ rows).reshape(len(rows), -1)
+        against = _run_sums(against, first).reshape(-1, DIMENSION + 1)
+        back = (down @ other).reshape(-1, DIMENSION + 1)[place, :-1]
+        towards = np.zeros((len(p) + len(against), DIMENSION + 2), np.float32)  # one column more makes it even
+        np.multiply(up[:, None], p, out=towards[: len(p), :DIMENSION])
+        towards[: len(p), DIMENSION] = up
+        towards[len(p) :, :-1] = against
+        distinct, g = _summed(np.concatenate([units, z.ravel()]), towards)
+        self._move(4, g[:, :DIMENSION], distinct)
+        self._move(5, g[:, DIMENSION], distinct)
+        return up[:, None] * own + back
 
     def step(self, context: np.ndarray, units: np.ndarray) -> None:
         m, k = self.m, self.m.v.of[units]
         order = np.argsort(k)
         context, units, k = context[order], units[order], k[order]
-        p = m.predicted(context)
+        before, c = np.take(m.r, context, axis=0).reshape(len(context), -1), m.c.reshape(-1, DIMENSION)
+        p = before @ c
         g = self._classes(p, k, np.flatnonzero(np.concatenate([[True], k[1:] != k[:-1]])))
         some = np.flatnonzero(self.several[k])
         if len(some):
             g[some] += self._units(p[some], k[some], units[some])
-        back, turn = np.empty((CONTEXT, len(p), DIMENSION), np.float32), np.empty_like(m.c)
-        for i in range(CONTEXT):
-            turn[i] = m.r[context[:, i]].T @ g
-            back[i] = g @ m.c[i].T
-        rows, total = _summed(context.T.ravel(), back.reshape(-1, DIMENSION))
-        self._move(1, turn)
+        rows, total = _summed(context.ravel(), (g @ c.T).reshape(-1, DIMENSION))
+        self._move(1, (before.T @ g).reshape(m.c.shape))
         self._move(0, total, rows)
         self.steps += 1
 
@@ -326,7 +375,7 @@ class Trainer:
         for i in range(0, len(units), BATCH):
             self.step(context[order[i : i + BATCH]], units[order[i : i + BATCH]])
 
-    def learn(self, texts: Iterator[list]) -> Trainer:
+    def learn(self, texts: Iterator[list | pa.Array]) -> Trainer:
         """Every token of all texts once; of few, again until there were STEPS batches."""
         v, held, n, kept = self.m.v, [], 0, []
 
@@ -368,7 +417,7 @@ def _train(batches: Iterator[pa.RecordBatch], shared, seed: int) -> Iterator[pa.
 
     v, flat = shared.value
     model = Model(v).load(flat)
-    trainer = Trainer(model, 1_000_003 * seed + TaskContext.get().partitionId()).learn(b.column("text").to_pylist() for b in slices(batches, "text", 1 << 20))
+    trainer = Trainer(model, 1_000_003 * seed + TaskContext.get().partitionId()).learn(b.column("text") for b in slices(batches, "text", 1 << 21))
     if not trainer.steps:
         return
     weight = trainer.weights()
@@ -428,7 +477,7 @@ SCHEMA = "doc_id long, print long, word string, n long, n_tokens long, n_known l
 def _score(batches: Iterator[pa.RecordBatch], shared) -> Iterator[pa.RecordBatch]:
     """A row of sums for each text (word: one that no text has), and a row for each rarer word of it."""
     v, flat = shared.value
-    model = Model(v).load(flat)
+    scorer = Scorer(Model(v).load(flat))
     logs = np.log10(v.counts + SMOOTH)
     log_end = np.log10(v.ends + SMOOTH)
     log_buckets = np.zeros(v.n)
@@ -438,11 +487,11 @@ def _score(batches: Iterator[pa.RecordBatch], shared) -> Iterator[pa.RecordBatch
     names = [c.split()[0] for c in SCHEMA.split(", ")]
     for b in slices(batches, "text", 1 << 21):
         texts, docs = b.column("text").to_pylist(), b.column("doc_id").to_pylist()
-        ids, units, last, split = joined(texts, v)
+        ids, units, last, flat = joined(b.column("text"), v)
         neural = np.empty(len(ids))
         before = contexts(units, last, v.start)
         for i in range(0, len(ids), 1 << 18):
-            neural[i : i + (1 << 18)] = model.log_probabilities(before[i : i + (1 << 18)], units[i : i + (1 << 18)])
+            neural[i : i + (1 << 18)] = scorer.log_probabilities(before[i : i + (1 << 18)], units[i : i + (1 << 18)])
         known = ids >= 0
         share = np.where(known, logs[ids] if len(logs) else 0.0, 0.0)
         within = np.where(in_rest[units], share - log_buckets[units], 0.0)  # of a word in its bucket; rarer words follow
@@ -458,11 +507,10 @@ def _score(batches: Iterator[pa.RecordBatch], shared) -> Iterator[pa.RecordBatch
         }
         yield pa.RecordBatch.from_arrays([columns[c] for c in names], names)
         rare = np.flatnonzero(ids == -1)
-        at = np.searchsorted(last, rare)  # the texts they are in
-        flat = [w for s in split for w in (*s, b"")]
-        found = pa.table({"at": at, "word": pa.array([flat[i] for i in rare.tolist()], pa.binary())}).group_by(["at", "word"]).aggregate([("at", "count")]).combine_chunks()
+        at = np.searchsorted(last, rare)  # the texts they are in, each with one end that is no word
+        found = pa.table({"at": at, "word": flat.take(pa.array(rare - at))}).group_by(["at", "word"]).aggregate([("at", "count")]).combine_chunks()
         at, k = found.column("at").combine_chunks(), found.num_rows
-        columns = {"doc_id": b.column("doc_id").take(at), "print": pa.array(prints, pa.int64()).take(at), "word": found.column("word").combine_chunks().cast(pa.string()), "n": found.column("at_count").combine_chunks()}
+        columns = {"doc_id": b.column("doc_id").take(at), "print": pa.array(prints, pa.int64()).take(at), "word": found.column("word").combine_chunks(), "n": found.column("at_count").combine_chunks()}
         yield pa.RecordBatch.from_arrays([columns.get(c, pa.nulls(k, pa.float64() if c in ("base", "neural") else pa.int64())) for c in names], names)
 
 
