@@ -45,6 +45,7 @@ CLASSES, VECTORS, KNOWN = 128, 32_768, 200_000
 REST, MEMBERS = 128, 256
 CONTEXT, DIMENSION, BATCH, NOISE, NOISE_WITHIN, RATE, START = 3, 24, 2048, 64, 8, 0.1, 0.5
 ROUNDS, SHARDS, SHARD, STEPS = 3, 8, 8_000_000, 120  # SHARD: tokens
+WIDTH = DIMENSION + 2 - DIMENSION % 2  # of a predicted vector, then 1 for the bias, and 0 if that makes it even
 GROUP = 8  # tokens of a class that are multiplied with its noise at once
 MIXED = 1 << 16  # tokens that are put in random order at once
 PIECE = 1 << 15  # numbers of a row of parameters
@@ -181,9 +182,7 @@ def contexts(units: np.ndarray, last: np.ndarray, start: int) -> np.ndarray:
 
 
 def _run_sums(rows: np.ndarray, starts: np.ndarray) -> np.ndarray:
-    """Sums of the runs of rows that begin at starts. Two columns are added as one complex number, in half the calls."""
-    if rows.shape[1] % 2:
-        return np.add.reduceat(rows, starts, axis=0)
+    """Sums of the runs of rows that begin at starts. Two columns, of an even number, are added as one complex number, in half the calls."""
     return np.add.reduceat(rows.view(np.complex64), starts, axis=0).view(np.float32)
 
 
@@ -298,72 +297,83 @@ class Trainer:
         self.classes, self.within = np.cumsum(v.class_shares), np.cumsum(v.shares)  # a class takes one of the second
         self.several = np.diff(v.starts) > 1
 
-    def _move(self, part: int, gradient: np.ndarray, rows=slice(None)) -> None:
+    def _move(self, part: int, gradient: np.ndarray, rows: np.ndarray | slice = slice(None)) -> None:
         x, s = self.m.parts()[part], self.sums[part]
         flat = gradient.reshape(len(gradient), -1)
         now = s[rows] + np.einsum("rd,rd->r", flat, flat) / flat.shape[1]
         s[rows] = now
-        x[rows] += gradient * (RATE / np.sqrt(now)).reshape(-1, *[1] * (gradient.ndim - 1))
+        gradient *= (RATE / np.sqrt(now)).reshape(-1, *[1] * (gradient.ndim - 1))
+        if isinstance(rows, np.ndarray):
+            gradient += np.take(x, rows, axis=0)
+            x[rows] = gradient
+        else:
+            x += gradient
 
     def _classes(self, p: np.ndarray, k: np.ndarray, starts: np.ndarray) -> np.ndarray:
-        """Learn which class follows, from tokens sorted by class; the gradient of p."""
-        m = self.m
+        """Learn which class follows, from tokens sorted by class; p: rows of WIDTH. The gradient of the vectors in p."""
+        m, q = self.m, p[:, :DIMENSION]
         z = np.searchsorted(self.classes, self.rng.random(NOISE) * self.classes[-1] * (1 - 1e-9))
         own, other = np.take(m.g, k, axis=0), m.g[z]
-        up = _lack(np.einsum("bd,bd->b", p, own) + (m.a - self.noise)[k])
-        down = _lack(p @ other.T + (m.a - self.noise)[z]) - 1
-        gradient = np.zeros((len(m.g), DIMENSION + 1), np.float32)
-        gradient[k[starts]] = np.add.reduceat(np.column_stack([up[:, None] * p, up]), starts, axis=0)
-        np.add.at(gradient, z, np.column_stack([down.T @ p, down.sum(0)]))
-        self._move(2, gradient[:, :-1])
-        self._move(3, gradient[:, -1])
-        return up[:, None] * own + down @ other
+        up = _lack(np.einsum("bd,bd->b", q, own) + np.take(m.a - self.noise, k))
+        down = q @ other.T
+        down += (m.a - self.noise)[z]
+        _lack(down)
+        down -= 1
+        gradient = np.zeros((len(m.g), WIDTH), np.float32)
+        gradient[k[starts]] = _run_sums(up[:, None] * p, starts)
+        rows, against = _summed(z, down.T @ p)
+        gradient[rows] += against
+        self._move(2, gradient[:, :DIMENSION])
+        self._move(3, gradient[:, DIMENSION])
+        own *= up[:, None]
+        own += down @ other
+        return own
 
     def _units(self, p: np.ndarray, k: np.ndarray, units: np.ndarray) -> np.ndarray:
-        """Learn which unit of the class follows, from tokens sorted by class, all of classes of several; the gradient of p."""
+        """Learn which unit of the class follows, from tokens sorted by class, all of classes of several; as _classes()."""
         m, v = self.m, self.m.v
         starts = np.flatnonzero(np.concatenate([[True], k[1:] != k[:-1]]))
         classes = k[starts][:, None]
         # the place of a class among the cumulated shares is its number
         z = np.searchsorted(self.within, classes + self.rng.random((len(starts), NOISE_WITHIN)) * (1 - 1e-9))
         z = np.clip(z, v.starts[classes], v.starts[classes + 1] - 1)
-        own = np.take(m.q, units, axis=0)
-        up = _lack(np.einsum("bd,bd->b", p, own) + (m.b - self.noise_within)[units])
+        own, bias = np.take(m.q, units, axis=0), m.b - self.noise_within
+        up = _lack(np.einsum("bd,bd->b", p[:, :DIMENSION], own) + np.take(bias, units))
         # tokens of a class in rows of GROUP, so that products with its noise are of equal size; what fills the last row is 0
         sizes = np.diff(np.concatenate([starts, [len(k)]]))
         groups = -(-sizes // GROUP)
         first = np.cumsum(groups) - groups
         place = np.arange(len(k)) + np.repeat(first * GROUP - starts, sizes)
-        rows = np.zeros((groups.sum() * GROUP, DIMENSION + 1), np.float32)
-        rows[place, :-1] = p
-        rows[place, -1] = 1
-        rows = rows.reshape(-1, GROUP, DIMENSION + 1)
-        other = np.concatenate([m.q[z], (m.b - self.noise_within)[z][:, :, None]], axis=2)
+        rows = np.zeros((groups.sum() * GROUP, WIDTH), np.float32)
+        rows[place] = p
+        rows = rows.reshape(-1, GROUP, WIDTH)
+        other = np.zeros((*z.shape, WIDTH), np.float32)
+        other[:, :, :DIMENSION] = np.take(m.q, z, axis=0)
+        other[:, :, DIMENSION] = np.take(bias, z)
         other = np.repeat(other, groups, axis=0)
-        down = _lack(rows @ other.transpose(0, 2, 1)) - 1
-        down *= rows[:, :, -1:]
-        against = (down.transpose(0, 2, 1) @ rows).reshape(len(rows), -1)
-        against = _run_sums(against, first).reshape(-1, DIMENSION + 1)
-        back = (down @ other).reshape(-1, DIMENSION + 1)[place, :-1]
-        towards = np.zeros((len(p) + len(against), DIMENSION + 2), np.float32)  # one column more makes it even
-        np.multiply(up[:, None], p, out=towards[: len(p), :DIMENSION])
-        towards[: len(p), DIMENSION] = up
-        towards[len(p) :, :-1] = against
-        distinct, g = _summed(np.concatenate([units, z.ravel()]), towards)
+        down = _lack(rows @ other.transpose(0, 2, 1))
+        down -= 1
+        down *= rows[:, :, DIMENSION, None]
+        against = _run_sums((down.transpose(0, 2, 1) @ rows).reshape(len(rows), -1), first).reshape(-1, WIDTH)
+        back = np.take((down @ other).reshape(-1, WIDTH), place, axis=0)[:, :DIMENSION]
+        distinct, g = _summed(np.concatenate([units, z.ravel()]), np.concatenate([up[:, None] * p, against]))
         self._move(4, g[:, :DIMENSION], distinct)
         self._move(5, g[:, DIMENSION], distinct)
-        return up[:, None] * own + back
+        own *= up[:, None]
+        own += back
+        return own
 
     def step(self, context: np.ndarray, units: np.ndarray) -> None:
         m, k = self.m, self.m.v.of[units]
         order = np.argsort(k)
-        context, units, k = context[order], units[order], k[order]
+        context, units, k = np.take(context, order, axis=0), np.take(units, order), np.take(k, order)
         before, c = np.take(m.r, context, axis=0).reshape(len(context), -1), m.c.reshape(-1, DIMENSION)
-        p = before @ c
+        p = np.zeros((len(context), WIDTH), np.float32)
+        p[:, :DIMENSION], p[:, DIMENSION] = before @ c, 1
         g = self._classes(p, k, np.flatnonzero(np.concatenate([[True], k[1:] != k[:-1]])))
         some = np.flatnonzero(self.several[k])
         if len(some):
-            g[some] += self._units(p[some], k[some], units[some])
+            g[some] += self._units(np.take(p, some, axis=0), np.take(k, some), np.take(units, some))
         rows, total = _summed(context.ravel(), (g @ c.T).reshape(-1, DIMENSION))
         self._move(1, (before.T @ g).reshape(m.c.shape))
         self._move(0, total, rows)
@@ -373,7 +383,7 @@ class Trainer:
         """All tokens once, in batches of random order."""
         order = self.rng.permutation(len(units))
         for i in range(0, len(units), BATCH):
-            self.step(context[order[i : i + BATCH]], units[order[i : i + BATCH]])
+            self.step(np.take(context, order[i : i + BATCH], axis=0), np.take(units, order[i : i + BATCH]))
 
     def learn(self, texts: Iterator[list | pa.Array]) -> Trainer:
         """Every token of all texts once; of few, again until there were STEPS batches."""
