@@ -138,7 +138,9 @@ class Vocabulary:
         mass = np.array(masses, np.float64)
         self.n, self.start = len(mass), len(mass)  # the start is a context only
         self.starts = np.array([*starts, len(mass)])  # of classes
-        self.of = np.repeat(np.arange(len(starts)), np.diff(self.starts)).astype(np.int32)  # class of each unit
+        self.of = np.repeat(np.arange(len(starts)), np.diff(self.starts)).astype(np.min_scalar_type(len(starts)))  # class of each unit
+        # numbers of 16 bits, where these do, sort faster
+        self.unit, self.rest_unit = (x.astype(np.min_scalar_type(self.start)) for x in (self.unit, self.rest_unit))
         totals = np.add.reduceat(mass, self.starts[:-1])
         self.class_shares = totals / totals.sum()
         self.shares = mass / totals[self.of]  # within the class
@@ -150,7 +152,7 @@ class Vocabulary:
     def units(self, flat: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Index of each word among the frequent, else -1, and its unit."""
         ids = pc.fill_null(pc.index_in(flat, value_set=self.names.cast(flat.type)), -1).to_numpy()
-        units = self.unit[ids] if len(self.unit) else np.zeros(len(ids), np.int32)
+        units = self.unit[ids] if len(self.unit) else np.zeros(len(ids), self.unit.dtype)
         unknown = np.flatnonzero(ids < 0)
         if len(unknown):
             ends = pc.binary_slice(flat.take(pa.array(unknown)).cast(pa.binary()), -2).dictionary_encode()
@@ -163,7 +165,7 @@ def joined(texts: list | pa.Array, v: Vocabulary) -> tuple[np.ndarray, np.ndarra
     """Of all texts in a row: indexes of words (of an end: -2), units, positions of ends; and the words."""
     flat, sizes = tokens(texts if isinstance(texts, pa.Array) else pa.array(texts, pa.string()))
     last = np.cumsum(sizes + 1) - 1
-    ids, units = np.full(len(flat) + len(sizes), -2, np.int32), np.full(len(flat) + len(sizes), v.end, np.int32)
+    ids, units = np.full(len(flat) + len(sizes), -2, np.int32), np.full(len(flat) + len(sizes), v.end, v.unit.dtype)
     word = np.ones(len(ids), bool)
     word[last] = False
     ids[word], units[word] = v.units(flat)
@@ -174,13 +176,17 @@ def contexts(units: np.ndarray, last: np.ndarray, start: int) -> np.ndarray:
     """The units before each token of joined texts, the nearest first; last: where texts end."""
     first = np.concatenate([[0], last[:-1] + 1])
     place = np.arange(len(units)) - np.repeat(first, np.diff(np.concatenate([first, [len(units)]])))
-    out = np.full((len(units), CONTEXT), start, np.int32)
+    out = np.full((len(units), CONTEXT), start, units.dtype)
     for k in range(1, CONTEXT + 1):
         out[k:, k - 1] = units[:-k]
         out[place < k, k - 1] = start
     return out
 
 
+def _order(x: np.ndarray) -> np.ndarray:
+    return np.argsort(x, kind="stable" if x.itemsize < 4 else None)  # of 16 bits: by digits
+
+
 def _run_sums(rows: np.ndarray, starts: np.ndarray) -> np.ndarray:
     """Sums of the runs of rows that begin at starts. Two columns, of an even number, are added as one complex number, in half the calls."""
     return np.add.reduceat(rows.view(np.complex64), starts, axis=0).view(np.float32)
@@ -188,7 +194,7 @@ def _run_sums(rows: np.ndarray, starts: np.ndarray) -> np.ndarray:
 
 def _summed(rows: np.ndarray, gradients: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Distinct rows and the sums of their gradients."""
-    order = np.argsort(rows)
+    order = _order(rows)
     rows = np.take(rows, order)
     starts = np.flatnonzero(np.concatenate([[True], rows[1:] != rows[:-1]]))
     return rows[starts], _run_sums(np.take(gradients, order, axis=0), starts)
@@ -196,8 +202,8 @@ def _summed(rows: np.ndarray, gradients: np.ndarray) -> tuple[np.ndarray, np.nda
 
 def _lack(scores: np.ndarray) -> np.ndarray:
     """What the logistic function of scores lacks of one."""
-    np.clip(scores, -30, 30, out=scores)
-    np.exp(scores, out=scores)
+    with np.errstate(over="ignore"):  # of infinity, it is zero
+        np.exp(scores, out=scores)
     scores += 1
     return np.reciprocal(scores, out=scores)
 
@@ -265,13 +271,13 @@ class Scorer:
         """Natural logarithms, normalised over all units."""
         v, out = self.v, np.empty(len(units))
         p = np.empty((len(units), DIMENSION + 1), np.float32)
-        k = v.of[units].astype(np.min_scalar_type(len(v.class_shares)))
+        k = v.of[units]
         step = max(64, (1 << 17) // len(v.class_shares))  # scores that stay in a cache
         for i in range(0, len(units), step):
             at = slice(i, i + step)
             p[at] = self.predicted(context[at])
             out[at] = self.own(p[at], self.g, k[at])
-        order = np.argsort(k, kind="stable")
+        order = _order(k)
         ends = np.searchsorted(k[order], np.arange(len(v.class_shares) + 1))
         for j in np.flatnonzero((np.diff(ends) > 0) & (np.diff(v.starts) > 1)):
             low, high = v.starts[j], v.starts[j + 1]
@@ -295,7 +301,6 @@ class Trainer:
         v = model.v
         self.noise, self.noise_within = np.log(NOISE * v.class_shares).astype(np.float32), np.log(NOISE_WITHIN * v.shares).astype(np.float32)
         self.classes, self.within = np.cumsum(v.class_shares), np.cumsum(v.shares)  # a class takes one of the second
-        self.several = np.diff(v.starts) > 1
 
     def _move(self, part: int, gradient: np.ndarray, rows: np.ndarray | slice = slice(None)) -> None:
         x, s = self.m.parts()[part], self.sums[part]
@@ -330,10 +335,10 @@ class Trainer:
         return own
 
     def _units(self, p: np.ndarray, k: np.ndarray, units: np.ndarray) -> np.ndarray:
-        """Learn which unit of the class follows, from tokens sorted by class, all of classes of several; as _classes()."""
+        """Learn which unit of the class follows, from tokens sorted by class, all of bucket classes; as _classes()."""
         m, v = self.m, self.m.v
         starts = np.flatnonzero(np.concatenate([[True], k[1:] != k[:-1]]))
-        classes = k[starts][:, None]
+        classes = k[starts][:, None].astype(np.int64)
         # the place of a class among the cumulated shares is its number
         z = np.searchsorted(self.within, classes + self.rng.random((len(starts), NOISE_WITHIN)) * (1 - 1e-9))
         z = np.clip(z, v.starts[classes], v.starts[classes + 1] - 1)
@@ -356,7 +361,7 @@ class Trainer:
         down *= rows[:, :, DIMENSION, None]
         against = _run_sums((down.transpose(0, 2, 1) @ rows).reshape(len(rows), -1), first).reshape(-1, WIDTH)
         back = np.take((down @ other).reshape(-1, WIDTH), place, axis=0)[:, :DIMENSION]
-        distinct, g = _summed(np.concatenate([units, z.ravel()]), np.concatenate([up[:, None] * p, against]))
+        distinct, g = _summed(np.concatenate([units, z.ravel().astype(units.dtype)]), np.concatenate([up[:, None] * p, against]))
         self._move(4, g[:, :DIMENSION], distinct)
         self._move(5, g[:, DIMENSION], distinct)
         own *= up[:, None]
@@ -365,15 +370,15 @@ class Trainer:
 
     def step(self, context: np.ndarray, units: np.ndarray) -> None:
         m, k = self.m, self.m.v.of[units]
-        order = np.argsort(k)
+        order = _order(k)
         context, units, k = np.take(context, order, axis=0), np.take(units, order), np.take(k, order)
         before, c = np.take(m.r, context, axis=0).reshape(len(context), -1), m.c.reshape(-1, DIMENSION)
         p = np.zeros((len(context), WIDTH), np.float32)
         p[:, :DIMENSION], p[:, DIMENSION] = before @ c, 1
         g = self._classes(p, k, np.flatnonzero(np.concatenate([[True], k[1:] != k[:-1]])))
-        some = np.flatnonzero(self.several[k])
-        if len(some):
-            g[some] += self._units(np.take(p, some, axis=0), np.take(k, some), np.take(units, some))
+        i = np.searchsorted(k, m.v.end + 1)  # the end is the last unit that is a class of its own
+        if i < len(k):
+            g[i:] += self._units(p[i:], k[i:], units[i:])
         rows, total = _summed(context.ravel(), (g @ c.T).reshape(-1, DIMENSION))
         self._move(1, (before.T @ g).reshape(m.c.shape))
         self._move(0, total, rows)
