@@ -60,3 +60,9 @@ def test_html_text():
     assert html.encoding_of(page) == "iso-8859-1" and html.to_text(page) == "aé b c d" and html.to_text(page, mode="layout") == "aé b\nc\nd"
     assert html.encoding_of(b"\xef\xbb\xbfx") == "utf-8-sig" and html.encoding_of(b"\xff") == "latin-1" and html.encoding_of(b"x", "nonsense") == "utf-8"
     assert html.encoding_of(b"x", None, "text/html; charset=koi8-r") == "koi8-r"
+
+
+def test_html_references_end_in_a_semicolon():
+    page = b"<h1>a&amp;&amp b&copy;</h1>caf&eacute; &copyx y&#233;&#xE9; &#233 &ampx; &notit; & z&lt"
+    want = "a&&amp b© café &copyx yéé &#233 &ampx; &notit; & z&lt"
+    assert html.to_text(page) == want and html.to_text(page, mode="layout") == want.replace("b© ", "b©\n")
