@@ -27,3 +27,8 @@ def test_html_word_count_of_cut_references(spark, tmp_path):
 def test_html_charsets_of_cut_references(spark, tmp_path):
     got, want = both(spark, tmp_path, "html_charsets", [h.replace("z", f"z{i}") for h in CUT for i in range(6)])
     assert got == want and any(w == "amp" for w, _, _ in got)
+
+
+def test_index_word_count_of_cut_references(spark, tmp_path):
+    got, want = both(spark, tmp_path, "index_word_count", CUT)
+    assert got == want and ("amp", 3, 2) in got
