@@ -32,3 +32,8 @@ def test_html_charsets_of_cut_references(spark, tmp_path):
 def test_index_word_count_of_cut_references(spark, tmp_path):
     got, want = both(spark, tmp_path, "index_word_count", CUT)
     assert got == want and ("amp", 3, 2) in got
+
+
+def test_wet_word_count_of_cut_references(spark, tmp_path):
+    got, want = both(spark, tmp_path, "wet_word_count", CUT)
+    assert got == want and ("amp", 3, 2) in got
