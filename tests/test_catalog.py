@@ -37,3 +37,9 @@ def test_index_word_count_of_cut_references(spark, tmp_path):
 def test_wet_word_count_of_cut_references(spark, tmp_path):
     got, want = both(spark, tmp_path, "wet_word_count", CUT)
     assert got == want and ("amp", 3, 2) in got
+
+
+def test_redirect_links_of_pages_with_one_url(spark, tmp_path):
+    urls = [f"http://h{i % 5}.example.com/" for i in range(33)]
+    got, want = both(spark, tmp_path, "redirect_links", ["<p>x</p>"] * 33, urls)
+    assert got == want and sum(t.startswith("/login") for _, t in got) == 3

@@ -44,8 +44,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 HEADERS = "array<struct<name:string,value:string>>"
 
 
-def responses(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A response record for each page."""
+def responses(spark: SparkSession, sf_dir: str, *more: str) -> DataFrame:
+    """A response record for each page, with more columns of the page."""
     pages = table(spark, sf_dir, "pages")
     server = F.expr(
         """CASE page_id % 4 WHEN 0 THEN array(named_struct('name', 'Date', 'value', 'now'))
@@ -60,7 +60,7 @@ def responses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pages.select(
         F.lit("file:/crawl/robotstxt/0.warc.gz").alias("warc_uri"), F.lit("response").alias("rec_type"), F.lit("application/http").alias("content_type"), named.alias("headers"),
         status.alias("http_status_line"), F.concat(server, kind).cast(HEADERS).alias("http_headers"), F.encode("html", "UTF-8").alias("payload"),
-        F.lit(0).cast("long").alias("offset"), F.lit(0).cast("long").alias("length"), F.lit(None).cast("string").alias("error"),
+        F.lit(0).cast("long").alias("offset"), F.lit(0).cast("long").alias("length"), F.lit(None).cast("string").alias("error"), *more,
     )
 
 
@@ -166,10 +166,8 @@ def _(spark, sf_dir):
 
 @query("redirect_links", """select distinct url as s, case when page_id % 11 = 10 then '/login?next=' || (page_id % 7) else url end as t from pages""")
 def _(spark, sf_dir):
-    moved = F.when(F.col("http_status_line").contains("302"), F.concat("http_headers", F.array(F.struct(F.lit("location").alias("name"), F.concat(F.lit(" /login?next="), (F.col("id") % 7).cast("string"), F.lit(" ")).alias("value"))))).otherwise(F.col("http_headers"))
-    pages = table(spark, sf_dir, "pages").select("page_id", F.col("url").alias("u"))
-    rows = responses(spark, sf_dir).withColumn("u", F.col("headers")["warc-target-uri"]).join(pages.withColumnRenamed("page_id", "id"), "u")
-    return links.page_links(rows.withColumn("http_headers", moved))
+    moved = F.when(F.col("http_status_line").contains("302"), F.concat("http_headers", F.array(F.struct(F.lit("location").alias("name"), F.concat(F.lit(" /login?next="), (F.col("page_id") % 7).cast("string"), F.lit(" ")).alias("value"))))).otherwise(F.col("http_headers"))
+    return links.page_links(responses(spark, sf_dir, "page_id").withColumn("http_headers", moved))
 
 
 @query("graph_vertices", f"with {CROSS}, {NAMES} select name, id from ids")
