@@ -79,6 +79,25 @@ def test_lm_scores_equal_a_plain_loop(monkeypatch):
             assert abs(found[i] - want) < 1e-4
 
 
+def test_lm_units_alone_are_the_same(monkeypatch):
+    """Training looks up only words with vectors: units are those of a lookup of all."""
+    v, _, texts = small_model(monkeypatch)
+    texts = [*texts[:3], "wa0 unknown wz9 wd0", "", "wz1 w"]
+    whole, alone = lm.joined(texts, v), lm.joined(texts, v, True)
+    assert np.array_equal(whole[1], alone[1]) and np.array_equal(whole[2], alone[2]) and (whole[0] >= v.vectors).any() and not (alone[0] >= v.vectors).any()
+
+
+def test_lm_scores_beyond_32_bits(monkeypatch):
+    """Scores whose exponentials overflow, of classes and within them."""
+    v, m, texts = small_model(monkeypatch)
+    _, units, last, _ = lm.joined(texts[:3], v)
+    before = lm.contexts(units, last, v.start)
+    want = lm.Scorer(m).log_probabilities(before, units)
+    m.a += 200
+    m.b += 200
+    assert np.allclose(lm.Scorer(m).log_probabilities(before, units), want, atol=1e-3)
+
+
 def test_lm_tokens_equal_plain_words():
     """Words by Arrow are those of plain splitting, for every character, white space anywhere, nulls and slices."""
     every = "".join(f"{chr(i)}Q" for i in range(1, 0x3100))

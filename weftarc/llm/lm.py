@@ -49,6 +49,7 @@ WIDTH = DIMENSION + 2 - DIMENSION % 2  # of a predicted vector, then 1 for the b
 GROUP = 8  # tokens of a class that are multiplied with its noise at once
 MIXED = 1 << 16  # tokens that are put in random order at once
 PIECE = 1 << 15  # numbers of a row of parameters
+CACHED = 1 << 17  # scores that stay in a cache
 SMOOTH = 0.1
 ENDS = "\n"  # no word
 FLUSH = 250_000  # distinct words that a task counts before it passes them on
@@ -149,9 +150,10 @@ class Vocabulary:
     def index(self) -> dict[bytes, int]:
         return {w.encode(): i for i, w in enumerate(self.names.to_pylist())}
 
-    def units(self, flat: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        """Index of each word among the frequent, else -1, and its unit."""
-        ids = pc.fill_null(pc.index_in(flat, value_set=self.names.cast(flat.type)), -1).to_numpy()
+    def units(self, flat: pa.Array, alone: bool = False) -> tuple[np.ndarray, np.ndarray]:
+        """Index of each word among the frequent, else -1, and its unit. alone: only units are asked for, and -1 is also each index of a word without a vector."""
+        names = self.names.slice(0, self.vectors) if alone else self.names
+        ids = pc.fill_null(pc.index_in(flat, value_set=names.cast(flat.type)), -1).to_numpy()
         units = self.unit[ids] if len(self.unit) else np.zeros(len(ids), self.unit.dtype)
         unknown = np.flatnonzero(ids < 0)
         if len(unknown):
@@ -161,14 +163,14 @@ class Vocabulary:
         return ids, units
 
 
-def joined(texts: list | pa.Array, v: Vocabulary) -> tuple[np.ndarray, np.ndarray, np.ndarray, pa.Array]:
-    """Of all texts in a row: indexes of words (of an end: -2), units, positions of ends; and the words."""
+def joined(texts: list | pa.Array, v: Vocabulary, alone: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray, pa.Array]:
+    """Of all texts in a row: indexes of words (of an end: -2), units, positions of ends; and the words. alone: as units()."""
     flat, sizes = tokens(texts if isinstance(texts, pa.Array) else pa.array(texts, pa.string()))
     last = np.cumsum(sizes + 1) - 1
     ids, units = np.full(len(flat) + len(sizes), -2, np.int32), np.full(len(flat) + len(sizes), v.end, v.unit.dtype)
     word = np.ones(len(ids), bool)
     word[last] = False
-    ids[word], units[word] = v.units(flat)
+    ids[word], units[word] = v.units(flat, alone)
     return ids, units, last, flat
 
 
@@ -244,7 +246,10 @@ class Scorer:
         self.v = m.v
         self.r = [np.column_stack([m.r @ c, np.full(len(m.r), i == 0, np.float32)]) for i, c in enumerate(m.c)]
         self.g = np.ascontiguousarray(np.column_stack([m.g, m.a]).T)
-        self.q = np.column_stack([m.q, m.b])
+        q, starts = np.column_stack([m.q, m.b]), m.v.starts
+        self.q = [np.ascontiguousarray(q[i:j].T) for i, j in zip(starts, starts[1:])]
+        self.ones = np.ones(max(len(m.g), *np.diff(starts)), np.float32)
+        self.held = np.empty(max(CACHED, 64 * len(self.ones)), np.float32)
 
     def predicted(self, context: np.ndarray) -> np.ndarray:
         out = np.take(self.r[0], context[:, 0], axis=0)
@@ -252,40 +257,60 @@ class Scorer:
             out += np.take(self.r[k], context[:, k], axis=0)
         return out
 
+    def _shares(self, p: np.ndarray, vectors: np.ndarray, columns: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Of each row of p, the score of its column and the sum of all exponentials; vectors: one a column."""
+        rows, n = len(p), vectors.shape[1]
+        scores = np.matmul(p, vectors, out=self.held[: rows * n].reshape(rows, n))
+        own = np.take(self.held, np.arange(0, rows * n, n) + columns)
+        np.exp(scores, out=scores)
+        return own, scores @ self.ones[:n]
+
     @staticmethod
-    def own(p: np.ndarray, vectors: np.ndarray, columns: np.ndarray) -> np.ndarray:
-        """Of each row of p, the logarithm of the share that its column has; vectors: one a column."""
-        scores = p @ vectors
-        out = scores[np.arange(len(scores)), columns].astype(np.float64)
-        with np.errstate(over="ignore"):
-            total = np.exp(scores, out=scores) @ np.ones(scores.shape[1], np.float32)
-        out -= np.log(total.astype(np.float64))
-        far = np.flatnonzero(~np.isfinite(out))
-        if len(far):  # seldom: beyond what a 32-bit number holds
-            scores = (p[far] @ vectors).astype(np.float64)
-            top = scores.max(axis=1)
-            out[far] = scores[np.arange(len(far)), columns[far]] - top - np.log(np.exp(scores - top[:, None]).sum(axis=1))
-        return out
+    def _far(p: np.ndarray, vectors: np.ndarray, columns: np.ndarray) -> np.ndarray:
+        """Logarithms of the shares where sums are beyond what a 32-bit number holds."""
+        scores = (p @ vectors).astype(np.float64)
+        top = scores.max(axis=1)
+        return scores[np.arange(len(p)), columns] - top - np.log(np.exp(scores - top[:, None]).sum(axis=1))
+
+    @staticmethod
+    def _logs(own: np.ndarray, total: np.ndarray) -> np.ndarray:
+        with np.errstate(divide="ignore"):
+            return own - np.log(total.astype(np.float64))
 
     def log_probabilities(self, context: np.ndarray, units: np.ndarray) -> np.ndarray:
         """Natural logarithms, normalised over all units."""
-        v, out = self.v, np.empty(len(units))
-        p = np.empty((len(units), DIMENSION + 1), np.float32)
+        v, n = self.v, len(units)
         k = v.of[units]
-        step = max(64, (1 << 17) // len(v.class_shares))  # scores that stay in a cache
-        for i in range(0, len(units), step):
-            at = slice(i, i + step)
-            p[at] = self.predicted(context[at])
-            out[at] = self.own(p[at], self.g, k[at])
-        order = _order(k)
-        ends = np.searchsorted(k[order], np.arange(len(v.class_shares) + 1))
-        for j in np.flatnonzero((np.diff(ends) > 0) & (np.diff(v.starts) > 1)):
-            low, high = v.starts[j], v.starts[j + 1]
-            step = max(64, (1 << 17) // (high - low))
-            for i in range(ends[j], ends[j + 1], step):
-                at = order[i : min(i + step, ends[j + 1])]
-                out[at] += self.own(np.take(p, at, axis=0), self.q[low:high].T, units[at] - low)
-        return out
+        order = _order(k)  # by class, so that the tokens of one are a slice
+        k, columns = np.take(k, order), np.take(units, order)
+        p, own, total = np.empty((n, DIMENSION + 1), np.float32), np.empty(n, np.float32), np.empty(n, np.float32)
+        context = np.take(context, order, axis=0)
+        with np.errstate(over="ignore", invalid="ignore"):
+            step = max(64, CACHED // len(v.class_shares))
+            for i in range(0, n, step):
+                at = slice(i, i + step)
+                p[at] = self.predicted(context[at])
+                own[at], total[at] = self._shares(p[at], self.g, k[at])
+            out = self._logs(own, total)
+            far = np.flatnonzero(~np.isfinite(out))  # seldom
+            if len(far):
+                out[far] = self._far(p[far], self.g, k[far])
+            ends = np.searchsorted(k, np.arange(len(v.class_shares) + 1))
+            total[:], own[:] = 1, 0  # of a class of one unit
+            several = np.flatnonzero((np.diff(ends) > 0) & (np.diff(v.starts) > 1))
+            for j in several:
+                low, high = v.starts[j], v.starts[j + 1]
+                step = max(64, CACHED // (high - low))
+                for i in range(ends[j], ends[j + 1], step):
+                    at = slice(i, min(i + step, ends[j + 1]))
+                    own[at], total[at] = self._shares(p[at], self.q[j], columns[at] - low)
+            within = self._logs(own, total)
+            for i in np.flatnonzero(~np.isfinite(within)):
+                within[i] = self._far(p[i : i + 1], self.q[k[i]], columns[i : i + 1] - v.starts[k[i]])[0]
+        out += within
+        unsorted = np.empty(n)
+        unsorted[order] = out
+        return unsorted
 
 
 class Trainer:
@@ -404,7 +429,7 @@ class Trainer:
                 kept.append((context, units))
 
         for part in texts:
-            _, units, last, _ = joined(part, v)
+            _, units, last, _ = joined(part, v, True)
             held.append((contexts(units, last, v.start), units))
             n += len(units)
             if n >= MIXED:
@@ -500,7 +525,7 @@ def _score(batches: Iterator[pa.RecordBatch], shared) -> Iterator[pa.RecordBatch
     in_rest = np.zeros(v.n, bool)
     in_rest[v.rest_unit] = True
     names = [c.split()[0] for c in SCHEMA.split(", ")]
-    for b in slices(batches, "text", 1 << 21):
+    for b in slices(batches, "text"):
         texts, docs = b.column("text").to_pylist(), b.column("doc_id").to_pylist()
         ids, units, last, flat = joined(b.column("text"), v)
         neural = np.empty(len(ids))
