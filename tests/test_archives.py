@@ -107,6 +107,20 @@ def test_wet(spark, crawl, tmp_path):
     assert info.rec_type == "warcinfo" and b"operator: me" in info.payload and b"hostname" not in info.payload
 
 
+@pytest.mark.parametrize("order", ["rmrm", "mrmr", "rrm", "rmmr"])
+def test_wet_of_captures_with_one_url_and_date(order):
+    source, seen = io.BytesIO(), {"r": 0, "m": 0}
+    w = Writer(source)
+    for kind in order:
+        n = seen[kind] = seen[kind] + 1
+        about = ("application/http; msgtype=response", HTML + f"<p>page {n}</p>".encode()) if kind == "r" else ("application/warc-fields", f'languages-cld2: {{"languages":[{{"code-iso-639-3":"l{n}"}}]}}\r\n'.encode())
+        w.write({"r": "response", "m": "metadata"}[kind], about[1], about[0], "http://h/", "2024-01-01T00:00:00Z")
+    out = io.BytesIO()
+    assert len(list(wet.convert("0.warc.gz", io.BytesIO(source.getvalue()), out))) == 2
+    found = [(r.payload, r.headers.get("warc-identified-content-language")) for r in records(io.BytesIO(out.getvalue())) if r.rec_type == "conversion"]
+    assert found == list(zip([b"page 1", b"page 2"], {"rmrm": ["l1", "l2"], "mrmr": ["l1", "l2"], "rrm": [None, "l1"], "rmmr": ["l2", None]}[order]))
+
+
 def test_tables_and_sinks(spark, tmp_path):
     edges = spark.createDataFrame([("b", "a"), ("a", "b"), ("a", "b")], "s string, t string")
     sinks.edges(edges, "edges_of_test", 1, compression="snappy")

@@ -43,3 +43,24 @@ def test_redirect_links_of_pages_with_one_url(spark, tmp_path):
     urls = [f"http://h{i % 5}.example.com/" for i in range(33)]
     got, want = both(spark, tmp_path, "redirect_links", ["<p>x</p>"] * 33, urls)
     assert got == want and sum(t.startswith("/login") for _, t in got) == 3
+
+
+#: Pages on which parsing failed, so that their words, or those of their whole archive, were lost.
+ODD = ["<p>one <![foo]> two</p>", "<![foo[x]]><p>three</p>", f"<p>four &#{'1' * 5000}; five</p>", "<p>six</p>"]
+
+
+def test_wet_word_count_of_pages_with_one_url(spark, tmp_path):
+    pages = [f"<p>common w{i}</p>" for i in range(24)] + ["<figcaption>seven</figcaption>eight<address>nine</address>"]
+    urls = ["http://h.example.com/"] * 12 + [None] * 12 + ["http://g.example.com/"]
+    got, want = both(spark, tmp_path, "wet_word_count", pages, urls)
+    assert got == want and ("common", 24, 24) in got and ("eight", 1, 1) in got
+
+
+def test_wet_word_count_of_pages_that_do_not_parse(spark, tmp_path):
+    got, want = both(spark, tmp_path, "wet_word_count", ODD)
+    assert got == want and {"one", "two", "three", "four", "five", "six"} <= {w for w, _, _ in got}
+
+
+def test_wet_extract_of_pages_with_one_url(spark, tmp_path):
+    got, want = both(spark, tmp_path, "wet_extract", ["<p>x</p>"] * 12, ["http://h.example.com/"] * 12)
+    assert got == want == [("http://h.example.com/", 12, True)]

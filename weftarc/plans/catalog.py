@@ -307,7 +307,8 @@ def _wet(spark: SparkSession, sf_dir: str) -> tuple[str, DataFrame]:
     """A shared folder with the text archives of the pages, and the rows that writing them gave."""
     folder, places = _archive(spark, sf_dir)
     out = shared.folder(spark, "wet").removeprefix("file://")
-    rows = wet.extract(places.select(F.col("warc_filename").alias("uri")).distinct(), out, folder + "/")
+    names = places.select(F.col("warc_filename").alias("uri")).distinct()
+    rows = wet.extract(names.repartition(max(1, names.count())), out, folder + "/")  # a file a task, which adaptive execution leaves so
     rows.write.parquet(f"file://{out}/_places")
     return out, spark.read.parquet(f"file://{out}/_places")
 
