@@ -64,3 +64,15 @@ def test_wet_word_count_of_pages_that_do_not_parse(spark, tmp_path):
 def test_wet_extract_of_pages_with_one_url(spark, tmp_path):
     got, want = both(spark, tmp_path, "wet_extract", ["<p>x</p>"] * 12, ["http://h.example.com/"] * 12)
     assert got == want == [("http://h.example.com/", 12, True)]
+
+
+def test_index_word_count_of_odd_urls(spark, tmp_path):
+    ends = ["", "a,b", 'q"uo"te', '\\"', "back\\", "a\nb", "a\r\n\r\nb", '"', '",\n"', "# x", " y ", "é", "a\rb", "'"]
+    urls = [f"http://h.example.com/{e}" for e in ends] + [None, "", "x\n\ny", '"', "\n"]
+    got, want = both(spark, tmp_path, "index_word_count", [f"<p>common w{i}</p>" for i in range(len(urls))], urls)
+    assert got == want and ("common", len(urls), len(urls)) in got
+
+
+def test_index_word_count_of_pages_that_do_not_parse(spark, tmp_path):
+    got, want = both(spark, tmp_path, "index_word_count", ODD)
+    assert got == want and ("three", 1, 1) in got

@@ -298,8 +298,8 @@ def _(spark, sf_dir):
 def _(spark, sf_dir):
     """Places as CSV, their records, the words of these."""
     folder, places = _archive(spark, sf_dir)
-    places.write.csv(f"file://{folder}/_csv", header=True)
-    found = tables.coordinates(spark, f"file://{folder}/_csv", csv=True)
+    places.write.csv(f"file://{folder}/_csv", header=True, escape='"')
+    found = tables.coordinates(spark, f"file://{folder}/_csv", csv=True, escape='"', multiLine="true")  # URLs may hold quotes and line breaks
     return counts.html_word_count(index.records(found, folder + "/", 8))
 
 
