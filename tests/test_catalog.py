@@ -3,6 +3,7 @@
 import duckdb
 import pyarrow as pa
 import pyarrow.parquet as pq
+import pytest
 
 from weftarc.plans import catalog
 
@@ -76,3 +77,19 @@ def test_index_word_count_of_odd_urls(spark, tmp_path):
 def test_index_word_count_of_pages_that_do_not_parse(spark, tmp_path):
     got, want = both(spark, tmp_path, "index_word_count", ODD)
     assert got == want and ("three", 1, 1) in got
+
+
+#: Pages whose markup names an encoding that they are not in, or none of texts, and one that begins with a null.
+CHARSETS = [f"<meta charset={c}><p>café {c}</p>" for c in ("iso-8859-1", "utf-16", "base64", "undefined", "idna", "utf-8")] + ["\0<p>été zéro</p>"]
+
+
+@pytest.mark.parametrize("name", ["html_charsets", "index_word_count", "wet_word_count"])
+def test_words_of_pages_that_name_other_charsets(spark, tmp_path, name):
+    pages = [h.replace("é", f"é{i}é", 1) for h in CHARSETS for i in range(8)]  # in each of the encodings of html_charsets
+    got, want = both(spark, tmp_path, name, pages)
+    assert got == want and {"zéro", "base64", "idna"} <= {w for w, _, _ in got}
+
+
+def test_html_charsets_of_pages_that_do_not_parse(spark, tmp_path):
+    got, want = both(spark, tmp_path, "html_charsets", [h.replace("<p>", f"<p>n{i} ") for h in ODD for i in range(8)])
+    assert got == want and any(w == "three" for w, _, _ in got)

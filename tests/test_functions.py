@@ -66,3 +66,10 @@ def test_html_references_end_in_a_semicolon():
     page = b"<h1>a&amp;&amp b&copy;</h1>caf&eacute; &copyx y&#233;&#xE9; &#233 &ampx; &notit; & z&lt"
     want = "a&&amp b© café &copyx yéé &#233 &ampx; &notit; & z&lt"
     assert html.to_text(page) == want and html.to_text(page, mode="layout") == want.replace("b© ", "b©\n")
+
+
+def test_encodings_that_pages_name():
+    wide = "\0été".encode("utf-16")
+    assert html.encoding_of(wide) == "utf-16" and html.encoding_of("été".encode("utf-32")) == "utf-32"
+    assert html.encoding_of(b"<meta charset=utf-16>x") == "utf-8" and html.encoding_of(b"<meta charset=base64>\xff", "idna", "text/html; charset=undefined") == "latin-1"
+    assert html.to_text("<meta charset=iso-8859-1>é".encode(), content_type="text/html; charset=utf-8") == "é" != html.to_text("<meta charset=iso-8859-1>é".encode())

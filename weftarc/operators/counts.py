@@ -75,7 +75,7 @@ def word_count(records: DataFrame) -> DataFrame:
 def html_texts(records: DataFrame, mode: str = "strip") -> DataFrame:
     """Texts of HTML responses with their URL; ``parsed`` tells whether it could be done, else the text is empty."""
     pages = records.filter(R.is_response() & R.is_html())
-    made = html.text_udf(mode)(F.col("payload"), R.header("WARC-Identified-Content-Charset"))
+    made = html.text_udf(mode)(F.col("payload"), R.header("WARC-Identified-Content-Charset"), F.get(R.http_values("content-type"), 0))
     return pages.select(R.header("WARC-Target-URI").alias("url"), made.alias("text")).select("url", F.coalesce("text", F.lit("")).alias("text"), F.col("text").isNotNull().alias("parsed"))
 
 
